@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.operators import ledgers, versions
+from lexloom.operators import ledgers, similarity, versions
 
-MODULES = (versions, ledgers)
+MODULES = (versions, similarity, ledgers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
