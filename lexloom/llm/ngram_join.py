@@ -12,9 +12,12 @@ least cost for the band, counting keys and expected accidental partners.
 
 Keys are met in a packed exchange.  Within a key's bucket not all pairs are
 formed: members are compared with a pivot; those of one component need no
-comparison; each round has twice as many pivots, until every bucket lies in
-one component or every member has been a pivot.  Links are verified on the
-whole sets.  No bucket, member or partner is ever dropped.
+comparison; each round has four times as many pivots, until every bucket lies
+in one component or every member has been a pivot.  The join of members and
+pivots drops pairs that sizes or bitmaps rule out: bit i of a set's bitmap is
+the parity of its shingles that hash to i, so the bits in which two bitmaps
+differ are no more than the shingles in which the sets do.  The others are
+verified on the whole sets.  No bucket, member or partner is ever dropped.
 """
 
 from __future__ import annotations
@@ -115,7 +118,17 @@ def _digests(u: np.ndarray, spread: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-SHARED = "kind int, part int, doc_id long, n int, member long, digest long, keys binary, members binary, known binary"
+#: Longs in a bitmap.
+WORDS = 8
+
+
+def bitmap(spread: np.ndarray) -> np.ndarray:
+    """Parities of the shingles that hash to each of ``64 * WORDS`` bits."""
+    bits = np.bincount((spread & U(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+SHARED = "kind int, part int, doc_id long, n int, member long, digest long, bits array<long>, keys binary, members binary, known binary"
 
 
 def _mapped(docs: DataFrame, words: int, threshold: float, parts: int) -> DataFrame:
@@ -124,7 +137,7 @@ def _mapped(docs: DataFrame, words: int, threshold: float, parts: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, off in tk.pieces(batches):
             ids = tk.integers(batch, "doc_id")
-            sizes, first, second, keys, owner = [], [], [], [], []
+            sizes, first, second, maps, keys, owner = [], [], [], [], [], []
             seen = set()
             for u in tk.shingle_sets(buf, off, words):
                 spread = tk.mix(u ^ SALT[0])
@@ -132,30 +145,31 @@ def _mapped(docs: DataFrame, words: int, threshold: float, parts: int) -> DataFr
                 sizes.append(len(u))
                 first.append(a)
                 second.append(b)
+                maps.append(bitmap(spread))
                 if len(u) and a not in seen:  # equal sets have equal keys
                     seen.add(a)
                     k = set_keys(u, threshold, spread)
                     keys.append(k)
                     owner.append(np.full(len(k), a, np.int64))
-            rows = [(0, int(i) % parts, int(i), n, a, b, None, None, None) for i, n, a, b in zip(ids, sizes, first, second, strict=True)]
+            rows = [(0, int(i) % parts, int(i), n, a, b, x, None, None, None) for i, n, a, b, x in zip(ids, sizes, first, second, maps, strict=True)]
             if keys:
                 k, m, _, shared, goes = exchange.split_known(np.concatenate(keys), np.concatenate(owner))
                 once = exchange.groups(k, m)
                 shared, goes = shared & once, goes & once
                 if shared.any():
-                    rows.append((1, int(ids[0]) % parts, None, None, None, None, k[shared].tobytes(), m[shared].tobytes(), None))
+                    rows.append((1, int(ids[0]) % parts, None, None, None, None, None, k[shared].tobytes(), m[shared].tobytes(), None))
                 known = np.zeros(len(k), np.uint8)
                 known[shared] = 1
                 k, m, known = k[goes], m[goes], known[goes]
                 for part, at in exchange.by_part(k, parts):
-                    rows.append((2, part, None, None, None, None, k[at].tobytes(), m[at].tobytes(), known[at].tobytes()))
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                    rows.append((2, part, None, None, None, None, None, k[at].tobytes(), m[at].tobytes(), known[at].tobytes()))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in SHARED.split(", ")])
 
     return docs.mapInArrow(run, SHARED)
 
 
-FOUND = "doc_id long, n int, member long, digest long, bucket long"
+FOUND = "doc_id long, n int, member long, digest long, bits array<long>, bucket long"
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,19 +181,19 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(k), 50_000):
             a, b = k[i : i + 50_000].view(np.int64), m[i : i + 50_000]
             none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(a), pa.int32()), pa.array(b), none, pa.array(a)], names)
+            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(a), pa.int32()), pa.array(b), none, pa.nulls(len(a), pa.list_(pa.int64())), pa.array(a)], names)
 
     for b in batches:
         kind = tk.integers(b, "kind")
         if (kind == 0).any():
             d = b.filter(pa.array(kind == 0))
-            yield pa.RecordBatch.from_arrays([d.column(2), d.column(3), d.column(4), d.column(5), pa.nulls(d.num_rows, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([*d.columns[2:7], pa.nulls(d.num_rows, pa.int64())], names)
         found = b.filter(pa.array(kind == 1))
-        yield from entries(exchange.joined(found.column(6).to_pylist(), U), exchange.joined(found.column(7).to_pylist(), np.int64))
+        yield from entries(exchange.joined(found.column(7).to_pylist(), U), exchange.joined(found.column(8).to_pylist(), np.int64))
         sent = b.filter(pa.array(kind == 2))
-        keys += sent.column(6).to_pylist()
-        members += sent.column(7).to_pylist()
-        known += sent.column(8).to_pylist()
+        keys += sent.column(7).to_pylist()
+        members += sent.column(8).to_pylist()
+        known += sent.column(9).to_pylist()
     if keys:
         k, m, (w,), shared, _ = exchange.split_known(exchange.joined(keys, U), exchange.joined(members, np.int64), exchange.joined(known, np.uint8))
         start = np.flatnonzero(exchange.groups(k))
@@ -222,11 +236,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             if any(keep):
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    left = sets.select(F.col("member").alias("a"), F.col("n").alias("n_a"), F.col("items").alias("x"))
-    right = sets.select(F.col("member").alias("b"), F.col("n").alias("n_b"), F.col("items").alias("y"))
-    close = (F.col("n_a") * top <= F.col("n_b") * base) & (F.col("n_b") * top <= F.col("n_a") * base)
-    sizes = pairs.join(left.select("a", "n_a"), "a").join(right.select("b", "n_b"), "b").where(close).select("a", "b")
-    both = sizes.join(left.select("a", "x"), "a").join(right.select("b", "y"), "b").select("a", "b", "x", "y")
+    left = sets.select(F.col("member").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("member").alias("b"), F.col("items").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -247,7 +259,7 @@ def classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, threshold:
     parts = parts_of(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     met = written(_mapped(rows, words, threshold, parts).repartitionById(parts, F.col("part")).mapInArrow(_met, FOUND), f"{folder}/met")
-    doc = met.where("bucket is null").select("doc_id", "n", "member", "digest")
+    doc = met.where("bucket is null").select("doc_id", "n", "member", "digest", "bits")
     bucket = met.where("bucket is not null").select("bucket", "member")
     if not doc.where("n > 0").groupBy("member").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").isEmpty():
         raise ValueError("two different sets share a 64-bit digest; choose another SALT")
@@ -261,12 +273,23 @@ def classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, threshold:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).union(none).withColumn("n_shingles", F.col("n_shingles").cast("long"))
 
 
+def _possible(threshold: float):
+    """Whether sizes and bitmaps of a member (``n, bits``) and its pivot allow a link."""
+    top, base = _ratio(threshold).as_integer_ratio()
+    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("pivot.bits")[i])) for i in range(1, WORDS)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("pivot.bits")[0])))
+    n, m = F.col("n"), F.col("pivot.n")
+    return (n * top <= m * base) & (m * top <= n * base) & (apart * (base + top) <= (n + m) * (base - top))
+
+
 def _linked(spark: SparkSession, rows: DataFrame, doc: DataFrame, bucket: DataFrame, folder: str, words: int, threshold: float) -> DataFrame:
     """``member, root`` of every member with a link to another."""
     nodes = bucket.select("member").distinct()
-    first = written(doc.where("n > 0").groupBy("member").agg(F.min("doc_id").alias("doc_id")).join(nodes, "member", "left_semi"), f"{folder}/members")
-    sets = written(_sets(rows, first, words), f"{folder}/sets")
-    links, root, left, turn = None, None, bucket, 0
+    first = written(
+        doc.where("n > 0").groupBy("member").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bits").alias("bits")).join(nodes, "member", "left_semi"), f"{folder}/members",
+    )
+    about = first.select("member", "n", "bits")
+    about = F.broadcast(about) if fits(about, SMALL // 5) else about
+    root, left, turn, sets = None, bucket, 0, None
     while True:
         here = f"{folder}/round-{turn}"
         if root is None:
@@ -279,24 +302,40 @@ def _linked(spark: SparkSession, rows: DataFrame, doc: DataFrame, bucket: DataFr
         active = written(active, f"{here}/active")
         if active.isEmpty():
             break
-        choice = F.pmod(F.xxhash64("member", F.lit(turn)), F.lit(1 << turn))
-        pivot = written(active.groupBy("bucket", choice.alias("_")).agg(F.min(F.struct("member", "root")).alias("p")).select("bucket", F.col("p.member").alias("pivot"), F.col("p.root").alias("pivot_root")), f"{here}/pivots")
-        pairs = (
-            active.join(pivot, "bucket").where("root <> pivot_root")
-            .select(F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b")).distinct()
+        choice = F.pmod(F.xxhash64("member", F.lit(turn)), F.lit(4**turn))
+        chosen = active.groupBy("bucket", choice.alias("_")).agg(F.min("member").alias("member")).select("bucket", "member")
+        known = active.join(about, "member")
+        pivot = known.join(chosen, ["bucket", "member"], "left_semi").select("bucket", F.struct("member", "root", "n", "bits").alias("pivot"))
+        pairs = written(
+            known.join(pivot, (known["bucket"] == pivot["bucket"]) & (F.col("root") != F.col("pivot.root")) & _possible(threshold))
+            .select(F.least("member", "pivot.member").alias("a"), F.greatest("member", "pivot.member").alias("b")).distinct(),
+            f"{here}/pairs",
         )
-        new = written(_verified(written(pairs, f"{here}/pairs"), sets, threshold), f"{here}/links")
-        links = new if links is None else links.union(new)
-        if not new.isEmpty():
-            root = written(components(links, f"{here}/components").withColumnRenamed("u", "member"), f"{here}/root")
-        left = active.select("bucket", "member").join(pivot.select("bucket", F.col("pivot").alias("member")), ["bucket", "member"], "left_anti")
-        # what stands alone beside its former pivots has been compared with all of them
+        if not pairs.isEmpty():
+            sets = sets or written(_sets(rows, first, words), f"{folder}/sets")
+            new = written(_verified(pairs, sets, threshold), f"{here}/links")
+            root = _merged(new, root, here)
+        # pivots have been compared with all members of their buckets
+        left = active.select("bucket", "member").join(chosen, ["bucket", "member"], "left_anti")
         turn += 1
     if root is None:
         return first.select("member", F.col("member").alias("root")).limit(0)
     return root
 
 
+def _merged(links: DataFrame, root: DataFrame | None, here: str) -> DataFrame | None:
+    """Roots after more links: components of the components that they join."""
+    if links.isEmpty():
+        return root
+    if root is None:
+        return written(components(links, f"{here}/components").withColumnRenamed("u", "member"), f"{here}/root")
+    up = lambda end: root.select(F.col("member").alias(end), F.col("root").alias(f"root_{end}"))
+    joins = links.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    higher = components(joins, f"{here}/components").toDF("root", "top")
+    members = root.union(joins.select(F.explode(F.array("a", "b")).alias("member")).distinct().join(root, "member", "left_anti").select("member", F.col("member").alias("root")))
+    return written(members.join(higher, "root", "left").select("member", F.coalesce("top", "root").alias("root")).distinct(), f"{here}/root")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, with all columns."""
     kept = written(classes(spark, docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("__lexloom_hit")).distinct(), work_dir(spark, "near"))

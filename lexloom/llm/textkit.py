@@ -10,7 +10,6 @@ counts (``[\\x20\\x09-\\x0D]``) is ASCII and therefore safe to find in bytes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,20 +37,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(size, b, U64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=U64))
-    return out[0], out[1]
+_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    a, b = _powers(base, size)
+    """Powers of a base and of its inverse; one pair of arrays a base is kept, as long as was asked for."""
+    if base not in _kept or len(_kept[base][0]) < n:
+        size = max(BLOCK // 4, -(-n // 65536) * 65536)
+        made = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, b, U64)
+            p[0] = 1
+            made.append(np.cumprod(p, dtype=U64))
+        if size > 4 * BLOCK:
+            return made[0][:n], made[1][:n]
+        _kept[base] = (made[0], made[1])
+    a, b = _kept[base]
     return a[:n], b[:n]
 
 
