@@ -49,10 +49,12 @@ def split_known(keys: np.ndarray, members: np.ndarray, *others: np.ndarray):
 
 def by_part(keys: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
     """For each part that gets entries, their places in order."""
+    if not len(keys):
+        return []
     part = deal(keys, parts)
     order = np.argsort(part, kind="stable")
     sorted_ = part[order]
-    cut = np.flatnonzero(groups(sorted_)) if len(order) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(groups(sorted_))
     return [(int(sorted_[a]), order[a:b]) for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True)]
 
 

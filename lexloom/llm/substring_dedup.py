@@ -28,7 +28,8 @@ U = np.uint64
 SENT = "kind int, part int, doc_id long, mark long, at binary, keys binary, checks binary, docs binary, marks binary, known binary"
 NAMES = [x.split()[0] for x in SENT.split(", ")]
 KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6)
-PLACES = "doc_id long, mark long, at binary"
+#: Places on their way to their documents: one row for each sender and part.
+PLACES = "part int, docs binary, marks binary, at binary"
 #: Bytes of places that may be broadcast, and their rows.
 SMALL_BYTES, SMALL_ROWS = 48 << 20, 400_000
 
@@ -70,6 +71,14 @@ def anchors(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarr
     return mine[mine >= start[mine]], h
 
 
+def _parcels(ids, marks, at, parts: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    """Places packed by the part that gathers their documents."""
+    out = []
+    for part, i in exchange.by_part(tk.mix(ids.view(U)), parts):
+        out.append((part, ids[i].tobytes(), marks[i].tobytes(), at[i].astype(np.uint32).tobytes()))
+    return out
+
+
 def _send(keys, checks, ids, marks, at, known, parts) -> list[tuple]:
     return [
         (2, part, None, None, at[i].astype(np.uint32).tobytes(), keys[i].tobytes(), None if checks is None else checks[i].tobytes(), ids[i].tobytes(), marks[i].tobytes(), None if known is None else known[i].tobytes())
@@ -78,7 +87,7 @@ def _send(keys, checks, ids, marks, at, known, parts) -> list[tuple]:
 
 
 def _found(ids, marks, at, parts) -> list[tuple]:
-    return [(1, d % parts, d, m, p, None, None, None, None, None) for d, m, p in _by_doc(ids, marks, at)]
+    return [(1, part, None, None, p, None, None, d, m, None) for part, d, m, p in _parcels(ids, marks, at, parts)]
 
 
 def _level_one(docs: DataFrame, window: int, parts: int) -> DataFrame:
@@ -104,7 +113,7 @@ def _level_one(docs: DataFrame, window: int, parts: int) -> DataFrame:
             start = np.flatnonzero(exchange.groups(k))
             told = np.repeat(np.maximum.reduceat(w, start) > 0, np.diff(np.append(start, len(k))))
             keep = (shared | told) & (w == 0)
-            yield from _places(m[keep], r[keep], p[keep])
+            yield from _places(m[keep], r[keep], p[keep], parts)
 
     return docs.mapInArrow(run, SENT).repartitionById(parts, F.col("part")).mapInArrow(meet, PLACES)
 
@@ -117,7 +126,7 @@ def _collected(batches, *columns):
         kind = tk.integers(b, "kind")
         done = b.filter(pa.array(kind == 1))
         if done.num_rows:
-            yield pa.RecordBatch.from_arrays([done.column(2), done.column(3), done.column(4)], ["doc_id", "mark", "at"])
+            yield pa.RecordBatch.from_arrays([done.column(NAMES.index(c)) for c in ("part", "docs", "marks", "at")], ["part", "docs", "marks", "at"])
         sent = b.filter(pa.array(kind == 2))
         keys += sent.column(NAMES.index("keys")).to_pylist()
         for c, _ in columns:
@@ -125,10 +134,10 @@ def _collected(batches, *columns):
     return exchange.joined(keys, U), [exchange.joined(held[c], t) for c, t in columns]
 
 
-def _places(ids, marks, at) -> Iterator[pa.RecordBatch]:
-    rows = list(_by_doc(ids, marks, at)) if len(ids) else []
+def _places(ids, marks, at, parts: int) -> Iterator[pa.RecordBatch]:
+    rows = _parcels(ids, marks, at, parts)
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "mark", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], ["part", "docs", "marks", "at"])
 
 
 def _near(at: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
@@ -171,7 +180,7 @@ def _level(docs: DataFrame, window: int, before: int, after: int, parts: int, la
         k, (x, m, r, p, w) = yield from _collected(batches, ("checks", np.uint32), ("docs", np.int64), ("marks", np.int64), ("at", np.uint32), ("known", np.uint8))
         if len(k):
             k, x, m, r, p, flag, _, _ = _judge(k, x, m, r, p, w, larger_only)
-            yield from _places(m[flag], r[flag], p[flag])
+            yield from _places(m[flag], r[flag], p[flag], parts)
 
     return docs.mapInArrow(run, SENT).repartitionById(parts, F.col("part")).mapInArrow(meet, PLACES)
 
@@ -196,8 +205,32 @@ def _judge(k, x, m, r, p, w, larger_only: bool):
     return k, x, m, r, p, shared & (w == 0), ~shared | new, shared
 
 
-def _gathered(places: DataFrame) -> DataFrame:
-    return places.groupBy("doc_id", "mark").agg(F.collect_list("at").alias("places"))
+def _gathered(places: DataFrame, parts: int, step: int = 1) -> DataFrame:
+    """``doc_id, mark, places``, one row for each document.
+
+    With a ``step`` of more than one, of each run of neighbouring places only
+    its ends and one in ``step`` are kept: those that together cover its words
+    when windows have at least ``step`` words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], []]
+        for b in batches:
+            for x, c in zip(held, b.columns[1:], strict=True):
+                x += c.to_pylist()
+        ids, marks, at = (exchange.joined(x, t) for x, t in zip(held, (np.int64, np.int64, np.uint32), strict=True))
+        rows = []
+        for d, m, p in _by_doc(ids, marks, at) if len(ids) else ():
+            p = np.unique(np.frombuffer(p, np.uint32))
+            if step > 1:
+                inner = np.zeros(len(p), bool)
+                inner[1:-1] = (p[1:-1] - p[:-2] == 1) & (p[2:] - p[1:-1] == 1) & (p[1:-1] % step != 0)
+                p = p[~inner]
+            rows.append((d, m, [p.tobytes()]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.binary())), strict=True)], ["doc_id", "mark", "places"])
+
+    return places.repartitionById(parts, F.col("part")).mapInArrow(run, "doc_id long, mark long, places array<binary>")
 
 
 def _joined(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
@@ -213,12 +246,13 @@ def _prepared(docs: DataFrame) -> DataFrame:
 
 def repeated(spark: SparkSession, docs: DataFrame, *, window: int = 50) -> DataFrame:
     """``doc_id, mark, places``: words of each document at which a repeated
-    window starts; a list of binaries of unsigned 32-bit integers."""
+    window starts, as far as coverage needs them; a list of binaries of
+    unsigned 32-bit integers."""
     folder, parts = work_dir(spark, "substrings"), parts_of(spark)
     rows, half = _prepared(docs), window // 2
-    one = written(_gathered(_level_one(rows, window, parts)), f"{folder}/half")
+    one = written(_gathered(_level_one(rows, window, parts), parts), f"{folder}/half")
     two = _level(_joined(rows, one, "inner"), window, window - half, 0, parts, True)
-    return written(_gathered(two), f"{folder}/whole")
+    return written(_gathered(two, parts, min(16, window)), f"{folder}/whole")
 
 
 def repeated_lengths(spark: SparkSession, docs: DataFrame, *, window: int = 50) -> DataFrame:
@@ -226,13 +260,13 @@ def repeated_lengths(spark: SparkSession, docs: DataFrame, *, window: int = 50)
     words of which it shares a window with another document."""
     folder, parts = work_dir(spark, "lengths"), parts_of(spark)
     rows, half, length = _prepared(docs), window // 2, window
-    now = written(_gathered(_level_one(rows, window, parts)), f"{folder}/half")
-    now = written(_gathered(_level(_joined(rows, now, "inner"), window, window - half, 0, parts, False)), f"{folder}/{window}")
+    now = written(_gathered(_level_one(rows, window, parts), parts), f"{folder}/half")
+    now = written(_gathered(_level(_joined(rows, now, "inner"), window, window - half, 0, parts, False), parts), f"{folder}/{window}")
     out = now.select("doc_id", "mark", F.lit(length).alias("length"))
     while not now.isEmpty():
         # a repeated window twice as long starts where a repeated one starts
         length *= 2
-        now = written(_gathered(_level(_joined(rows, now, "inner"), length, 0, 0, parts, False)), f"{folder}/{length}")
+        now = written(_gathered(_level(_joined(rows, now, "inner"), length, 0, 0, parts, False), parts), f"{folder}/{length}")
         out = out.union(now.select("doc_id", "mark", F.lit(length).alias("length")))
     return out.groupBy("doc_id", "mark").agg(F.max("length").alias("length"))
 
@@ -274,23 +308,5 @@ def without_repeats(spark: SparkSession, docs: DataFrame, *, window: int = 50) -
                 ["doc_id", "n_words", "n_removed", "spans", "kept"],
             )
 
-    places = written(_compact(repeated(spark, docs, window=window), window), work_dir(spark, "places"))
+    places = repeated(spark, docs, window=window)
     return _joined(rows, places, "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, spans array<array<long>>, kept string")
-
-
-def _compact(places: DataFrame, window: int) -> DataFrame:
-    """Keeps, of each run of neighbouring places, those that together cover its words."""
-    step = min(16, window)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for lists in b.column(2).to_pylist():
-                at = np.unique(exchange.joined(lists, np.uint32))
-                inner = np.zeros(len(at), bool)
-                # inside a run of consecutive places, one place a window or less covers what lies between
-                inner[1:-1] = (at[1:-1] - at[:-2] == 1) & (at[2:] - at[1:-1] == 1) & (at[1:-1] % step != 0)
-                out.append([at[~inner].tobytes()])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "mark", "places"])
-
-    return places.mapInArrow(run, "doc_id long, mark long, places array<binary>")
