@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.operators import ledgers, similarity, versions
+from lexloom.operators import applicability, duties, ledgers, similarity, versions
 
-MODULES = (versions, similarity, ledgers)
+MODULES = (versions, duties, similarity, applicability, ledgers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
