@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.operators import applicability, duties, ledgers, similarity, versions
+from lexloom.operators import applicability, compose, duties, gates, ledgers, retrieval, risk, similarity, versions
+from lexloom.plans import segment
 
-MODULES = (versions, duties, similarity, applicability, ledgers)
+MODULES = (segment, versions, duties, similarity, applicability, compose, risk, retrieval, gates, ledgers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
