@@ -2,8 +2,9 @@
 
 ``P(grade > k | x) = sigmoid(w.x - c_k)`` with one weight vector for all grades
 and ordered thresholds ``c_0 < c_1 < ...``.  A text's features are the distinct
-64-bit hashes of its lower-cased words and of their last three bytes; those
-found in at least ``min_df`` fitted texts keep a weight, and because the whole
+64-bit hashes of its lower-cased words, of their last three bytes and of their
+first three, five, six and seven (stems that take many endings), each once more
+as a dense feature if one word in a hundred has it; those found in at least ``min_df`` fitted texts keep a weight, and because the whole
 hash is compared, unseen words weigh nothing.
 """
 
@@ -24,20 +25,50 @@ from lexloom.llm.store import open_file, work_dir, write_file
 
 #: Bound of the labelled rows that a model is fitted on.
 FIT_ROWS = 12_000
-TAIL = np.uint64(0x5851F42D4C957F2D)
+#: Standard errors by which a feature's mean grade must differ.
+SCREEN = 4.0
+#: Bytes at a word's end and at its start that are features of their own.
+TAILS, HEADS = (3,), (3, 5, 6, 7)
+DENSE = np.uint64(0xE7037ED1A0B428DB)
 
 
 def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and hash of every word, then of every word's last three bytes."""
+    """Text number and hash of every word, then of the words' last and first bytes."""
     s, e, first = tk.spans(buf, off)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
     whole = tk.slice_hashes(buf, s, e, tk.LOWER)
-    size = e - s
-    code = np.zeros(len(s), np.uint64)
-    for back in (1, 2, 3):
-        have = size >= back
-        code[have] = code[have] * np.uint64(256) + tk.LOWER[buf[e[have] - back]]
-    return np.concatenate([doc, doc]), np.concatenate([whole, tk.mix(code + TAIL)])
+    size, out = e - s, [whole]
+    for salt, ends, sign in ((1, TAILS, -1), (2, HEADS, 1)):
+        code = np.zeros(len(s), np.uint64)
+        for step in range(max(ends)):
+            have = np.flatnonzero(size > step)
+            at = s[have] + step if sign > 0 else e[have] - 1 - step
+            code[have] = code[have] * np.uint64(256) + tk.LOWER[buf[at]] + np.uint64(1)
+            if step + 1 in ends:
+                out.append(tk.mix(code + np.uint64(0x5851F42D4C957F2D * (salt * 16 + step) & (1 << 64) - 1)))
+    return np.tile(doc, len(out)), np.concatenate(out)
+
+
+def described(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of each text, plain and dense ones, in the order of texts."""
+    doc, key = features(buf, off)
+    words = np.bincount(doc, minlength=len(off) - 1) / (1 + len(TAILS) + len(HEADS))
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+    start = np.flatnonzero(new)
+    doc, key, count = doc[start], key[start], np.diff(np.append(start, len(key)))
+    doc2, key2 = dense(doc, key, count, words)
+    doc, key = np.concatenate([doc, doc2]), np.concatenate([key, key2])
+    order = np.argsort(doc, kind="stable")
+    return doc[order], key[order]
+
+
+def dense(doc: np.ndarray, key: np.ndarray, count: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct features, those that one word in a hundred has: features of their own."""
+    often = (count * 100 >= words[doc]) & (count > 1)
+    return doc[often], tk.mix(key[often] ^ DENSE)
 
 
 @dataclass
@@ -61,11 +92,19 @@ class OrdinalModel:
         if not len(self.keys):
             return np.zeros(n)
         doc, h = features(buf, off)
+        words = np.bincount(doc, minlength=n) / (1 + len(TAILS) + len(HEADS))
+        doc, at = self._known(doc, h)
+        pairs, count = np.unique(doc * len(self.keys) + at, return_counts=True)
+        doc, at = pairs // len(self.keys), pairs % len(self.keys)
+        # a dense feature is known only if the plain one is: it is in no more texts
+        doc2, at2 = self._known(*dense(doc, self.keys[at], count, words))
+        return np.bincount(np.concatenate([doc, doc2]), self.weights[np.concatenate([at, at2])], n)
+
+    def _known(self, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near = np.flatnonzero(self.slots()[(h >> np.uint64(42)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.keys, h[near]), len(self.keys) - 1)
         hit = self.keys[at] == h[near]
-        pairs = np.unique(doc[near[hit]] * len(self.keys) + at[hit])
-        return np.bincount(pairs // len(self.keys), self.weights[pairs % len(self.keys)], n)
+        return doc[near[hit]], at[hit]
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for each text and each threshold."""
@@ -93,15 +132,19 @@ def loaded(uri: str) -> OrdinalModel:
     return OrdinalModel.load(uri)
 
 
-def fit_arrays(doc: np.ndarray, key: np.ndarray, y: np.ndarray, grades: np.ndarray, *, min_df: int, l2: float, steps: int) -> OrdinalModel:
+def fit_arrays(doc: np.ndarray, key: np.ndarray, y: np.ndarray, grades: np.ndarray, *, min_df: int, l2: float, steps: int, screen: float = SCREEN) -> OrdinalModel:
     """Adam on the full penalised likelihood; deterministic.
 
+    A feature enters if its texts' mean grade is ``screen`` standard errors
+    from the overall mean: chance features would share the cues' weight.
+
     The thresholds are a first one and positive gaps, so they stay ordered.
     Rows are weighted so that every grade counts alike.
     """
     n, levels = len(y), len(grades)
     keys, inverse, df = np.unique(key, return_inverse=True, return_counts=True)
-    keep = df >= min_df
+    lean = np.bincount(inverse, y[doc].astype(float)) - df * y.mean()
+    keep = (df >= min_df) & (np.abs(lean) >= screen * np.sqrt(np.maximum(df * y.var(), 1e-9)))
     place = np.cumsum(keep) - 1
     used = keep[inverse]
     doc, col, keys = doc[used], place[inverse[used]], keys[keep]
@@ -109,6 +152,8 @@ def fit_arrays(doc: np.ndarray, key: np.ndarray, y: np.ndarray, grades: np.ndarr
     row_weight = 1 / (levels * share[y] * n)
     above = np.cumsum(share[::-1])[::-1][1:].clip(1e-6, 1 - 1e-6)
     first = np.log((1 - above) / above)
+    if not len(keys):  # nothing tells grades apart: base rates
+        return OrdinalModel(keys, np.zeros(0), np.maximum.accumulate(first) + np.arange(len(first)) * 1e-9, grades)
     theta = np.concatenate([np.zeros(len(keys)), first[:1] * 0, np.log(np.maximum(np.diff(first), 1e-2))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     k = len(keys)
@@ -138,7 +183,7 @@ def fit_arrays(doc: np.ndarray, key: np.ndarray, y: np.ndarray, grades: np.ndarr
 
 
 def fit(
-    spark: SparkSession, docs: DataFrame, ratings: DataFrame, grade: str, *, fit_rows: int = FIT_ROWS, min_df: int = 8, l2: float = 3e-5, steps: int = 200,
+    spark: SparkSession, docs: DataFrame, ratings: DataFrame, grade: str, *, fit_rows: int = FIT_ROWS, min_df: int = 8, l2: float = 1e-4, steps: int = 200,
 ) -> OrdinalModel | None:
     """Fits on at most ``fit_rows`` rated documents, chosen by a hash of the id.
 
@@ -151,12 +196,7 @@ def fit(
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, off in tk.pieces(batches):
-            doc, key = features(buf, off)
-            order = np.lexsort((key, doc))
-            doc, key = doc[order], key[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-            doc, key = doc[new], key[new]
+            doc, key = described(buf, off)
             at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("grade")), tk.strings([key[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])],
