@@ -18,7 +18,9 @@ import numpy as np
 from lexloom.llm import textkit as tk
 
 #: Units that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Units that are new before they are merged with those that are known.
+RECENT = 80_000
 #: White space beyond ASCII: texts that have it may merge it with ASCII white space, so they are encoded whole.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _OTHER_BYTES = re.compile(b"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -78,8 +80,10 @@ class UnitTable:
 
     def add(self, keys, check, ids: list[list[int]]):
         size = np.array([len(x) for x in ids], np.int32)
-        at = len(self.ids) + np.cumsum(size) - size
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+        self.merge(keys, check, np.cumsum(size) - size, size, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum())))
+
+    def merge(self, keys, check, at, size, flat):
+        at = len(self.ids) + at
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")
         self.keys, self.check = keys[order], np.concatenate([self.check, check])[order]
@@ -110,7 +114,7 @@ class Encoder:
 
     def __init__(self, path: str, table: UnitTable | None = None, remembered: int = REMEMBERED):
         self.path, self.fixed = path, table
-        self.own, self.remembered = UnitTable(), remembered
+        self.own, self.recent, self.remembered = UnitTable(), UnitTable(), remembered
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and where each text's ids start."""
@@ -120,7 +124,7 @@ class Encoder:
         check = check[rep]
         at, size, ids = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), []
         left, base = np.ones(len(keys), bool), 0
-        for table in ([self.fixed] if self.fixed is not None else []) + [self.own]:
+        for table in ([self.fixed] if self.fixed is not None else []) + [self.own, self.recent]:
             place, hit = table.find(keys, check)
             hit &= left
             at[hit], size[hit] = table.at[place[hit]] + base, table.size[place[hit]]
@@ -135,11 +139,15 @@ class Encoder:
             size[new] = [len(x) for x in got]
             at[new] = base + np.cumsum(size[new]) - size[new]
             flat.append(np.fromiter((i for x in got for i in x), np.uint32, int(size[new].sum())))
-            if len(self.own.keys) + len(new) > self.remembered:
-                self.own.clear()
-            self.own.add(keys[new], check[new], got)
+            self.recent.add(keys[new], check[new], got)
         out = self._gather(flat, at[back], size[back])
         bounds = np.concatenate([[0], np.cumsum(size[back])])[first]
+        r = self.recent
+        if len(r.keys) > RECENT:
+            if len(self.own.keys) + len(r.keys) > self.remembered:
+                self.own.clear()
+            self.own.merge(r.keys, r.check, r.at, r.size, r.ids)
+            r.clear()
         return self._whole(buf, off, out, bounds)
 
     @staticmethod

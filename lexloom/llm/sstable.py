@@ -206,7 +206,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, folder: str, *
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoders.worker_encoder(path)
-        for batch, buf, off in tk.pieces(batches):
+        for batch, buf, off in tk.pieces(batches, size=3 * tk.BLOCK):
             ids, bounds = encoder.encode(buf, off)
             if len(ids) and int(ids.max()) >> 8 * width:
                 raise ValueError(f"an id needs more than {width} bytes")
