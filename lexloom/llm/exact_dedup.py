@@ -63,15 +63,25 @@ def _drain(spark: SparkSession, source: str, schema, state: str, updates: str) -
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def keyed(docs: DataFrame, digest=sha256) -> DataFrame:
-    """Key rows; rows without an id come after all others (least id first)."""
+def keyed(docs: DataFrame, digest=sha256, before: int = 0) -> DataFrame:
+    """Key rows, their locators after ``before``."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         digest(normalised(F.col("text"))).alias("digest"),
-        F.monotonically_increasing_id().alias("locator"),
+        (F.monotonically_increasing_id() + F.lit(before)).alias("locator"),
     )
 
 
+def _last_locator(spark: SparkSession, source: str) -> int:
+    """One more than the largest locator that an earlier call gave."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return (spark.read.parquet(source).agg(F.max("locator")).first()[0] or 0) + 1
+    except AnalysisException:  # the first call
+        return 0
+
+
 def groups(spark: SparkSession, docs: DataFrame, *, digest=sha256, state: str | None = None) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, digest``.
 
@@ -85,7 +95,8 @@ def groups(spark: SparkSession, docs: DataFrame, *, digest=sha256, state: str |
     bytes.
     """
     folder = state or work_dir(spark, "exact-dedup")
-    keys = written(keyed(docs, digest), f"{work_dir(spark, 'exact-keys') if state else folder}/keys")
+    before = _last_locator(spark, f"{folder}/source") if state else 0
+    keys = written(keyed(docs, digest, before), f"{work_dir(spark, 'exact-keys') if state else folder}/keys")
     if state:
         keys.write.mode("append").parquet(f"{folder}/source")
     _drain(spark, f"{folder}/source" if state else f"{folder}/keys", keys.schema, f"{folder}/state", f"{folder}/updates")
