@@ -260,7 +260,8 @@ def read_shards(spark: SparkSession, shards: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    jobs = shards.select("shard", "uri", before.alias("start")).repartition("shard", "uri", "start")
+    # an explicit number of partitions: rows are small, but each stands for a file to read
+    jobs = shards.select("shard", "uri", before.alias("start")).repartitionById(parts_of(spark, 1), (F.col("shard") % parts_of(spark, 1)).cast("int")).drop("shard").select(F.lit(0), "uri", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
