@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from lexloom.llm import exchange
 from lexloom.llm import textkit as tk
-from lexloom.llm.store import open_file, work_dir, write_file
+from lexloom.llm.store import open_file, parts_of, work_dir, write_file, written
 
 #: Bound of the labelled rows that a model is fitted on.
 FIT_ROWS = 12_000
@@ -204,15 +205,66 @@ def fit(
             )
 
     # the chosen rows are bounded by fit_rows, so they may be broadcast
-    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(describe, "doc_id long, grade long, keys binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.grade, bytes(r["keys"])))
-    grades, y = np.unique(np.array([r.grade for r in rows], np.int64), return_inverse=True)
+    told = written(texts.join(F.broadcast(chosen), "doc_id").mapInArrow(describe, "doc_id long, grade long, keys binary"), f"{work_dir(spark, 'fit')}/rows")
+    counts = {r.grade: r["n"] for r in told.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    grades = np.array(sorted(counts), np.int64)
     if len(grades) < 2:
         return None
+    size = np.array([counts[int(g)] for g in grades], float)
+    least = min_df if size.sum() >= 2000 else max(2, min_df // 3)
+    kept = _screened(spark, told, grades, size, least)
+
+    def only_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column(2).to_pylist():
+                x = np.frombuffer(x, np.uint64)
+                at = np.minimum(np.searchsorted(kept, x), max(0, len(kept) - 1))
+                out.append(x[kept[at] == x].tobytes() if len(kept) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tk.strings(out)], ["doc_id", "grade", "keys"])
+
+    rows = told.mapInArrow(only_kept, "doc_id long, grade long, keys binary").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.grade, bytes(r["keys"])))
+    y = np.searchsorted(grades, [r.grade for r in rows])
     sets = [np.frombuffer(bytes(r["keys"]), np.uint64) for r in rows]
     doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    min_df = min_df if len(rows) >= 2000 else max(2, min_df // 3)
-    return fit_arrays(doc, np.concatenate(sets), y, grades, min_df=min_df, l2=l2, steps=steps)
+    return fit_arrays(doc, np.concatenate(sets), y, grades, min_df=least, l2=l2, steps=steps)
+
+
+def _screened(spark: SparkSession, told: DataFrame, grades: np.ndarray, size: np.ndarray, least: int) -> np.ndarray:
+    """Features that tell grades apart, sorted.
+
+    Counted on the executors: pieces send each part their features' counts and
+    sums of grades, packed, and only those that pass come to the driver.
+    """
+    rank, parts = np.arange(len(grades)), parts_of(spark, 1)
+    mean = float((size * rank).sum() / size.sum())
+    var = float((size * (rank - mean) ** 2).sum() / size.sum())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, buf, off in tk.pieces(batches, "keys"):
+            key = np.frombuffer(buf.tobytes(), np.uint64)
+            y = np.repeat(np.searchsorted(grades, tk.integers(batch, "grade")), np.diff(off) // 8)
+            key, back, df = np.unique(key, return_inverse=True, return_counts=True)
+            total = np.bincount(back, y, len(key)) if len(key) else np.zeros(0)
+            rows = [(p, key[i].tobytes(), df[i].astype(np.int64).tobytes(), total[i].tobytes()) for p, i in exchange.by_part(key, parts)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], ["part", "keys", "counts", "sums"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], []]
+        for b in batches:
+            for x, c in zip(held, b.columns[1:], strict=True):
+                x += c.to_pylist()
+        key, df, total = (exchange.joined(x, t) for x, t in zip(held, (np.uint64, np.int64, np.float64), strict=True))
+        if len(key):
+            key, back = np.unique(key, return_inverse=True)
+            df, total = np.bincount(back, df), np.bincount(back, total)
+            good = (df >= least) & (np.abs(total - df * mean) >= SCREEN * np.sqrt(np.maximum(df * var, 1e-9)))
+            yield pa.RecordBatch.from_arrays([tk.strings([key[good].tobytes()])], ["keys"])
+
+    rows = told.mapInArrow(count, "part int, keys binary, counts binary, sums binary").repartitionById(parts, F.col("part")).mapInArrow(keep, "keys binary").collect()
+    return np.sort(exchange.joined([bytes(r["keys"]) for r in rows], np.uint64))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: OrdinalModel | None, *, tail_grade: int, prefix: str) -> DataFrame:
