@@ -16,8 +16,9 @@ comparison; each round has four times as many pivots, until every bucket lies
 in one component or every member has been a pivot.  The join of members and
 pivots drops pairs that sizes or bitmaps rule out: bit i of a set's bitmap is
 the parity of its shingles that hash to i, so the bits in which two bitmaps
-differ are no more than the shingles in which the sets do.  The others are
-verified on the whole sets.  No bucket, member or partner is ever dropped.
+differ are no more than the shingles in which the sets do.  Pairs that are
+left meet wider bitmaps, whose length follows the set's, and only then the
+whole sets.  No bucket, member or partner is ever dropped.
 """
 
 from __future__ import annotations
@@ -128,7 +129,14 @@ def bitmap(spread: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-SHARED = "kind int, part int, doc_id long, n int, member long, digest long, bits array<long>, keys binary, members binary, known binary"
+def wide_bitmap(spread: np.ndarray) -> np.ndarray:
+    """A bitmap of four to eight bits for each shingle, a power of two of longs."""
+    longs = 1 << max(0, (len(spread) - 1) // 16).bit_length()
+    bits = np.bincount((spread & U(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+SHARED = "kind int, part int, doc_id long, n int, member long, digest long, bits array<long>, wide array<long>, keys binary, members binary, known binary"
 
 
 def _mapped(docs: DataFrame, words: int, threshold: float, parts: int) -> DataFrame:
@@ -137,7 +145,7 @@ def _mapped(docs: DataFrame, words: int, threshold: float, parts: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, off in tk.pieces(batches):
             ids = tk.integers(batch, "doc_id")
-            sizes, first, second, maps, keys, owner = [], [], [], [], [], []
+            sizes, first, second, maps, wide, keys, owner = [], [], [], [], [], [], []
             seen = set()
             for u in tk.shingle_sets(buf, off, words):
                 spread = tk.mix(u ^ SALT[0])
@@ -146,30 +154,31 @@ def _mapped(docs: DataFrame, words: int, threshold: float, parts: int) -> DataFr
                 first.append(a)
                 second.append(b)
                 maps.append(bitmap(spread))
+                wide.append(wide_bitmap(spread))
                 if len(u) and a not in seen:  # equal sets have equal keys
                     seen.add(a)
                     k = set_keys(u, threshold, spread)
                     keys.append(k)
                     owner.append(np.full(len(k), a, np.int64))
-            rows = [(0, int(i) % parts, int(i), n, a, b, x, None, None, None) for i, n, a, b, x in zip(ids, sizes, first, second, maps, strict=True)]
+            rows = [(0, int(i) % parts, int(i), n, a, b, x, z, None, None, None) for i, n, a, b, x, z in zip(ids, sizes, first, second, maps, wide, strict=True)]
             if keys:
                 k, m, _, shared, goes = exchange.split_known(np.concatenate(keys), np.concatenate(owner))
                 once = exchange.groups(k, m)
                 shared, goes = shared & once, goes & once
                 if shared.any():
-                    rows.append((1, int(ids[0]) % parts, None, None, None, None, None, k[shared].tobytes(), m[shared].tobytes(), None))
+                    rows.append((1, int(ids[0]) % parts, None, None, None, None, None, None, k[shared].tobytes(), m[shared].tobytes(), None))
                 known = np.zeros(len(k), np.uint8)
                 known[shared] = 1
                 k, m, known = k[goes], m[goes], known[goes]
                 for part, at in exchange.by_part(k, parts):
-                    rows.append((2, part, None, None, None, None, None, k[at].tobytes(), m[at].tobytes(), known[at].tobytes()))
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+                    rows.append((2, part, None, None, None, None, None, None, k[at].tobytes(), m[at].tobytes(), known[at].tobytes()))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in SHARED.split(", ")])
 
     return docs.mapInArrow(run, SHARED)
 
 
-FOUND = "doc_id long, n int, member long, digest long, bits array<long>, bucket long"
+FOUND = "doc_id long, n int, member long, digest long, bits array<long>, wide array<long>, bucket long"
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,19 +190,19 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(k), 50_000):
             a, b = k[i : i + 50_000].view(np.int64), m[i : i + 50_000]
             none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(a), pa.int32()), pa.array(b), none, pa.nulls(len(a), pa.list_(pa.int64())), pa.array(a)], names)
+            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(a), pa.int32()), pa.array(b), none, *[pa.nulls(len(a), pa.list_(pa.int64()))] * 2, pa.array(a)], names)
 
     for b in batches:
         kind = tk.integers(b, "kind")
         if (kind == 0).any():
             d = b.filter(pa.array(kind == 0))
-            yield pa.RecordBatch.from_arrays([*d.columns[2:7], pa.nulls(d.num_rows, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([*d.columns[2:8], pa.nulls(d.num_rows, pa.int64())], names)
         found = b.filter(pa.array(kind == 1))
-        yield from entries(exchange.joined(found.column(7).to_pylist(), U), exchange.joined(found.column(8).to_pylist(), np.int64))
+        yield from entries(exchange.joined(found.column(8).to_pylist(), U), exchange.joined(found.column(9).to_pylist(), np.int64))
         sent = b.filter(pa.array(kind == 2))
-        keys += sent.column(7).to_pylist()
-        members += sent.column(8).to_pylist()
-        known += sent.column(9).to_pylist()
+        keys += sent.column(8).to_pylist()
+        members += sent.column(9).to_pylist()
+        known += sent.column(10).to_pylist()
     if keys:
         k, m, (w,), shared, _ = exchange.split_known(exchange.joined(keys, U), exchange.joined(members, np.int64), exchange.joined(known, np.uint8))
         start = np.flatnonzero(exchange.groups(k))
@@ -259,7 +268,7 @@ def classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, threshold:
     parts = parts_of(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     met = written(_mapped(rows, words, threshold, parts).repartitionById(parts, F.col("part")).mapInArrow(_met, FOUND), f"{folder}/met")
-    doc = met.where("bucket is null").select("doc_id", "n", "member", "digest", "bits")
+    doc = met.where("bucket is null").select("doc_id", "n", "member", "digest", "bits", "wide")
     bucket = met.where("bucket is not null").select("bucket", "member")
     if not doc.where("n > 0").groupBy("member").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").isEmpty():
         raise ValueError("two different sets share a 64-bit digest; choose another SALT")
@@ -281,15 +290,31 @@ def _possible(threshold: float):
     return (n * top <= m * base) & (m * top <= n * base) & (apart * (base + top) <= (n + m) * (base - top))
 
 
+def _near(pairs: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that their wide bitmaps allow; the longer of two is folded onto the shorter."""
+    top, base = _ratio(threshold).as_integer_ratio()
+    side = lambda m: first.select(F.col("member").alias(m), F.col("n").alias(f"n_{m}"), F.col("wide").alias(f"w_{m}"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    half = lambda w: F.zip_with(F.slice(w, F.lit(1), (F.size(w) / 2).cast("int")), F.slice(w, (F.size(w) / 2 + 1).cast("int"), (F.size(w) / 2).cast("int")), xor)
+    x, y = F.col("w_a"), F.col("w_b")
+    x, y = F.when(F.size(x) > F.size(y), half(x)).otherwise(x), F.when(F.size(y) > F.size(x), half(y)).otherwise(y)
+    apart = F.aggregate(F.zip_with(x, y, xor), F.lit(0), lambda n, z: n + F.bit_count(z))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    # sets more than twice as large as others are folded once only: such a pair is left to the verification
+    folded = F.size("w_a") * 2 < F.size("w_b")
+    folded = folded | (F.size("w_b") * 2 < F.size("w_a"))
+    return both.where(folded | (apart * (base + top) <= (F.col("n_a") + F.col("n_b")) * (base - top))).select("a", "b")
+
+
 def _linked(spark: SparkSession, rows: DataFrame, doc: DataFrame, bucket: DataFrame, folder: str, words: int, threshold: float) -> DataFrame:
     """``member, root`` of every member with a link to another."""
     nodes = bucket.select("member").distinct()
     first = written(
-        doc.where("n > 0").groupBy("member").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bits").alias("bits")).join(nodes, "member", "left_semi"), f"{folder}/members",
+        doc.where("n > 0").groupBy("member").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")).join(nodes, "member", "left_semi"), f"{folder}/members",
     )
     about = first.select("member", "n", "bits")
     about = F.broadcast(about) if fits(about, SMALL // 5) else about
-    root, left, turn, sets = None, bucket, 0, None
+    root, left, turn = None, bucket, 0
     while True:
         here = f"{folder}/round-{turn}"
         if root is None:
@@ -311,8 +336,10 @@ def _linked(spark: SparkSession, rows: DataFrame, doc: DataFrame, bucket: DataFr
             .select(F.least("member", "pivot.member").alias("a"), F.greatest("member", "pivot.member").alias("b")).distinct(),
             f"{here}/pairs",
         )
+        pairs = written(_near(pairs, first, threshold), f"{here}/near")
         if not pairs.isEmpty():
-            sets = sets or written(_sets(rows, first, words), f"{folder}/sets")
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct()
+            sets = written(_sets(rows, written(first.select("member", "doc_id").join(ends, "member", "left_semi"), f"{here}/ends"), words), f"{here}/sets")
             new = written(_verified(pairs, sets, threshold), f"{here}/links")
             root = _merged(new, root, here)
         # pivots have been compared with all members of their buckets
