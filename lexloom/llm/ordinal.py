@@ -28,6 +28,8 @@ from lexloom.llm.store import open_file, parts_of, work_dir, write_file, written
 FIT_ROWS = 12_000
 #: Standard errors by which a feature's mean grade must differ.
 SCREEN = 4.0
+#: Bound of the features that a model keeps, those that differ most.
+MAX_FEATURES = 8192
 #: Bytes at a word's end and at its start that are features of their own.
 TAILS, HEADS = (3,), (3, 5, 6, 7)
 DENSE = np.uint64(0xE7037ED1A0B428DB)
@@ -220,19 +222,20 @@ def fit(
             for x in batch.column(2).to_pylist():
                 x = np.frombuffer(x, np.uint64)
                 at = np.minimum(np.searchsorted(kept, x), max(0, len(kept) - 1))
-                out.append(x[kept[at] == x].tobytes() if len(kept) else b"")
+                out.append(at[kept[at] == x].astype(np.uint16).tobytes() if len(kept) else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tk.strings(out)], ["doc_id", "grade", "keys"])
 
     rows = told.mapInArrow(only_kept, "doc_id long, grade long, keys binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.grade, bytes(r["keys"])))
     y = np.searchsorted(grades, [r.grade for r in rows])
-    sets = [np.frombuffer(bytes(r["keys"]), np.uint64) for r in rows]
-    doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    return fit_arrays(doc, np.concatenate(sets), y, grades, min_df=least, l2=l2, steps=steps)
+    sets = [np.frombuffer(bytes(r["keys"]), np.uint16) for r in rows]
+    doc = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+    model = fit_arrays(doc, np.concatenate(sets), y, grades, min_df=least, l2=l2, steps=steps)
+    return OrdinalModel(kept[model.keys], model.weights, model.cuts, model.grades)
 
 
 def _screened(spark: SparkSession, told: DataFrame, grades: np.ndarray, size: np.ndarray, least: int) -> np.ndarray:
-    """Features that tell grades apart, sorted.
+    """The ``MAX_FEATURES`` features that tell grades apart best, sorted.
 
     Counted on the executors: pieces send each part their features' counts and
     sums of grades, packed, and only those that pass come to the driver.
@@ -260,11 +263,14 @@ def _screened(spark: SparkSession, told: DataFrame, grades: np.ndarray, size: np
         if len(key):
             key, back = np.unique(key, return_inverse=True)
             df, total = np.bincount(back, df), np.bincount(back, total)
-            good = (df >= least) & (np.abs(total - df * mean) >= SCREEN * np.sqrt(np.maximum(df * var, 1e-9)))
-            yield pa.RecordBatch.from_arrays([tk.strings([key[good].tobytes()])], ["keys"])
-
-    rows = told.mapInArrow(count, "part int, keys binary, counts binary, sums binary").repartitionById(parts, F.col("part")).mapInArrow(keep, "keys binary").collect()
-    return np.sort(exchange.joined([bytes(r["keys"]) for r in rows], np.uint64))
+            lean = np.abs(total - df * mean) / np.sqrt(np.maximum(df * var, 1e-9))
+            good = np.flatnonzero((df >= least) & (lean >= SCREEN))
+            good = good[np.lexsort((key[good], -lean[good]))][:MAX_FEATURES]
+            yield pa.RecordBatch.from_arrays([tk.strings([key[good].tobytes()]), tk.strings([lean[good].tobytes()])], ["keys", "leans"])
+
+    rows = told.mapInArrow(count, "part int, keys binary, counts binary, sums binary").repartitionById(parts, F.col("part")).mapInArrow(keep, "keys binary, leans binary").collect()
+    key, lean = exchange.joined([bytes(r["keys"]) for r in rows], np.uint64), exchange.joined([bytes(r.leans) for r in rows], np.float64)
+    return np.sort(key[np.lexsort((key, -lean))[:MAX_FEATURES]])
 
 
 def score(spark: SparkSession, docs: DataFrame, model: OrdinalModel | None, *, tail_grade: int, prefix: str) -> DataFrame:
