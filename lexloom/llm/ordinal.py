@@ -70,8 +70,13 @@ def described(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def dense(doc: np.ndarray, key: np.ndarray, count: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of distinct features, those that one word in a hundred has: features of their own."""
-    often = (count * 100 >= words[doc]) & (count > 1)
-    return doc[often], tk.mix(key[often] ^ DENSE)
+    kept = often(count, words[doc])
+    return doc[kept], tk.mix(key[kept] ^ DENSE)
+
+
+def often(count: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Whether one word in a hundred has the feature, and more than one word."""
+    return (count * 100 >= words) & (count > 1)
 
 
 @dataclass
@@ -96,12 +101,17 @@ class OrdinalModel:
             return np.zeros(n)
         doc, h = features(buf, off)
         words = np.bincount(doc, minlength=n) / (1 + len(TAILS) + len(HEADS))
+        at, _ = self._counted(doc, h)
+        # the plain feature of a dense one need not be kept, so every word's dense feature is looked up
+        at2, count = self._counted(doc, tk.mix(h ^ DENSE))
+        at2 = at2[often(count, words[at2 // len(self.keys)])]
+        at = np.concatenate([at, at2])
+        return np.bincount(at // len(self.keys), self.weights[at % len(self.keys)], n)
+
+    def _counted(self, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs ``text * len(keys) + place`` of the hashes that have a weight, and how often each is met."""
         doc, at = self._known(doc, h)
-        pairs, count = np.unique(doc * len(self.keys) + at, return_counts=True)
-        doc, at = pairs // len(self.keys), pairs % len(self.keys)
-        # a dense feature is known only if the plain one is: it is in no more texts
-        doc2, at2 = self._known(*dense(doc, self.keys[at], count, words))
-        return np.bincount(np.concatenate([doc, doc2]), self.weights[np.concatenate([at, at2])], n)
+        return np.unique(doc * len(self.keys) + at, return_counts=True)
 
     def _known(self, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near = np.flatnonzero(self.slots()[(h >> np.uint64(42)).astype(np.int64)])
