@@ -135,6 +135,29 @@ S.portable("g19_unasked_answers", "SELECT a.profile_id, a.basis, a.akey FROM {an
 S.portable("g20_candidate_profiles", "SELECT DISTINCT key1 AS role, concat('candidate/', lower(key1)) AS profile FROM {edge} WHERE basis = 'roles'")
 S.portable("g21_profile_fingerprint", "SELECT profile_id, [[sha2(||sha256(]]concat(segment, '/', cast(nation AS VARCHAR(9)))[[, 256)||)]] AS fingerprint FROM {profile}")
 S.portable("g22_licensing_clauses", "SELECT a.doc_id FROM (SELECT doc_id, text FROM {documents} WHERE lower(text) LIKE '%licen%' AND n_chars < 800) a WHERE NOT EXISTS (SELECT 1 FROM {documents} b WHERE b.doc_id <> a.doc_id AND b.n_chars < 800 AND lower(b.text) LIKE '%licen%' AND length(b.text) < length(a.text) AND instr(a.text, b.text) > 0)")
+
+
+@S.checked("g22_licensing_clauses")
+def _g22(spark, sf_dir):
+    """All documents, where the SQL above looks at short ones only.
+
+    The words inside a contained text, all but its first and last, are words of
+    the text around it: pairs meet on the rarest of them.  Texts of two words
+    at most have none inside and meet all; equal texts are compared once.
+    """
+    docs = relation(spark, sf_dir, "documents").where(F.lower("text").contains("licen")).select("doc_id", "text", F.sha2("text", 256).alias("h"))
+    texts = docs.groupBy("h").agg(F.first("text").alias("text")).withColumn("w", F.split("text", " "))
+    flat = texts.select("h", F.explode(F.array_distinct("w")).alias("t"))
+    inside = texts.select("h", "text", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))))).alias("t"))
+    rarest = inside.join(flat.groupBy("t").agg(F.count("*").alias("f")), "t").groupBy("h").agg(F.min(F.struct("f", "t"))["t"].alias("t"))
+    near = rarest.toDF("small", "t").join(flat, "t").where("small <> h").select("small", "h")
+    whole, part = texts.select("h", "text"), texts.select(F.col("h").alias("small"), F.col("text").alias("part"))
+    holds = F.col("text").contains(F.col("part")) & (F.length("part") < F.length("text"))
+    long = near.join(part, "small").join(whole, "h").where(holds).select("h")
+    short = whole.join(texts.where(F.size("w") <= 2).select(F.col("text").alias("part")), holds).select("h")
+    return docs.join(long.union(short).distinct(), "h", "left_anti").select("doc_id")
+
+
 S.portable("g24_accept_licences", "SELECT p_type AS licence, count(*) AS proposals, count(CASE WHEN p_name LIKE '%e%' THEN 1 END) AS accepted FROM {part} GROUP BY p_type")
 S.portable("g25_retire_unsound", "SELECT e.obligation_id, e.basis FROM {edge} e LEFT JOIN {obligation} o ON o.obligation_id = e.obligation_id AND o.status <> 'stale' WHERE o.obligation_id IS NULL")
 S.portable("g26_ontology_diff", "SELECT coalesce(a.n_name, b.n_name) AS term, CASE WHEN a.n_name IS NULL THEN 'added' WHEN b.n_name IS NULL THEN 'retired' ELSE 'kept' END AS state FROM (SELECT n_name FROM {nation} WHERE n_nationkey < 20) a FULL OUTER JOIN (SELECT n_name FROM {nation} WHERE n_nationkey > 4) b ON b.n_name = a.n_name")

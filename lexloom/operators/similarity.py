@@ -45,7 +45,8 @@ _PAIRS = f"""
 
 
 def _docs(spark, sf_dir):
-    return relation(spark, sf_dir, "documents").where("n_chars < 3000")
+    """All documents.  ``_PAIRS`` and the other SQL look at short ones only, so they check a part of the result."""
+    return relation(spark, sf_dir, "documents")
 
 
 def _duplicates(spark, sf_dir, threshold):
