@@ -131,7 +131,7 @@ def _g17(spark, sf_dir):
 
 
 S.portable("g18_validate_profile", "SELECT profile_id, CASE WHEN balance < 0 THEN 'negative balance' WHEN segment = '' THEN 'no segment' ELSE 'ok' END AS problem FROM {profile}")
-S.portable("g19_unasked_answers", "SELECT a.profile_id, a.basis, a.akey FROM {answer} a LEFT JOIN (SELECT DISTINCT basis, key1 FROM {edge} WHERE obligation_id < 8 UNION SELECT DISTINCT basis, key2 FROM {edge} WHERE obligation_id < 8) e ON e.basis = a.basis AND e.key1 = a.akey WHERE e.basis IS NULL")
+S.whole("g19_unasked_answers", "SELECT a.profile_id, a.basis, a.akey FROM {answer} a LEFT JOIN (SELECT DISTINCT basis, key1 FROM {edge} WHERE obligation_id < 8 UNION SELECT DISTINCT basis, key2 FROM {edge} WHERE obligation_id < 8) e ON e.basis = a.basis AND e.key1 = a.akey WHERE e.basis IS NULL", " WHERE obligation_id < 8")
 S.portable("g20_candidate_profiles", "SELECT DISTINCT key1 AS role, concat('candidate/', lower(key1)) AS profile FROM {edge} WHERE basis = 'roles'")
 S.portable("g21_profile_fingerprint", "SELECT profile_id, [[sha2(||sha256(]]concat(segment, '/', cast(nation AS VARCHAR(9)))[[, 256)||)]] AS fingerprint FROM {profile}")
 S.portable("g22_licensing_clauses", "SELECT a.doc_id FROM (SELECT doc_id, text FROM {documents} WHERE lower(text) LIKE '%licen%' AND n_chars < 800) a WHERE NOT EXISTS (SELECT 1 FROM {documents} b WHERE b.doc_id <> a.doc_id AND b.n_chars < 800 AND lower(b.text) LIKE '%licen%' AND length(b.text) < length(a.text) AND instr(a.text, b.text) > 0)")

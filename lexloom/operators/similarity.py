@@ -124,10 +124,10 @@ S.portable("d32_concept_members", "SELECT lang AS concept, doc_id AS member FROM
 S.portable("d33_concept_upsert", "SELECT lang AS concept, source, count(*) AS members, min(doc_id) AS first_member, max(doc_id) AS last_member FROM {documents} GROUP BY lang, source")
 S.portable("d34_stale_concepts", """
     SELECT o.source_key AS concept, count(*) AS members, count(n.ref) AS live FROM {obligation} o LEFT JOIN {new_version} n ON n.ref = concat(cast(o.obligation_id AS VARCHAR(9)), '/1-URGENT') GROUP BY o.source_key HAVING count(n.ref) < count(*)""")
-S.portable("d35_resolve_concept", """
+S.whole("d35_resolve_concept", """
     SELECT p.profile_id, o.source_key AS concept, CASE WHEN count(CASE WHEN o.obligation_id % 25 = p.nation THEN 1 END) > 2 THEN 'covered' WHEN count(CASE WHEN o.status = 'stale' THEN 1 END) > 9 THEN 'excluded' ELSE 'uncovered' END AS state,
         count(CASE WHEN o.obligation_id % 25 = p.nation THEN 1 END) AS facets
-    FROM {profile} p CROSS JOIN {obligation} o WHERE p.profile_id < 20 GROUP BY p.profile_id, o.source_key""")
+    FROM {profile} p CROSS JOIN {obligation} o WHERE p.profile_id < 20 GROUP BY p.profile_id, o.source_key""", " WHERE p.profile_id < 20")
 
 
 @S.checked("f06_name_similarity", """

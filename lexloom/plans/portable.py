@@ -82,6 +82,9 @@ FIXTURES: dict[str, str] = {
     "input": "SELECT o_orderkey AS id, o_custkey AS member, o_orderpriority AS cohort, o_totalprice AS value, o_orderdate AS submitted_at FROM {orders}",
 }
 
+#: Fixtures that the SQL of the checks has for the first profiles only: queries read these instead.
+WHOLE = {"answer": FIXTURES["answer"].replace(" WHERE c_custkey < 60 AND", " WHERE").replace(" WHERE c_custkey < 60", "")}
+
 
 def _choose(sql: str, spark: bool) -> str:
     sql = re.sub(r"\[\[(.*?)\|\|(.*?)\]\]", lambda m: m[1] if spark else m[2], sql, flags=re.S)
@@ -136,7 +139,7 @@ def days(later: str, earlier: str) -> str:
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture or table as a DataFrame."""
-    return run(spark, sf_dir, FIXTURES[name]) if name in FIXTURES else table(spark, sf_dir, name)
+    return run(spark, sf_dir, WHOLE.get(name, FIXTURES[name])) if name in FIXTURES else table(spark, sf_dir, name)
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
