@@ -126,3 +126,11 @@ def test_profiles_of_all_customers(spark, duck, name):
     plain = lambda rows: sorted((tuple(str(v) for v in r) for r in rows))
     found = plain(got(spark, SMALL, name))
     assert found == plain(asked(duck, sql, columns)) and found != plain(asked(duck, registry.oracle_sql()[name], columns))
+
+
+@pytest.mark.parametrize("name", ["r04_bm25", "r05_like_leg", "r07_rank_fusion", "r08_search", "r11_nearest_vectors"])
+def test_searches_for_all_items_and_vectors(spark, duck, name):
+    """The SQL with whole texts of all items, or all vectors, as queries gives the same rows."""
+    sql = registry.oracle_sql()[name].replace("[1:6]", "").replace("item_id < 10", "true").replace("vec_id < 5", "true")
+    plain = lambda rows: sorted(tuple(f"{v:.5f}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+    assert plain(got(spark, SMALL, name)) == plain(asked(duck, sql, sorted(duck.sql(sql).columns)))
