@@ -1,16 +1,16 @@
 """Byte-level BPE through a table of distinct words.
 
 Texts are split into units (white space and the word after it; no pre-token
-of the tokenizer spans two).  One packed exchange gathers each distinct unit
-once; it is encoded once with the library and stored in shards by hash.  A
-second pass joins ids back by position: each piece of text looks up its units'
-hashes in the shards, which executors map from the shared folder, and lays the
-ids out in text order.  Decoding joins ids to the vocabulary's pieces.
-
-A shard holds at most ``shard_units`` units, those that most pieces of input
-have; what it leaves out, units of more than 255 bytes, and texts with white
-space beyond ASCII are encoded where they are met.  So memory and the table's
-size are bounded while ids are exact for any text.
+of the tokenizer spans two; a text with white space beyond ASCII is one unit).
+One packed exchange gathers each distinct unit, which is encoded once with the
+library and stored, with its bytes, in a shard by hash.  A second pass joins
+ids back by position: each piece of text finds its units by hash in the
+shards, which executors map from the shared folder, compares their bytes, and
+lays the ids out in text order.  Decoding joins ids to the vocabulary's pieces.
+
+Every unit is in the table, whatever its length; only a unit that shares its
+64-bit hash with another one is encoded where it is met.  Shards are as many
+as the input's bytes ask for, which bounds the memory of a task.
 """
 
 from __future__ import annotations
@@ -27,70 +27,66 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import encoders, exchange
 from lexloom.llm import textkit as tk
-from lexloom.llm.store import open_file, parts_of, work_dir, write_file, written
+from lexloom.llm.store import open_file, parts_for, small_batches, work_dir, write_file, written
 
 U = np.uint64
-#: Units in one shard, bytes of one, and keys that a task remembers to have sent.
-SHARD_UNITS, UNIT_BYTES, SENT_KEYS = 200_000, 255, 3_000_000
+#: Bytes of input for each shard, and hashes that a task remembers to have sent (others are sent again).
+SHARD_BYTES, SENT_KEYS = 64 << 20, 3_000_000
+#: Units that a task gathers before it leaves repeated ones out.
+MERGE_UNITS = 500_000
 #: Bytes of shards that a worker holds where the shared folder can't be mapped.
 CACHE_BYTES = 128 << 20
 
 
-def distinct_units(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows ``part, keys, checks, sizes, bytes`` of units, each at most once a task (while it remembers)."""
+def distinct_units(docs: DataFrame, parts: int, remembered: int = SENT_KEYS) -> DataFrame:
+    """Rows ``part, keys, sizes, data`` of units, each at most once a task (while it remembers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = np.zeros(0, U)
-        for _, buf, off in tk.pieces(batches, size=4 * tk.BLOCK):
+        for _, buf, off in tk.pieces(batches):
             s, e, _ = encoders.units(buf, off)
             keys, rep = np.unique(tk.slice_hashes(buf, s, e), return_index=True)
-            at = np.minimum(np.searchsorted(sent, keys), max(0, len(sent) - 1))
-            new = (e[rep] - s[rep] <= UNIT_BYTES) & (sent[at] != keys if len(sent) else True)
-            keys, s, e = keys[new], s[rep[new]], e[rep[new]]
-            if len(sent) + len(keys) > SENT_KEYS:
+            if len(sent):
+                at = np.minimum(np.searchsorted(sent, keys), len(sent) - 1)
+                new = sent[at] != keys
+                keys, rep = keys[new], rep[new]
+            if len(sent) + len(keys) > remembered:
                 sent = np.zeros(0, U)
             sent = np.union1d(sent, keys)
-            # slices in the order of the text, for the second hash
-            order = np.argsort(s, kind="stable")
-            keys, s, e = keys[order], s[order], e[order]
-            check = tk.slice_hashes(buf, s, e, which=1)
-            data, rows = buf.tobytes(), []
+            s, e, rows = s[rep], e[rep], []
             for part, i in exchange.by_part(keys, parts):
-                a, b = s[i].tolist(), e[i].tolist()
-                rows.append((part, keys[i].tobytes(), check[i].tobytes(), (e[i] - s[i]).astype(np.uint8).tobytes(), b"".join([data[x:y] for x, y in zip(a, b, strict=True)])))
+                rows.append((part, keys[i].tobytes(), (e[i] - s[i]).astype(np.uint32).tobytes(), encoders.joined_slices(buf, s[i], e[i]).tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["part", "keys", "checks", "sizes", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], ["part", "keys", "sizes", "data"])
 
-    return docs.mapInArrow(run, "part int, keys binary, checks binary, sizes binary, data binary")
+    return docs.mapInArrow(run, "part int, keys binary, sizes binary, data binary")
 
 
-def build_table(spark: SparkSession, docs: DataFrame, path: str, folder: str, *, shard_units: int = SHARD_UNITS) -> tuple[dict[int, str], int]:
+def build_table(spark: SparkSession, docs: DataFrame, path: str, folder: str, *, shard_bytes: int = SHARD_BYTES, remembered: int = SENT_KEYS) -> tuple[dict[int, str], int]:
     """Encodes each distinct unit once; the shards' places and the number of parts."""
-    parts = parts_of(spark, 1)
+    parts = parts_for(docs, shard_bytes)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
-        part = None
+        held, part, fresh = [], None, 0
         for b in batches:
-            if b.num_rows:
-                part = b.column(0)[0].as_py()
-                for x, c in zip(held, b.columns[1:], strict=True):
-                    x += c.to_pylist()
+            for part, keys, sizes, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append((np.frombuffer(keys, U), np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(data, np.uint8)))
+                fresh += len(held[-1][0])
+                if fresh > MERGE_UNITS:
+                    held, fresh = [_once(held)], 0
         if part is None:
             return
-        keys, check, size = exchange.joined(held[0], U), exchange.joined(held[1], U), exchange.joined(held[2], np.uint8).astype(np.int64)
-        data = b"".join(held[3])
-        start = np.cumsum(size) - size
-        keys, rep, count = np.unique(keys, return_index=True, return_counts=True)
-        if len(keys) > shard_units:
-            most = np.sort(np.argsort(-count, kind="stable")[:shard_units])
-            keys, rep = keys[most], rep[most]
+        keys, size, data = _once(held)
         uri = f"{folder}/units-{part}.arrow"
-        out = []
+        ends, out = np.cumsum(size), []
         for i in range(0, len(keys), 8192):
-            r = rep[i : i + 8192]
-            ids = encoders.plain(path, [data[a : a + n].decode() for a, n in zip(start[r].tolist(), size[r].tolist(), strict=True)])
-            out.append(pa.RecordBatch.from_arrays([pa.array(keys[i : i + 8192]), pa.array(check[r]), pa.array(ids, pa.list_(pa.uint32()))], ["key", "check", "ids"]))
+            a, b = ends[i : i + 8192] - size[i : i + 8192], ends[i : i + 8192]
+            ids, n = encoders.encoded(path, data, a, b)
+            out.append(pa.RecordBatch.from_arrays([
+                pa.array(keys[i : i + 8192]),
+                pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(np.append(a, b[-1]) - a[0]), pa.py_buffer(data[a[0] : b[-1]])]),
+                pa.LargeListArray.from_arrays(np.append(0, np.cumsum(n)), pa.array(ids)),
+            ], ["key", "unit", "ids"]))
         table = pa.Table.from_batches(out).combine_chunks()
 
         def write(stream):
@@ -100,10 +96,18 @@ def build_table(spark: SparkSession, docs: DataFrame, path: str, folder: str, *,
         write_file(uri, write)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([uri]), pa.array([len(keys)], pa.int64())], ["part", "uri", "units"])
 
-    made = distinct_units(docs, parts).repartitionById(parts, F.col("part")).mapInArrow(encode, "part int, uri string, units long")
+    made = distinct_units(docs, parts, remembered).repartitionById(parts, F.col("part")).mapInArrow(encode, "part int, uri string, units long")
     return {r.part: r.uri for r in written(made, f"{folder}/shards").collect()}, parts
 
 
+def _once(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, sizes and bytes of units, each hash once, in order."""
+    keys, size, data = (np.concatenate(x) for x in zip(*held, strict=True))
+    keys, rep = np.unique(keys, return_index=True)
+    end = np.cumsum(size)
+    return keys, size[rep], encoders.joined_slices(data, end[rep] - size[rep], end[rep])
+
+
 class SharedTable:
     """Unit shards by number; mapped ones cost no memory, others are kept up to a bound."""
 
@@ -116,22 +120,25 @@ class SharedTable:
             return self.open[part]
         f = open_file(self.uris[part])
         t = pa.ipc.open_file(f).read_all().combine_chunks()
-        lists = t["ids"].chunk(0)
-        shard = (t["key"].to_numpy(), t["check"].to_numpy(), lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(), 0 if isinstance(f, pa.MemoryMappedFile) else t.nbytes)
+        unit, lists = t["unit"].chunk(0), t["ids"].chunk(0)
+        data, where = tk.column(unit)
+        shard = (t["key"].to_numpy(), where, data, lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(), 0 if isinstance(f, pa.MemoryMappedFile) else t.nbytes)
         self.open[part] = shard
         while len(self.open) > 1 and sum(s[-1] for s in self.open.values()) > self.limit:
             self.open.popitem(last=False)
         return shard
 
-    def find(self, keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each key: whether it is there, where its ids start in the last array, and how many."""
+    def find(self, keys: np.ndarray, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each unit: whether it is there, where its ids start in the last array, and how many."""
         hit, at, size, ids, base = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), [], 0
         for part, i in exchange.by_part(keys, self.parts):
             if part not in self.uris:
                 continue
-            own, mark, off, flat, _ = self._shard(part)
+            own, where, data, off, flat, _ = self._shard(part)
             place = np.minimum(np.searchsorted(own, keys[i]), len(own) - 1)
-            ok = (own[place] == keys[i]) & (mark[place] == check[i])
+            ok = own[place] == keys[i]
+            i, place = i[ok], place[ok]
+            ok = tk.same_bytes(buf, s[i], e[i], data, where[place], where[place + 1])
             i, place = i[ok], place[ok]
             n = off[place + 1] - off[place]
             hit[i], size[i] = True, n
@@ -141,22 +148,17 @@ class SharedTable:
         return hit, at, size, np.concatenate(ids) if ids else np.zeros(0, np.uint32)
 
 
-def joined_ids(table: SharedTable, spare: encoders.Encoder, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def joined_ids(table: SharedTable, path: str, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts, one after another, and where each text's ids start."""
     s, e, first = encoders.units(buf, off)
-    keys, rep, back = np.unique(tk.slice_hashes(buf, s, e), return_index=True, return_inverse=True)
-    check = tk.slice_hashes(buf, s, e, which=1)[rep]
-    hit, at, size, ids = table.find(keys, check)
+    keys, rep, back = encoders.distinct(buf, s, e)
+    hit, at, size, ids = table.find(keys, buf, s[rep], e[rep])
     miss = np.flatnonzero(~hit)
-    if len(miss):
-        data = buf.tobytes()
-        got = encoders.plain(spare.path, [data[a:b].decode() for a, b in zip(s[rep[miss]].tolist(), e[rep[miss]].tolist(), strict=True)])
-        n = np.array([len(x) for x in got], np.int64)
+    if len(miss):  # they share their hash with another unit
+        more, n = encoders.encoded(path, buf, s[rep[miss]], e[rep[miss]])
         at[miss], size[miss] = len(ids) + np.cumsum(n) - n, n
-        ids = np.concatenate([ids, np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))])
-    out = encoders.gather(ids, at[back], size[back])
-    bounds = np.concatenate([[0], np.cumsum(size[back])])[first]
-    return spare._whole(buf, off, out, bounds)
+        ids = np.concatenate([ids, more])
+    return encoders.gather(ids, at[back], size[back]), np.concatenate([[0], np.cumsum(size[back])])[first]
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -195,7 +197,7 @@ def _valid(data: bytes) -> bool:
     return True
 
 
-def round_trip(spark: SparkSession, docs: DataFrame, path: str, *, shard_units: int = SHARD_UNITS) -> DataFrame:
+def round_trip(spark: SparkSession, docs: DataFrame, path: str, *, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` of every row.
 
     ``ids`` are little-endian unsigned 32-bit integers, as the library encodes
@@ -204,14 +206,15 @@ def round_trip(spark: SparkSession, docs: DataFrame, path: str, *, shard_units:
     empty text.  Repeated rows each have a row; ids may be null; further
     columns are ignored.
     """
+    small_batches(spark)
     folder = work_dir(spark, "bpe-words")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    uris, parts = build_table(spark, rows, path, folder, shard_units=shard_units)
+    uris, parts = build_table(spark, rows, path, folder, shard_bytes=shard_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, spare = SharedTable(uris, parts), encoders.Encoder(path)
+        table = SharedTable(uris, parts)
         for batch, buf, off in tk.pieces(batches):
-            ids, bounds = joined_ids(table, spare, buf, off)
+            ids, bounds = joined_ids(table, path, buf, off)
             flat = ids.astype("<u4")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(bounds)), tk.strings([flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]), pa.array(decoded(path, ids, bounds), pa.binary()).cast(pa.string())],

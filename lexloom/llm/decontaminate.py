@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from fractions import Fraction
-from functools import lru_cache
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import textkit as tk
-from lexloom.llm.store import open_file, work_dir, write_file
+from lexloom.llm.store import fits, open_file, small_batches, work_dir, write_file, written
 
-HITS = "doc_id long, item_id long, item_shingles int, shared int, containment double"
+HITS = "doc_id long, mark long, item_id long, item_shingles int, shared int, containment double"
 #: Items per pass over the documents; more items take more passes.
 BLOCK_ITEMS = 50_000
 WORD = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+")
@@ -102,7 +102,6 @@ class Index:
         return sorted(found)
 
 
-@lru_cache(2)
 def _load(uri: str, k: int, threshold: float) -> Index:
     with open_file(uri) as f:
         table = pa.ipc.open_file(f).read_all()
@@ -123,31 +122,46 @@ def contaminated(
     against all documents, in blocks of ``block_items`` that bound the memory
     of a task; more items mean more passes, never fewer comparisons.
     """
-    folder = work_dir(spark, "decontaminate")
-    uris = _store(benchmark, folder, block_items)
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return _hits(spark, docs, benchmark, words, threshold, block_items).drop("mark")
+
+
+def _hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, words: int, threshold: float, block_items: int) -> DataFrame:
+    """What :func:`contaminated` returns, with a hash of the document's text."""
+    small_batches(spark)
+    uris = _store(benchmark, work_dir(spark, "decontaminate"), block_items)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    if not uris:
+        return docs.limit(0).mapInArrow(lambda batches: iter(()), HITS)
+    passes = [docs.mapInArrow(_scanner(uri, words, threshold), HITS) for uri in uris]
+    return reduce(DataFrame.union, passes)
+
+
+def _mark():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _scanner(uri: str, words: int, threshold: float):
+    """Searches all documents for one block of items, whose index a task builds once."""
 
     def scan(batches):
+        index = _load(uri, words, threshold)
         for batch, buf, off in tk.pieces(batches):
             h, ok, first = _hashes(buf, off, words)
-            ids, rows, sets = batch.column(0), [], {}
-            for uri in uris:
-                index = _load(uri, words, threshold)
-                for d, i in index.search(h, ok, first):
-                    if d not in sets:
-                        sets.clear()
-                        sets[d] = shingle_set(buf[off[d] : off[d + 1]].tobytes().decode(), words)
-                    mine = index.item_set(i)
-                    shared = len(mine & sets[d])
-                    if shared >= needed(len(mine), threshold):
-                        rows.append((ids[d].as_py(), index.items[i][0], len(mine), shared, shared / len(mine)))
+            ids, marks, rows, at, have = batch.column(0), batch.column(1), [], -1, set()
+            for d, i in index.search(h, ok, first):
+                if d != at:  # pairs come by document
+                    at, have = d, shingle_set(buf[off[d] : off[d + 1]].tobytes().decode(), words)
+                mine = index.item_set(i)
+                shared = len(mine & have)
+                if shared >= needed(len(mine), threshold):
+                    rows.append((ids[d].as_py(), marks[d].as_py(), index.items[i][0], len(mine), shared, shared / len(mine)))
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)],
-                    ["doc_id", "item_id", "item_shingles", "shared", "containment"],
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)],
+                    [x.split()[0] for x in HITS.split(", ")],
                 )
 
-    return docs.mapInArrow(scan, HITS)
+    return scan
 
 
 def _store(benchmark: DataFrame, folder: str, block: int) -> list[str]:
@@ -175,14 +189,15 @@ def _store(benchmark: DataFrame, folder: str, block: int) -> list[str]:
     return uris
 
 
-def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def without_contaminated(
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, words: int = 5, threshold: float = 0.8, block_items: int = BLOCK_ITEMS,
+) -> DataFrame:
     """The rows of ``docs`` in which no item is contained, with all their columns.
 
-    Rows with a null doc_id stay unless they are contaminated themselves: they
-    are compared null-safely, so one such hit drops all rows without an id.
+    Rows are told apart by id and text: of rows without an id, or with the
+    same one, only those with a contaminated text go.
     """
-    from lexloom.llm.store import fits, written
-
-    hits = written(contaminated(spark, docs, benchmark, **options).select(F.col("doc_id").alias("__lexloom_hit")).distinct(), work_dir(spark, "hits"))
-    right = F.broadcast(hits) if fits(hits, 1_000_000) else hits
-    return docs.join(right, F.col("doc_id").eqNullSafe(F.col("__lexloom_hit")), "left_anti")
+    found = _hits(spark, docs, benchmark, words, threshold, block_items)
+    hits = written(found.select(F.col("doc_id").alias("__lexloom_id"), F.col("mark").alias("__lexloom_mark")).distinct(), work_dir(spark, "hits"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__lexloom_id")) & (_mark() == F.col("__lexloom_mark"))
+    return docs.join(F.broadcast(hits) if fits(hits, 1_000_000) else hits, same, "left_anti")

@@ -3,8 +3,9 @@
 A unit is a run of ASCII white space with the word after it.  In the
 tokenizers used here no pre-token spans the end of a word before ASCII white
 space, and normalisation doesn't look across it, so the ids of a text are the
-ids of its units in order.  Units repeat; each worker keeps the ids of those
-it has met, up to a bound, and looks whole batches up by hash.
+ids of its units in order.  A text with white space beyond ASCII, which may
+merge with its neighbours, is one unit.  Units repeat; each worker keeps the
+ids of those it has met, up to a bound.  Hashes find a unit, bytes decide.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ import numpy as np
 
 from lexloom.llm import textkit as tk
 
-#: Units that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
-#: Units that are new before they are merged with those that are known.
-RECENT = 80_000
+#: Bytes of units and ids that a worker remembers before it starts anew.
+REMEMBERED = 64 << 20
+#: Bytes that are new before they are merged with those that are known.
+RECENT = 5 << 20
 #: White space beyond ASCII: texts that have it may merge it with ASCII white space, so they are encoded whole.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _OTHER_BYTES = re.compile(b"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -41,6 +42,15 @@ def plain(path: str, texts: list[str]) -> list[list[int]]:
     return [e.ids for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def encoded(path: str, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of slices that are texts, one after another, and how many each has."""
+    data = buf[int(s.min()) : int(e.max())].tobytes() if len(s) else b""
+    low = int(s.min()) if len(s) else 0
+    got = plain(path, [data[a:b].decode() for a, b in zip((s - low).tolist(), (e - low).tolist(), strict=True)])
+    size = np.array([len(x) for x in got], np.int64)
+    return np.fromiter((i for x in got for i in x), np.uint32, int(size.sum())), size
+
+
 def units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and first unit of each text; white space at the end is a unit too."""
     _, e, first = tk.spans(buf, off)
@@ -48,8 +58,11 @@ def units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     last_end = np.where(first[1:] > first[:-1], e[np.maximum(first[1:] - 1, 0)] if len(e) else 0, off[:-1])
     tail = docs[last_end < off[1:]]
     end = np.concatenate([e, off[1:][tail]])
-    order = np.argsort(end, kind="stable")
-    end = end[order]
+    whole = alone(buf, off)
+    if whole.any():
+        doc = np.searchsorted(off, end, "left") - 1
+        end = end[~whole[doc] | (end == off[doc + 1])]
+    end.sort(kind="stable")
     first = np.searchsorted(end, off, "right")
     first[0] = 0
     start = np.empty_like(end)
@@ -59,36 +72,57 @@ def units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, first
 
 
+def distinct(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct units, the first of each, and for each unit which it is."""
+    h = tk.slice_hashes(buf, s, e)
+    keys, rep, back = np.unique(h, return_index=True, return_inverse=True)
+    again = np.flatnonzero(rep[back] != np.arange(len(s)))
+    r = rep[back[again]]
+    odd = again[~tk.same_bytes(buf, s[again], e[again], buf, s[r], e[r])]
+    if len(odd):  # units that share a hash: each stands for itself
+        back[odd] = len(rep) + np.arange(len(odd))
+        keys, rep = np.concatenate([keys, h[odd]]), np.concatenate([rep, odd])
+    return keys, rep, back
+
+
+def joined_slices(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    return gather(buf, s, e - s)
+
+
 class UnitTable:
-    """Ids by unit hash: sorted keys, where their ids start, and the ids."""
+    """Ids by unit: sorted hashes, the units' bytes, where their ids start, and the ids."""
 
     def __init__(self):
         self.clear()
 
     def clear(self):
         self.keys = np.zeros(0, np.uint64)
-        self.check = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int32)
-        self.ids = np.zeros(0, np.uint32)
+        self.start, self.end, self.at, self.size = (np.zeros(0, np.int64) for _ in range(4))
+        self.data, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
 
-    def find(self, keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, keys: np.ndarray, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each unit its place in the table, and whether it is there."""
         if not len(self.keys):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, (self.keys[at] == keys) & (self.check[at] == check)
+        hit = self.keys[at] == keys
+        near = np.flatnonzero(hit)
+        hit[near] = tk.same_bytes(buf, s[near], e[near], self.data, self.start[at[near]], self.end[at[near]])
+        return at, hit
 
-    def add(self, keys, check, ids: list[list[int]]):
-        size = np.array([len(x) for x in ids], np.int32)
-        self.merge(keys, check, np.cumsum(size) - size, size, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum())))
+    def add(self, keys, data: np.ndarray, length: np.ndarray, ids: np.ndarray, size: np.ndarray):
+        """Adds units (``data`` has their bytes, one after another) and their ids."""
+        end, order = np.cumsum(length), np.argsort(np.concatenate([self.keys, keys]), kind="stable")
+        at = np.cumsum(size) - size + len(self.ids)
+        for name, new in (("keys", keys), ("start", end - length + len(self.data)), ("end", end + len(self.data)), ("at", at), ("size", size)):
+            setattr(self, name, np.concatenate([getattr(self, name), new])[order])
+        self.data, self.ids = np.concatenate([self.data, data]), np.concatenate([self.ids, ids])
 
-    def merge(self, keys, check, at, size, flat):
-        at = len(self.ids) + at
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.check = keys[order], np.concatenate([self.check, check])[order]
-        self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
-        self.ids = np.concatenate([self.ids, flat])
+    def added(self, other: UnitTable):
+        self.add(other.keys, joined_slices(other.data, other.start, other.end), other.end - other.start, gather(other.ids, other.at, other.size), other.size)
+
+    def nbytes(self) -> int:
+        return len(self.data) + 4 * len(self.ids) + 40 * len(self.keys)
 
 
 def gather(ids: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -110,45 +144,38 @@ def alone(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes pieces of texts; ``table`` may come filled and then is not changed."""
+    """Encodes pieces of texts; what it remembers stays below ``remembered`` bytes."""
 
-    def __init__(self, path: str, table: UnitTable | None = None, remembered: int = REMEMBERED):
-        self.path, self.fixed = path, table
-        self.own, self.recent, self.remembered = UnitTable(), UnitTable(), remembered
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.path, self.remembered = path, remembered
+        self.own, self.recent = UnitTable(), UnitTable()
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and where each text's ids start."""
         s, e, first = units(buf, off)
-        h, check = tk.slice_hashes(buf, s, e), tk.slice_hashes(buf, s, e, which=1)
-        keys, rep, back = np.unique(h, return_index=True, return_inverse=True)
-        check = check[rep]
-        at, size, ids = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), []
-        left, base = np.ones(len(keys), bool), 0
-        for table in ([self.fixed] if self.fixed is not None else []) + [self.own, self.recent]:
-            place, hit = table.find(keys, check)
-            hit &= left
-            at[hit], size[hit] = table.at[place[hit]] + base, table.size[place[hit]]
-            ids.append(table)
+        keys, rep, back = distinct(buf, s, e)
+        at, size, flat, base = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), [], 0
+        left = np.arange(len(keys))
+        for table in (self.own, self.recent):
+            place, hit = table.find(keys[left], buf, s[rep[left]], e[rep[left]])
+            at[left[hit]], size[left[hit]] = table.at[place[hit]] + base, table.size[place[hit]]
+            flat.append(table.ids)
             base += len(table.ids)
-            left &= ~hit
-        new = np.flatnonzero(left)
-        flat = [t.ids for t in ids]
-        if len(new):
-            data = buf.tobytes()
-            got = plain(self.path, [data[a:b].decode() for a, b in zip(s[rep[new]].tolist(), e[rep[new]].tolist(), strict=True)])
-            size[new] = [len(x) for x in got]
-            at[new] = base + np.cumsum(size[new]) - size[new]
-            flat.append(np.fromiter((i for x in got for i in x), np.uint32, int(size[new].sum())))
-            self.recent.add(keys[new], check[new], got)
+            left = left[~hit]
+        if len(left):
+            ids, n = encoded(self.path, buf, s[rep[left]], e[rep[left]])
+            at[left], size[left] = base + np.cumsum(n) - n, n
+            flat.append(ids)
+            self.recent.add(keys[left], joined_slices(buf, s[rep[left]], e[rep[left]]), e[rep[left]] - s[rep[left]], ids, n)
         out = self._gather(flat, at[back], size[back])
         bounds = np.concatenate([[0], np.cumsum(size[back])])[first]
-        r = self.recent
-        if len(r.keys) > RECENT:
-            if len(self.own.keys) + len(r.keys) > self.remembered:
+        if self.recent.nbytes() > min(RECENT, self.remembered):
+            if self.own.nbytes() + self.recent.nbytes() > self.remembered:
                 self.own.clear()
-            self.own.merge(r.keys, r.check, r.at, r.size, r.ids)
-            r.clear()
-        return self._whole(buf, off, out, bounds)
+            if self.recent.nbytes() <= self.remembered:
+                self.own.added(self.recent)
+            self.recent.clear()
+        return out, bounds
 
     @staticmethod
     def _gather(flat: list[np.ndarray], at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -162,15 +189,6 @@ class Encoder:
             low += len(part)
         return out
 
-    def _whole(self, buf, off, out, bounds):
-        odd = np.flatnonzero(alone(buf, off))
-        if not len(odd):
-            return out, bounds
-        data = buf.tobytes()
-        new = dict(zip(odd.tolist(), plain(self.path, [data[off[i] : off[i + 1]].decode() for i in odd]), strict=True))
-        parts = [np.array(new[i], np.uint32) if i in new else out[bounds[i] : bounds[i + 1]] for i in range(len(off) - 1)]
-        return np.concatenate(parts) if parts else out, np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-
 
 @lru_cache(2)
 def worker_encoder(path: str) -> Encoder:

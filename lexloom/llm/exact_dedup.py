@@ -1,20 +1,24 @@
 """Exact deduplication as a stateful stream, DataFrame functions only.
 
-Each document becomes a small key row: SHA-256 of its normalised text, its
-stable identifier, and a locator.  The key rows are written to the shared
-folder, which is the stream's source; a streaming aggregate without watermark
-keeps, in RocksDB and for ever, the least identifier, its locator and the
-number of rows for each digest.  A later call with the same ``state`` folder
-adds new documents to what is known.  Whatever the state calls equal is then
-compared in full bytes with the row that stays.
+Each call writes its documents' normalised texts to a content store in the
+shared folder, one folder a call, with SHA-256 digest, stable identifier and
+locator (the call, and the row's number in it, which grows from file to file).
+The store is also the stream's source, read without the texts: a streaming
+aggregate without watermark keeps, in RocksDB and for ever, the least
+identifier, its locator and the number of rows for each digest.  A later call
+with the same ``state`` folder adds new documents to what is known.  Whatever
+the state calls equal is compared in full bytes with the row that stays, whose
+content is opened through the locator if it came in an earlier call.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.store import fits, work_dir, written
+from lexloom.llm.store import fits, sized_join, work_dir, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,12 +34,17 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def _drain(spark: SparkSession, source: str, schema, state: str, updates: str) -> None:
+#: What the state keeps of the row that stays.
+FIRST = ("doc_id", "call", "locator")
+STORED = "doc_id long, digest string, mark long, locator long, content string, call long"
+
+
+def _drain(spark: SparkSession, source: str, state: str, updates: str) -> None:
     """Runs the stream over what has come to ``source``; state stays in ``state``."""
     settings = {
         "spark.sql.streaming.stateStore.providerClass": PROVIDER,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         # many small stores: no space is set aside for their logs
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
@@ -45,9 +54,9 @@ def _drain(spark: SparkSession, source: str, schema, state: str, updates: str) -
         spark.conf.set(k, v)
     try:
         known = (
-            spark.readStream.schema(schema).parquet(source)
+            spark.readStream.schema(STORED).parquet(source)
             .groupBy("digest")
-            .agg(F.min(F.struct("doc_id", "locator")).alias("first"), F.count("*").alias("group_size"))
+            .agg(F.min(F.struct(*FIRST)).alias("first"), F.count("*").alias("group_size"))
         )
 
         def keep(batch: DataFrame, number: int) -> None:
@@ -63,60 +72,46 @@ def _drain(spark: SparkSession, source: str, schema, state: str, updates: str) -
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def keyed(docs: DataFrame, digest=sha256, before: int = 0) -> DataFrame:
-    """Key rows, their locators after ``before``."""
+def keyed(docs: DataFrame, digest=sha256) -> DataFrame:
+    """Rows of the content store."""
+    text = normalised(F.col("text"))
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        digest(normalised(F.col("text"))).alias("digest"),
-        (F.monotonically_increasing_id() + F.lit(before)).alias("locator"),
+        F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("digest"), F.xxhash64(text).alias("mark"),
+        F.monotonically_increasing_id().alias("locator"), text.alias("content"),
     )
 
 
-def _last_locator(spark: SparkSession, source: str) -> int:
-    """One more than the largest locator that an earlier call gave."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return (spark.read.parquet(source).agg(F.max("locator")).first()[0] or 0) + 1
-    except AnalysisException:  # the first call
-        return 0
-
-
 def groups(spark: SparkSession, docs: DataFrame, *, digest=sha256, state: str | None = None) -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept, digest``.
+    """One row per document: ``doc_id, keep_id, group_size, kept, digest, mark``.
 
     Texts are equal when they are identical after replacing each run of
     ASCII white space by one space; null counts as empty.  The row with the
     smallest doc_id stays; among rows that repeat that doc_id with an equal
     text exactly one is ``kept``.  A null doc_id is smaller than none: such a
     row stays only if it is its group's first in Spark's order (nulls first).
-    An empty table gives no rows.  ``digest`` may be any function of a column;
-    texts that share a digest without being equal are told apart by their
-    bytes.
+    An empty table gives no rows.  ``digest`` may be any function of a column
+    that gives a string; texts that share a digest without being equal are
+    told apart by their bytes, those of earlier calls too.  ``mark`` is a
+    64-bit hash of the normalised text.  A call that fails must be repeated
+    with another state folder: what it had stored counts.
     """
-    folder = state or work_dir(spark, "exact-dedup")
-    before = _last_locator(spark, f"{folder}/source") if state else 0
-    keys = written(keyed(docs, digest, before), f"{work_dir(spark, 'exact-keys') if state else folder}/keys")
-    if state:
-        keys.write.mode("append").parquet(f"{folder}/source")
-    _drain(spark, f"{folder}/source" if state else f"{folder}/keys", keys.schema, f"{folder}/state", f"{folder}/updates")
+    folder, call = state or work_dir(spark, "exact-dedup"), uuid.uuid4().int >> 65
+    keyed(docs, digest).write.parquet(f"{folder}/content/call={call}")
+    content = spark.read.schema(STORED).parquet(f"{folder}/content")
+    mine = content.where(F.col("call") == call)
+    _drain(spark, f"{folder}/content", f"{folder}/state", f"{folder}/updates")
     known = _latest(spark, f"{folder}/updates")
     if known is None:
-        return keys.select("doc_id", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(False).alias("kept"), "digest").limit(0)
-    several = written(known.where("group_size > 1"), f"{folder}/several-{_tag()}")
-    joined = keys.join(F.broadcast(several) if fits(several, SMALL // 4) else several, "digest", "left")
-    row = written(joined.select(
-        "doc_id", "digest", "locator",
-        F.coalesce("first", F.struct("doc_id", "locator")).alias("first"),
-        F.coalesce("group_size", F.lit(1)).alias("group_size"),
-    ), f"{folder}/rows-{_tag()}")
-    return _checked(spark, docs, row, folder, digest)
-
-
-def _tag() -> str:
-    import uuid
-
-    return uuid.uuid4().hex[:12]
+        return mine.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(False).alias("kept"), "digest", "mark")
+    here = f"{folder}/call-{call}"
+    several = written(known.where("group_size > 1"), f"{here}/several")
+    alone = F.struct(*FIRST)
+    done = written(sized_join(mine.drop("content"), several, "digest", "left", SMALL // 4).select(
+        "doc_id", F.coalesce("first.doc_id", F.when(F.col("first").isNull(), F.col("doc_id"))).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        (alone == F.coalesce("first", alone)).alias("kept"), "digest", "mark",
+    ), f"{here}/rows")
+    unequal = written(_unequal(content, mine, several, call), f"{here}/unequal")
+    return done if unequal.isEmpty() else _apart(content, call, done, unequal, here)
 
 
 def _latest(spark: SparkSession, updates: str) -> DataFrame | None:
@@ -137,30 +132,28 @@ def _near(docs: DataFrame, ids: DataFrame, name: str, how: str) -> DataFrame:
     return docs.join(right, F.col("doc_id").eqNullSafe(F.col("__lexloom_hit")), how)
 
 
-def _checked(spark: SparkSession, docs: DataFrame, row: DataFrame, folder: str, digest) -> DataFrame:
-    """Compares every hit's bytes with those of the row that stays."""
-    hits = written(row.where("group_size > 1").select("doc_id", "digest", "first"), f"{folder}/hits-{_tag()}")
-    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    text = normalised(F.col("text"))
-    found = _near(flat, hits, "doc_id", "left_semi").select("doc_id", digest(text).alias("digest"), text.alias("text"))
-    first = hits.select(F.col("first.doc_id").alias("doc_id"), "digest").distinct()
-    stays = (
-        _near(flat, first, "doc_id", "left_semi").select("doc_id", digest(text).alias("digest"), text.alias("text"))
-        .join(F.broadcast(first) if fits(first, SMALL) else first, ["doc_id", "digest"], "left_semi")
-        .groupBy("digest").agg(F.min("text").alias("kept_text"))
-    )
-    unequal = written(found.join(stays, "digest").where("text <> kept_text").select("digest").distinct(), f"{folder}/unequal-{_tag()}")
-    done = row.select(
-        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("first.locator")).alias("kept"), "digest",
-    )
-    if unequal.isEmpty():
-        return done
-    apart = written(found.join(unequal, "digest", "left_semi").withColumn("locator", F.monotonically_increasing_id()), f"{folder}/apart-{_tag()}")
-    by_text = apart.groupBy("digest", "text").agg(F.min(F.struct("doc_id", "locator")).alias("first"), F.count("*").alias("group_size"))
-    again = apart.join(by_text, ["digest", "text"]).select(
-        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("first.locator")).alias("kept"), "digest",
+def _unequal(content: DataFrame, mine: DataFrame, several: DataFrame, call: int) -> DataFrame:
+    """Digests whose rows don't all have the bytes of the row that stays.
+
+    All are equal when the least and the greatest are: an aggregate that is
+    combined before the shuffle, so that a digest which a third of all rows
+    share costs one text for each task.
+    """
+    hits = sized_join(mine, several.select("digest"), "digest", "left_semi", SMALL).select("digest", "content")
+    earlier = several.select(F.col("first.call").alias("call"), F.col("first.locator").alias("locator")).where(F.col("call") != call)
+    stays = sized_join(content.where(F.col("call") != call), earlier, ["call", "locator"], "left_semi", SMALL).select("digest", "content")
+    ends = hits.union(stays).groupBy("digest").agg(F.min("content").alias("low"), F.max("content").alias("high"))
+    return ends.where("low <> high").select("digest")
+
+
+def _apart(content: DataFrame, call: int, done: DataFrame, unequal: DataFrame, here: str) -> DataFrame:
+    """Groups the rows of unequal digests, of all calls, by their bytes."""
+    rows = written(sized_join(content, unequal, "digest", "left_semi", SMALL), f"{here}/apart")
+    by_text = rows.groupBy("digest", "content").agg(F.min(F.struct(*FIRST)).alias("first"), F.count("*").alias("group_size"))
+    again = rows.where(F.col("call") == call).join(by_text, ["digest", "content"]).select(
+        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.struct(*FIRST) == F.col("first")).alias("kept"), "digest", "mark",
     )
-    return done.join(unequal, "digest", "left_anti").select(again.columns).union(again)
+    return sized_join(done, unequal, "digest", "left_anti", SMALL).unionByName(again)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, *, digest=sha256) -> DataFrame:
@@ -170,11 +163,11 @@ def without_copies(spark: SparkSession, docs: DataFrame, *, digest=sha256) -> Da
     dropped = written(rows.where("not kept").select("doc_id"), f"{folder}/dropped")
     clear = _near(docs, dropped, "doc_id", "left_anti")
     # ids that stay in one row and go in another: told apart by their texts
-    both = written(_near(rows.where("kept").select("doc_id", "digest"), dropped, "doc_id", "left_semi"), f"{folder}/both")
+    both = written(_near(rows.where("kept").select("doc_id", "mark"), dropped, "doc_id", "left_semi"), f"{folder}/both")
     if both.isEmpty():
         return clear
     text = normalised(F.col("text"))
-    mixed = _near(docs, both, "doc_id", "left_semi").withColumns({"_digest": digest(text), "_text": text})
-    kept = both.select(F.col("doc_id").alias("__lexloom_hit"), F.col("digest").alias("_digest")).distinct()
-    stay = mixed.join(kept, F.col("doc_id").eqNullSafe(F.col("__lexloom_hit")) & (mixed["_digest"] == kept["_digest"]), "left_semi")
-    return clear.union(stay.dropDuplicates(["doc_id", "_digest", "_text"]).select(docs.columns))
+    mixed = _near(docs, both, "doc_id", "left_semi").withColumns({"__lexloom_mark": F.xxhash64(text), "__lexloom_text": text})
+    kept = both.select(F.col("doc_id").alias("__lexloom_hit"), F.col("mark").alias("__lexloom_kept")).distinct()
+    stay = mixed.join(kept, F.col("doc_id").eqNullSafe(F.col("__lexloom_hit")) & (F.col("__lexloom_mark") == F.col("__lexloom_kept")), "left_semi")
+    return clear.union(stay.dropDuplicates(["doc_id", "__lexloom_text"]).select(docs.columns))

@@ -1,17 +1,20 @@
 """Line deduplication against a sharded minimal perfect hash.
 
-A first pass counts, for each line key, the documents that hold it.  Keys that
-reach the limit are indexed: a minimal perfect hash for each shard maps them
-to ``0..n-1``, and arrays at that place hold a 64-bit fingerprint, the count
-and the document that keeps the line.  A second pass probes the arrays for
-every line; nothing is joined and no document is shuffled.  Hash and
-fingerprint are independent 64-bit hashes of the key.
+A first pass sends each distinct line key of a piece of input, as a 64-bit
+hash with a fingerprint, its number of documents and its largest one, to a
+shard.  A shard's minimal perfect hash maps all distinct line hashes to
+``0..n-1``; arrays at that place hold the fingerprint, the count, which sums
+what the pieces sent, and the document that keeps the line.  A second pass
+probes the arrays for every line, and the count decides; nothing is joined and
+no document is shuffled.  Hash and fingerprint are independent 64-bit hashes
+of the key: two lines are the same when both agree.  Shard files are laid out
+for mapping, so that a probe touches the pages that it needs.
 """
 
 from __future__ import annotations
 
 import hashlib
-import io
+import json
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -20,135 +23,140 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm import exchange
 from lexloom.llm import textkit as tk
-from lexloom.llm.store import open_file, work_dir, write_file, written
+from lexloom.llm.store import bytes_of, open_file, small_batches, work_dir, write_file, written
 
-#: Keys of one shard (about 25 bytes each).
-SHARD_KEYS = 400_000
-#: Bytes of shards that a worker keeps at a time.
+#: Bytes of input for each shard.
+SHARD_BYTES = 128 << 20
+#: Bytes of shards that a worker keeps at a time where they can't be mapped.
 CACHE_BYTES = 64 << 20
+#: Entries that a shard's task gathers before it adds up equal ones.
+MERGE_ENTRIES = 1_000_000
 U = np.uint64
 
 
 class PerfectHash:
-    """Minimal perfect hash: levels of bit arrays; a key sits at the first level where it is alone."""
+    """Minimal perfect hash: levels of bit arrays; a key sits at the first level where it is alone.
 
-    def __init__(self, keys: np.ndarray, gamma: float = 2.0):
-        self.n, left, level = len(keys), keys, 0
-        self.bits: list[np.ndarray] = []
+    ``sizes`` are the levels' bits, ``words`` the bits of all levels, each
+    filled up to whole words, and ``ranks`` the bits set before each word.
+    """
+
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, ranks: np.ndarray):
+        self.sizes, self.words, self.ranks = sizes, words, ranks
+        self.starts = np.concatenate([[0], np.cumsum(-(-sizes // 64))]).astype(np.int64)
+
+    @staticmethod
+    def of(keys: np.ndarray, gamma: float = 2.0) -> PerfectHash:
+        left, sizes, bits = keys, [], [np.zeros(0, np.uint8)]
         while len(left):
-            size = max(64, int(len(left) * gamma))
-            at = self._place(left, level, size)
-            count = np.bincount(at, minlength=size)
-            self.bits.append(count == 1)
-            left = left[count[at] != 1]
-            level += 1
-        self._rank()
+            size = max(64, -(-int(len(left) * gamma) // 64) * 64)
+            at = PerfectHash._place(left, len(sizes), size)
+            met = np.bincount(at, minlength=size)
+            sizes.append(size)
+            bits.append(np.packbits(met == 1, bitorder="little"))
+            left = left[met[at] != 1]
+        words = np.concatenate(bits).view(U)
+        ones = np.bitwise_count(words).astype(np.int64)
+        return PerfectHash(np.array(sizes, np.int64), words, np.cumsum(ones) - ones)
 
     @staticmethod
     def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
         return (tk.mix(keys + U((level + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)) % U(size)).astype(np.int64)
 
-    def _rank(self):
-        base, self.ranks = 0, []
-        for b in self.bits:
-            r = base + np.cumsum(b) - b
-            self.ranks.append(r.astype(np.int32))
-            base += int(b.sum())
-
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key; -1 or any place for keys that were not built in."""
         out = np.full(len(keys), -1, np.int64)
         open_ = np.arange(len(keys))
-        for level, b in enumerate(self.bits):
+        for level, size in enumerate(self.sizes.tolist()):
             if not len(open_):
                 break
-            at = self._place(keys[open_], level, len(b))
-            hit = b[at]
-            out[open_[hit]] = self.ranks[level][at[hit]]
+            at = self._place(keys[open_], level, size)
+            word = self.starts[level] + (at >> 6)
+            mask, found = U(1) << (at & 63).astype(U), self.words[word]
+            hit = (found & mask) != 0
+            out[open_[hit]] = self.ranks[word[hit]] + np.bitwise_count(found[hit] & (mask[hit] - U(1)))
             open_ = open_[~hit]
         return out
 
-    @staticmethod
-    def unpack(sizes: np.ndarray, packed: np.ndarray) -> PerfectHash:
-        new = PerfectHash.__new__(PerfectHash)
-        flat = np.unpackbits(packed, count=int(sizes.sum())).astype(bool)
-        ends = np.cumsum(sizes)
-        new.bits = [flat[e - n : e] for e, n in zip(ends, sizes, strict=True)]
-        new.n = int(flat.sum())
-        new._rank()
-        return new
 
-    def pack(self) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.array([len(b) for b in self.bits], np.int64)
-        return sizes, np.packbits(np.concatenate(self.bits)) if self.bits else np.zeros(0, np.uint8)
+#: Arrays of a shard file, in order, with their types.
+ARRAYS = (("sizes", "<i8"), ("words", "<u8"), ("ranks", "<i8"), ("mark", "<u8"), ("count", "<i8"), ("keeper", "<i8"), ("twin_key", "<u8"), ("twin_mark", "<u8"), ("twin_count", "<i8"), ("twin_keeper", "<i8"))
 
 
 class Shard:
     """Fingerprints, counts and keepers by perfect hash."""
 
     def __init__(self, uri: str):
-        with open_file(uri) as f:
-            data = np.load(io.BytesIO(f.read()))
-            self.hash = PerfectHash.unpack(data["sizes"], data["bits"])
-            self.mark, self.count, self.keeper = data["mark"], data["count"], data["keeper"]
-            self.twins = {(int(k), int(m)): int(d) for k, m, d in zip(data["twin_key"], data["twin_mark"], data["twin_keeper"], strict=True)}
-        self.nbytes = sum(x.nbytes for x in (self.mark, self.count, self.keeper, *self.hash.bits, *self.hash.ranks))
+        self.file = open_file(uri)
+        mapped = isinstance(self.file, pa.MemoryMappedFile)
+        data = self.file.read_buffer()
+        head = int.from_bytes(data[:8].to_pybytes(), "little")
+        lengths, at = json.loads(data[8 : 8 + head].to_pybytes()), 8 + head
+        for (name, kind), n in zip(ARRAYS, lengths, strict=True):
+            setattr(self, name, np.frombuffer(data, kind, n, at))
+            at += 8 * n
+        self.hash = PerfectHash(self.sizes, self.words, self.ranks)
+        self.nbytes = 0 if mapped else data.size
 
     @staticmethod
     def write(uri: str, keys, mark, count, keeper) -> None:
         """``keys`` in order; lines that share the hash of another are kept apart, by hash and fingerprint."""
         twin = np.zeros(len(keys), bool)
         twin[1:] = keys[1:] == keys[:-1]
-        arrays = {"twin_key": keys[twin], "twin_mark": mark[twin], "twin_keeper": keeper[twin]}
+        arrays = {"twin_key": keys[twin], "twin_mark": mark[twin], "twin_count": count[twin], "twin_keeper": keeper[twin]}
         keys, mark, count, keeper = keys[~twin], mark[~twin], count[~twin], keeper[~twin]
-        mphf = PerfectHash(keys)
+        mphf = PerfectHash.of(keys)
         at = mphf(keys)
-        arrays["sizes"], arrays["bits"] = mphf.pack()
+        arrays |= {"sizes": mphf.sizes, "words": mphf.words, "ranks": mphf.ranks}
         for name, x in (("mark", mark), ("count", count), ("keeper", keeper)):
             arrays[name] = np.empty_like(x)
             arrays[name][at] = x
-        out = io.BytesIO()
-        np.savez(out, **arrays)
-        write_file(uri, lambda f: f.write(out.getvalue()))
+        head = json.dumps([len(arrays[name]) for name, _ in ARRAYS]).encode()
+        head += b" " * (-len(head) % 8)
+
+        def put(out):
+            out.write(len(head).to_bytes(8, "little") + head)
+            for name, kind in ARRAYS:
+                out.write(arrays[name].astype(kind).tobytes())
+
+        write_file(uri, put)
 
     def probe(self, keys: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key is indexed, and the document that keeps it."""
+        """How many documents hold each line (0 if it isn't indexed), and the one that keeps it."""
         if not len(self.mark):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         at = self.hash(keys)
         hit = (at >= 0) & (self.mark[np.maximum(at, 0)] == mark)
-        keeper = self.keeper[np.maximum(at, 0)]
-        for (k, m), d in self.twins.items():
-            same = (keys == U(k)) & (mark == U(m))
-            hit[same], keeper[same] = True, d
-        return hit, keeper
+        count, keeper = np.where(hit, self.count[np.maximum(at, 0)], 0), self.keeper[np.maximum(at, 0)]
+        for k, m, n, d in zip(self.twin_key, self.twin_mark, self.twin_count, self.twin_keeper, strict=True):
+            same = (keys == k) & (mark == m)
+            count[same], keeper[same] = n, d
+        return count, keeper
 
 
 class Shards:
-    """Shards by number, those used last kept up to a number of bytes."""
+    """Shards by number; mapped ones cost no memory, of others those used last are kept up to a number of bytes."""
 
     def __init__(self, uris: dict[int, str], total: int, limit: int = CACHE_BYTES):
         self.uris, self.total, self.limit, self.open = uris, total, limit, OrderedDict()
 
-    def __getitem__(self, i: int) -> Shard | None:
+    def __getitem__(self, i: int) -> Shard:
         if i in self.open:
             self.open.move_to_end(i)
-        elif i in self.uris:
+        else:
             self.open[i] = Shard(self.uris[i])
             while len(self.open) > 1 and sum(s.nbytes for s in self.open.values()) > self.limit:
                 self.open.popitem(last=False)
-        return self.open.get(i)
+        return self.open[i]
 
     def probe(self, keys: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hit, keeper = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        shard = ((keys >> U(1)) % U(self.total)).astype(np.int64)
-        for i in np.unique(shard):
-            s = self[int(i)]
-            if s is not None:
-                mine = shard == i
-                hit[mine], keeper[mine] = s.probe(keys[mine], mark[mine])
-        return hit, keeper
+        count, keeper = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for part, i in exchange.by_part(keys, self.total):
+            if part in self.uris:
+                count[i], keeper[i] = self[part].probe(keys[i], mark[i])
+        return count, keeper
 
 
 def lines(buf: np.ndarray, off: np.ndarray, least: int):
@@ -183,8 +191,21 @@ def lines(buf: np.ndarray, off: np.ndarray, least: int):
     return start, end, first, long, tk.slice_hashes(buf, s, e, tk.LOWER), tk.slice_hashes(buf, s, e, tk.LOWER, 1)
 
 
-def _counted(docs: DataFrame, least: int) -> DataFrame:
-    """``key, mark, n, keeper`` of each line key and piece of the input, doc counts combined before any shuffle."""
+def _added(keys, mark, count, keeper) -> tuple[np.ndarray, ...]:
+    """Entries in order, equal ones added up."""
+    order = np.lexsort((mark, keys))
+    keys, mark, count, keeper = keys[order], mark[order], count[order], keeper[order]
+    start = np.flatnonzero(exchange.groups(keys, mark))
+    if not len(start):
+        return keys, mark, count, keeper
+    return keys[start], mark[start], np.add.reduceat(count, start), np.maximum.reduceat(keeper, start)
+
+
+SENT = (("keys", U), ("marks", U), ("counts", np.int64), ("keepers", np.int64))
+
+
+def _counted(docs: DataFrame, least: int, total: int) -> DataFrame:
+    """``part, keys, marks, counts, keepers``: the line keys of each piece of the input, one packed row for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, off in tk.pieces(batches):
@@ -194,45 +215,38 @@ def _counted(docs: DataFrame, least: int) -> DataFrame:
             row = np.searchsorted(first, long, "right") - 1
             order = np.lexsort((row, mark, key))
             key, mark, row = key[order], mark[order], row[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
-            fresh = new.copy()
-            fresh[1:] |= row[1:] != row[:-1]
-            group = np.flatnonzero(new)
+            once = exchange.groups(key, mark, row)
             ids = tk.integers(batch, "doc_id")[row]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[group].view(np.int64)), pa.array(mark[group].view(np.int64)), pa.array(np.add.reduceat(fresh.astype(np.int64), group)), pa.array(np.maximum.reduceat(ids, group))],
-                ["key", "mark", "n", "keeper"],
-            )
+            entries = _added(key[once], mark[once], np.ones(int(once.sum()), np.int64), ids[once])
+            rows = [(part, *(x[i].tobytes() for x in entries)) for part, i in exchange.by_part(entries[0], total)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["part", *(n for n, _ in SENT)])
 
-    return docs.mapInArrow(run, "key long, mark long, n long, keeper long")
+    return docs.mapInArrow(run, "part int, keys binary, marks binary, counts binary, keepers binary")
 
 
-def index(spark: SparkSession, docs: DataFrame, folder: str, *, min_docs: int, min_points: int) -> tuple[dict[int, str], int]:
-    """Builds the shards; their places and number."""
-    rows = _counted(docs, min_points).groupBy("key", "mark").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper")).where(F.col("n") >= min_docs)
-    rows = written(rows, f"{folder}/lines")
-    total = max(1, -(-rows.count() // SHARD_KEYS))
+def index(spark: SparkSession, docs: DataFrame, folder: str, *, min_points: int, shard_bytes: int = SHARD_BYTES) -> tuple[dict[int, str], int]:
+    """Builds the shards over all distinct line keys; their places and number."""
+    total = max(1, -(-bytes_of(docs) // shard_bytes))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held, part, fresh = [], None, 0
         for b in batches:
-            for part in np.unique(b.column(0).to_numpy()):
-                held.setdefault(int(part), []).append(b.filter(pa.array(b.column(0).to_numpy() == part)))
-        for part, found in held.items():
-            t = pa.Table.from_batches(found)
-            key, mark = (t[c].to_numpy().view(U) for c in ("key", "mark"))
-            order = np.lexsort((mark, key))
-            uri = f"{folder}/shard-{part}.npz"
-            Shard.write(uri, key[order], mark[order], t["n"].to_numpy()[order].astype(np.int64), t["keeper"].to_numpy()[order])
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([uri])], ["part", "uri"])
-
-    part = (F.shiftrightunsigned("key", 1) % total).cast("int")
-    made = rows.select(part.alias("part"), "key", "mark", "n", "keeper").repartitionById(total, F.col("part")).mapInArrow(build, "part int, uri string")
+            for part, *packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append(tuple(np.frombuffer(x, t) for x, (_, t) in zip(packed, SENT, strict=True)))
+                fresh += len(held[-1][0])
+                if fresh > MERGE_ENTRIES:
+                    held, fresh = [_added(*(np.concatenate(x) for x in zip(*held, strict=True)))], 0
+        if part is None:
+            return
+        uri = f"{folder}/lines-{part}.shard"
+        Shard.write(uri, *_added(*(np.concatenate(x) for x in zip(*held, strict=True))))
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([uri])], ["part", "uri"])
+
+    made = _counted(docs, min_points, total).repartitionById(total, F.col("part")).mapInArrow(build, "part int, uri string")
     return {r.part: r.uri for r in written(made, f"{folder}/shards").collect()}, total
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, *, min_docs: int = 5, min_points: int = 40) -> DataFrame:
+def deduplicated(spark: SparkSession, docs: DataFrame, *, min_docs: int = 5, min_points: int = 40, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept`` (text) of every row.
 
     Lines are split at ``\\n``; a null or empty text is one empty line.  A key
@@ -240,21 +254,23 @@ def deduplicated(spark: SparkSession, docs: DataFrame, *, min_docs: int = 5, min
     of at least ``min_points`` code points in at least ``min_docs`` documents
     lose all their lines except in the largest doc_id that has the key (there,
     all of them stay).  Every row counts as a document, and rows that
-    repeat the keeper's id all keep the line; a row without an id counts as id
-    -2^63.  Further columns are ignored.
+    repeat the keeper's id all keep the line; rows without an id come before
+    all others (as -2^63 does).  Further columns are ignored.
     """
+    small_batches(spark)
     folder = work_dir(spark, "lines")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    uris, total = index(spark, rows, folder, min_docs=min_docs, min_points=min_points)
+    own = F.col("doc_id").cast("long")
+    rows = docs.select(own.alias("own"), F.coalesce(own, F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    uris, total = index(spark, rows.drop("own"), folder, min_points=min_points, shard_bytes=shard_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = Shards(uris, total)
         for batch, buf, off in tk.pieces(batches):
             start, end, first, long, key, mark = lines(buf, off, min_points)
             ids = tk.integers(batch, "doc_id")
-            hit, keeper = shards.probe(key, mark)
+            count, keeper = shards.probe(key, mark)
             drop = np.zeros(len(start), bool)
-            drop[long] = hit & (keeper != ids[np.searchsorted(first, long, "right") - 1])
+            drop[long] = (count >= min_docs) & (keeper != ids[np.searchsorted(first, long, "right") - 1])
             dropped = np.add.reduceat(drop.astype(np.int64), first[:-1]) if len(start) else np.zeros(0, np.int64)
             data, texts = buf.tobytes(), []
             for i, n in enumerate(dropped.tolist()):

@@ -10,15 +10,17 @@ hashes, one key) and, where ``v_i`` is 1, also by the segment without each
 single shingle; two linked sets share a key.  The allocation is the one of
 least cost for the band, counting keys and expected accidental partners.
 
-Keys are met in a packed exchange.  Within a key's bucket not all pairs are
-formed: members are compared with a pivot; those of one component need no
-comparison; each round has four times as many pivots, until every bucket lies
-in one component or every member has been a pivot.  The join of members and
-pivots drops pairs that sizes or bitmaps rule out: bit i of a set's bitmap is
-the parity of its shingles that hash to i, so the bits in which two bitmaps
-differ are no more than the shingles in which the sets do.  Pairs that are
-left meet wider bitmaps, whose length follows the set's, and only then the
-whole sets.  No bucket, member or partner is ever dropped.
+Keys are met in a packed exchange; buckets that hold the same members are
+reduced to one.  Within a bucket not all pairs are formed: members are compared
+with a pivot; those of one component need no comparison; each round has four
+times as many pivots, until every bucket lies in one component or every member
+has been a pivot.  Large buckets are dealt in slots, each with all pivots.
+Pairs that sizes or bitmaps rule out go: bit i of a set's bitmap is the parity
+of its shingles that hash to i, so the bits in which two bitmaps differ are no
+more than the shingles in which the sets do.  Pairs that are left meet wider
+bitmaps, whose length follows the set's, and only then the texts: a pivot's
+text travels once for each slot of its partners, and a link counts only if the
+shingles agree as words.  No bucket, member or partner is ever dropped.
 """
 
 from __future__ import annotations
@@ -26,23 +28,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import exchange
 from lexloom.llm import textkit as tk
 from lexloom.llm.graph import components
-from lexloom.llm.store import fits, parts_of, work_dir, written
+from lexloom.llm.store import fits, parts_for, sized_join, small_batches, work_dir, written
 
 U = np.uint64
 SALT = (U(0x2545F4914F6CDD1D), U(0xDA942042E4DD58B5), U(0x8CB92BA72F3D8DD7))
 #: A band's largest size over its smallest.
 BAND = Fraction(3, 2)
-#: Rows of ids that may be broadcast.
-SMALL = 1_000_000
+#: Rows of ids, and of ids with bitmaps, that may be broadcast.
+SMALL, SMALL_BITS = 1_000_000, 100_000
+#: Bytes of input for each part of the exchange.
+PART_BYTES = 4 << 20
+#: Members of a bucket in one slot, and partners of one text.
+SLOT = 4096
+PARTNERS = 512
 
 
 def _ratio(threshold: float) -> Fraction:
@@ -112,6 +120,11 @@ def set_keys(u: np.ndarray, threshold: float, spread: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _spread(u: np.ndarray, salt: int) -> np.ndarray:
+    """Second hashes of shingles; another ``salt`` gives others."""
+    return tk.mix(u ^ U((int(SALT[0]) + salt * 0x9E3779B97F4A7C15) & (1 << 64) - 1))
+
+
 def _digests(u: np.ndarray, spread: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         a = tk.mix(spread.sum(dtype=U).reshape(1) + U(len(u)) * SALT[0])[0]
@@ -136,119 +149,170 @@ def wide_bitmap(spread: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-SHARED = "kind int, part int, doc_id long, n int, member long, digest long, bits array<long>, wide array<long>, keys binary, members binary, known binary"
+SHARED = "kind int, part int, doc_id long, mark long, n int, member long, digest long, bits array<long>, wide array<long>, keys binary, members binary, known binary"
+KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+SHARED_NAMES = [x.split()[0] for x in SHARED.split(", ")]
+
+
+def _lists(values: list[np.ndarray | None]) -> pa.Array:
+    """A column of longs; a set that a piece has met before has none."""
+    sizes = [0 if v is None else len(v) for v in values]
+    flat = [v for v in values if v is not None]
+    out = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.concatenate(flat) if flat else np.zeros(0, np.int64))
+    return pa.ListArray.from_arrays(out.offsets, out.values, mask=pa.array([v is None for v in values]))
+
 
+def _batch(columns: dict, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[x] if x in columns else pa.nulls(n, t) for x, t in zip(SHARED_NAMES, KINDS, strict=True)], SHARED_NAMES)
 
-def _mapped(docs: DataFrame, words: int, threshold: float, parts: int) -> DataFrame:
+
+def _mapped(docs: DataFrame, words: int, threshold: float, parts: int, salt: int) -> DataFrame:
     """A row for each document (kind 0), found entries (kind 1), and entries for each part (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, off in tk.pieces(batches):
-            ids = tk.integers(batch, "doc_id")
+        for batch, buf, off in tk.pieces(batches, size=tk.BLOCK):
             sizes, first, second, maps, wide, keys, owner = [], [], [], [], [], [], []
             seen = set()
             for u in tk.shingle_sets(buf, off, words):
-                spread = tk.mix(u ^ SALT[0])
+                spread = _spread(u, salt)
                 a, b = _digests(u, spread) if len(u) else (0, 0)
                 sizes.append(len(u))
                 first.append(a)
                 second.append(b)
-                maps.append(bitmap(spread))
-                wide.append(wide_bitmap(spread))
-                if len(u) and a not in seen:  # equal sets have equal keys
+                fresh = len(u) and a not in seen  # equal sets have equal keys
+                maps.append(bitmap(spread) if fresh else None)
+                wide.append(wide_bitmap(spread) if fresh else None)
+                if fresh:
                     seen.add(a)
                     k = set_keys(u, threshold, spread)
                     keys.append(k)
                     owner.append(np.full(len(k), a, np.int64))
-            rows = [(0, int(i) % parts, int(i), n, a, b, x, z, None, None, None) for i, n, a, b, x, z in zip(ids, sizes, first, second, maps, wide, strict=True)]
-            if keys:
-                k, m, _, shared, goes = exchange.split_known(np.concatenate(keys), np.concatenate(owner))
-                once = exchange.groups(k, m)
-                shared, goes = shared & once, goes & once
-                if shared.any():
-                    rows.append((1, int(ids[0]) % parts, None, None, None, None, None, None, k[shared].tobytes(), m[shared].tobytes(), None))
-                known = np.zeros(len(k), np.uint8)
-                known[shared] = 1
-                k, m, known = k[goes], m[goes], known[goes]
-                for part, at in exchange.by_part(k, parts):
-                    rows.append((2, part, None, None, None, None, None, None, k[at].tobytes(), m[at].tobytes(), known[at].tobytes()))
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in SHARED.split(", ")])
+            marks = batch.column(batch.schema.get_field_index("mark"))
+            here = tk.mix(marks.to_numpy().view(U))
+            yield _batch({
+                "kind": pa.array(np.zeros(len(sizes), np.int32)), "part": pa.array((here % U(parts)).astype(np.int32)), "doc_id": batch.column(batch.schema.get_field_index("doc_id")),
+                "mark": marks, "n": pa.array(sizes, pa.int32()), "member": pa.array(first, pa.int64()), "digest": pa.array(second, pa.int64()), "bits": _lists(maps), "wide": _lists(wide),
+            }, len(sizes))
+            if not keys:
+                continue
+            k, m, _, shared, goes = exchange.split_known(np.concatenate(keys), np.concatenate(owner))
+            once = exchange.groups(k, m)
+            shared, goes = shared & once, goes & once
+            rows = [(1, int(here[0] % U(parts)), k[shared].tobytes(), m[shared].tobytes(), None)] if shared.any() else []
+            known = shared[goes].astype(np.uint8)
+            k, m = k[goes], m[goes]
+            rows += [(2, part, k[at].tobytes(), m[at].tobytes(), known[at].tobytes()) for part, at in exchange.by_part(k, parts)]
+            kind, part, *packed = zip(*rows, strict=True)
+            yield _batch({"kind": pa.array(kind, pa.int32()), "part": pa.array(part, pa.int32())} | {x: pa.array(c, pa.binary()) for x, c in zip(("keys", "members", "known"), packed, strict=True)}, len(rows))
 
     return docs.mapInArrow(run, SHARED)
 
 
-FOUND = "doc_id long, n int, member long, digest long, bits array<long>, wide array<long>, bucket long"
+FOUND = "doc_id long, mark long, n int, member long, digest long, bits array<long>, wide array<long>, bucket long"
+FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+
+
+def _entries(k: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(k), 50_000):
+        a, b = k[i : i + 50_000].view(np.int64), m[i : i + 50_000]
+        have = {"member": pa.array(b), "bucket": pa.array(a)}
+        kinds = dict(zip(SHARED_NAMES, KINDS, strict=True))
+        yield pa.RecordBatch.from_arrays([have[x] if x in have else pa.nulls(len(a), kinds[x]) for x in FOUND_NAMES], FOUND_NAMES)
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of one part meet; passes documents and what was found before on."""
     keys, members, known = [], [], []
-    names = [x.split()[0] for x in FOUND.split(", ")]
-
-    def entries(k, m):
-        for i in range(0, len(k), 50_000):
-            a, b = k[i : i + 50_000].view(np.int64), m[i : i + 50_000]
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(a), pa.int32()), pa.array(b), none, *[pa.nulls(len(a), pa.list_(pa.int64()))] * 2, pa.array(a)], names)
-
     for b in batches:
         kind = tk.integers(b, "kind")
         if (kind == 0).any():
             d = b.filter(pa.array(kind == 0))
-            yield pa.RecordBatch.from_arrays([*d.columns[2:8], pa.nulls(d.num_rows, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([*d.columns[2:9], pa.nulls(d.num_rows, pa.int64())], FOUND_NAMES)
         found = b.filter(pa.array(kind == 1))
-        yield from entries(exchange.joined(found.column(8).to_pylist(), U), exchange.joined(found.column(9).to_pylist(), np.int64))
+        yield from _entries(exchange.joined(found.column(9).to_pylist(), U), exchange.joined(found.column(10).to_pylist(), np.int64))
         sent = b.filter(pa.array(kind == 2))
-        keys += sent.column(8).to_pylist()
-        members += sent.column(9).to_pylist()
-        known += sent.column(10).to_pylist()
+        keys += sent.column(9).to_pylist()
+        members += sent.column(10).to_pylist()
+        known += sent.column(11).to_pylist()
     if keys:
         k, m, (w,), shared, _ = exchange.split_known(exchange.joined(keys, U), exchange.joined(members, np.int64), exchange.joined(known, np.uint8))
         start = np.flatnonzero(exchange.groups(k))
         told = np.repeat(np.maximum.reduceat(w, start) > 0, np.diff(np.append(start, len(k))))
         # an entry that was known has been passed on where it was found
         keep = (shared | told) & (w == 0) & exchange.groups(k, m, w)
-        yield from entries(k[keep], m[keep])
+        yield from _entries(k[keep], m[keep])
 
 
-def _sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """``member, n, items``: the sorted shingles of one document of each member."""
+def _texts(docs: DataFrame, first: DataFrame, words: int, salt: int) -> DataFrame:
+    """``member, text``: a text of each member, once for each time that its row is repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, off in tk.pieces(batches):
-            sets = list(tk.shingle_sets(buf, off, words))
-            member = [_digests(u, tk.mix(u ^ SALT[0]))[0] if len(u) else 0 for u in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(member, pa.int64()), pa.array([len(u) for u in sets], pa.int32()), tk.strings([u.tobytes() for u in sets])], ["member", "n", "items"],
-            )
-
-    small = fits(members, SMALL)
-    wanted = members.select("doc_id")
-    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
-    keys = members.select("member")
-    return texts.mapInArrow(run, "member long, n int, items binary").join(F.broadcast(keys) if small else keys, "member", "left_semi")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets are similar enough: ``100 * |X and Y| >= 100 t * |X or Y|``, exactly."""
+        for batch, buf, off in tk.pieces(batches, size=tk.BLOCK):
+            member = [_digests(u, _spread(u, salt))[0] if len(u) else 0 for u in tk.shingle_sets(buf, off, words)]
+            yield pa.RecordBatch.from_arrays([pa.array(member, pa.int64()), batch.column(0)], ["member", "text"])
+
+    wanted = first.select(F.col("at.doc_id").alias("at_id"), F.col("at.mark").alias("at_mark"))
+    texts = sized_join(docs, wanted, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("mark") == F.col("at_mark")), "left_semi", SMALL).select("text")
+    return sized_join(texts.mapInArrow(run, "member long, text string"), first.select("member"), "member", "left_semi", SMALL)
+
+
+def _shingles(text: bytes, words: int) -> set[tuple[bytes, ...]]:
+    w = text.lower().split()  # bytes: folds A-Z only and splits at ASCII white space
+    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} or {tuple(w)}
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets are similar enough: ``100 * |X and Y| >= 100 t * |X or Y|``, exactly.
+
+    A text comes once for each slot of its partners, before them.  Hashes rule
+    pairs out; what they let through is compared as words.
+    """
     top, base = _ratio(threshold).as_integer_ratio()
 
+    def alike(x, y) -> bool:
+        both = len(x & y) if isinstance(x, set) else int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+        return base * both >= top * (len(x) + len(y) - both)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(base * both >= top * (len(x) + len(y) - both))
-            if any(keep):
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-    left = sets.select(F.col("member").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("member").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
+        head, mine, exact = None, None, None
+        for batch, buf, off in tk.pieces(batches, size=tk.BLOCK):
+            a, b, out = tk.integers(batch, "a"), batch.column(batch.schema.get_field_index("b")).to_pylist(), []
+            for i, u in enumerate(tk.shingle_sets(buf, off, words)):
+                if b[i] is None:
+                    head, mine, exact = buf[off[i] : off[i + 1]].tobytes(), u, None
+                elif alike(mine, u):
+                    exact = exact or _shingles(head, words)
+                    if alike(exact, _shingles(buf[off[i] : off[i + 1]].tobytes(), words)):
+                        out.append((a[i], b[i]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    hot = pairs.groupBy("a").agg(F.count("*").alias("size")).where(F.col("size") > PARTNERS).select("a", F.ceil(F.col("size") / PARTNERS).alias("slots"))
+    dealt = sized_join(pairs, hot, "a", "left", SMALL).select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("slots")), F.lit(0)).alias("slot"))
+    heads = dealt.select("a", "slot").distinct().join(texts.withColumnRenamed("member", "a"), "a").select("a", "slot", F.lit(None).cast("long").alias("b"), "text")
+    tails = dealt.join(texts.withColumnRenamed("member", "b"), "b").select("a", "slot", "b", "text")
+    streamed = heads.union(tails).repartition("a", "slot").sortWithinPartitions("a", "slot", F.col("b").asc_nulls_first())
+    return streamed.select("a", "b", "text").mapInArrow(run, "a long, b long")
+
+
+def _classes(spark: SparkSession, docs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """``doc_id, mark, n, root`` of every row; ``root`` names the component, and is null for those without words."""
+    small_batches(spark)
+    folder = work_dir(spark, "ngram-join")
+    parts = parts_for(docs, PART_BYTES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark(F.col("text")).alias("mark"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    for salt in count():  # until no two sets share a digest: once, but for chance
+        met = written(_mapped(rows, words, threshold, parts, salt).repartitionById(parts, F.col("part")).mapInArrow(_met, FOUND), f"{folder}/met-{salt}")
+        doc = met.where("bucket is null").drop("bucket")
+        if doc.where("n > 0").groupBy("member").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").isEmpty():
+            break
+    root = _linked(rows, doc, met.where("bucket is not null").select("bucket", "member"), folder, words, threshold, salt)
+    # copies of one text by the thousand: the rows that read the result can be split
+    return doc.join(F.broadcast(root) if fits(root, SMALL) else root, "member", "left").select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.coalesce("root", "member")).alias("root"))
+
+
+def _mark(text) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -261,33 +325,27 @@ def classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, threshold:
     ``threshold`` (compared as an exact fraction).  ``component_id`` is the
     smallest doc_id that links reach.  Rows that repeat an id are rows of
     their own (they agree if their texts do; an id with several texts joins
-    their components through each text, not through the id).  A row without
-    an id counts as id -2^63.
+    their components through each text, not through the id).  Rows without an
+    id take part; their component's id is that of the others, or null.  Two
+    sets are the same when 128 bits of hash are.
     """
-    folder = work_dir(spark, "ngram-join")
-    parts = parts_of(spark)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    met = written(_mapped(rows, words, threshold, parts).repartitionById(parts, F.col("part")).mapInArrow(_met, FOUND), f"{folder}/met")
-    doc = met.where("bucket is null").select("doc_id", "n", "member", "digest", "bits", "wide")
-    bucket = met.where("bucket is not null").select("bucket", "member")
-    if not doc.where("n > 0").groupBy("member").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").isEmpty():
-        raise ValueError("two different sets share a 64-bit digest; choose another SALT")
-    root = _linked(spark, rows, doc, bucket, folder, words, threshold)
-    labelled = doc.where("n > 0").join(root, "member", "left").select("doc_id", "n", F.coalesce("root", "member").alias("root"))
-    # copies of one text by the thousand: combine before the shuffle, split the rows that read the result
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size"))
-    several = written(least.where("size > 1").drop("size"), f"{folder}/least")
-    out = labelled.join(F.broadcast(several) if fits(several, SMALL) else several, "root", "left")
-    none = doc.where("n = 0").select("doc_id", F.lit(0).alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).union(none).withColumn("n_shingles", F.col("n_shingles").cast("long"))
-
-
-def _possible(threshold: float):
-    """Whether sizes and bitmaps of a member (``n, bits``) and its pivot allow a link."""
+    found = written(_classes(spark, docs, words, threshold), f"{work_dir(spark, 'classes')}/rows")
+    # combined before the shuffle
+    least = found.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size"))
+    several = written(least.where("size > 1").drop("size"), f"{work_dir(spark, 'classes')}/least")
+    out = found.join(F.broadcast(several) if fits(several, SMALL) else several, "root", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _possible(pairs: DataFrame, about: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` that the sizes and bitmaps of ``about`` allow."""
     top, base = _ratio(threshold).as_integer_ratio()
-    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("pivot.bits")[i])) for i in range(1, WORDS)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("pivot.bits")[0])))
-    n, m = F.col("n"), F.col("pivot.n")
-    return (n * top <= m * base) & (m * top <= n * base) & (apart * (base + top) <= (n + m) * (base - top))
+    side = lambda m: about.select(F.col("member").alias(m), F.col("n").alias(f"n_{m}"), F.col("bits").alias(f"bits_{m}"))
+    hint = F.broadcast if fits(about, SMALL_BITS) else lambda x: x
+    both = pairs.join(hint(side("a")), "a").join(hint(side("b")), "b")
+    apart = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(WORDS)), F.lit(0))
+    n, m = F.col("n_a"), F.col("n_b")
+    return both.where((n * top <= m * base) & (m * top <= n * base)).where(apart * (base + top) <= (n + m) * (base - top)).select("a", "b")
 
 
 def _near(pairs: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
@@ -306,48 +364,65 @@ def _near(pairs: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
     return both.where(folded | (apart * (base + top) <= (F.col("n_a") + F.col("n_b")) * (base - top))).select("a", "b")
 
 
-def _linked(spark: SparkSession, rows: DataFrame, doc: DataFrame, bucket: DataFrame, folder: str, words: int, threshold: float) -> DataFrame:
+def _slots(bucket_slots: DataFrame) -> DataFrame:
+    """One row for each slot of each bucket."""
+    return bucket_slots.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
+
+
+def _distinct_buckets(entries: DataFrame, folder: str) -> DataFrame:
+    """``bucket, slot, slots, member``; of buckets with the same members one stays.
+
+    Buckets are told apart by their size and two sums modulo two of the
+    members' hashes.  Buckets of more than ``SLOT`` members lie in slots.
+    """
+    entries = written(entries.distinct(), f"{folder}/entries")
+    about = written(
+        entries.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("member")).alias("x"), F.bit_xor(F.xxhash64("member", F.lit(1))).alias("y")).where("size > 1"), f"{folder}/about",
+    )
+    slots = F.ceil(F.col("size") / SLOT)
+    kept = about.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", slots.alias("slots"))
+    hot = about.where(F.col("size") > SLOT).select("bucket", slots.alias("parts"))
+    dealt = sized_join(entries, hot, "bucket", "left", SMALL).select("bucket", "member", F.coalesce(F.pmod(F.xxhash64("member"), F.col("parts")), F.lit(0)).alias("slot"))
+    return written(dealt.join(_slots(kept), ["bucket", "slot"]).select("bucket", "slot", "slots", "member"), f"{folder}/buckets")
+
+
+def _linked(rows: DataFrame, doc: DataFrame, entries: DataFrame, folder: str, words: int, threshold: float, salt: int) -> DataFrame:
     """``member, root`` of every member with a link to another."""
-    nodes = bucket.select("member").distinct()
+    left = _distinct_buckets(entries, folder)
     first = written(
-        doc.where("n > 0").groupBy("member").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")).join(nodes, "member", "left_semi"), f"{folder}/members",
+        doc.where("n > 0").groupBy("member").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.min("n").alias("n"), F.first("bits", True).alias("bits"), F.first("wide", True).alias("wide"))
+        .join(left.select("member").distinct(), "member", "left_semi"), f"{folder}/members",
     )
-    about = first.select("member", "n", "bits")
-    about = F.broadcast(about) if fits(about, SMALL // 5) else about
-    root, left, turn = None, bucket, 0
-    while True:
+    about, texts, root = first.select("member", "n", "bits"), None, None
+    for turn in count():
         here = f"{folder}/round-{turn}"
-        if root is None:
-            active = left.withColumn("root", F.col("member"))
-        else:
-            active = left.join(root, "member", "left").withColumn("root", F.coalesce("root", "member"))
+        active = left.withColumn("root", F.col("member")) if root is None else left.join(root, "member", "left").withColumn("root", F.coalesce("root", "member"))
         if turn:
-            open_ = active.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-            active = active.join(open_, "bucket", "left_semi")
-        active = written(active, f"{here}/active")
-        if active.isEmpty():
+            open_ = active.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("slots").alias("slots")).where("lo <> hi").select("bucket", "slots")
+            active = written(active.join(_slots(open_).drop("slots"), ["bucket", "slot"], "left_semi"), f"{here}/active")
+            if active.isEmpty():
+                break
+        elif active.isEmpty():
             break
         choice = F.pmod(F.xxhash64("member", F.lit(turn)), F.lit(4**turn))
-        chosen = active.groupBy("bucket", choice.alias("_")).agg(F.min("member").alias("member")).select("bucket", "member")
-        known = active.join(about, "member")
-        pivot = known.join(chosen, ["bucket", "member"], "left_semi").select("bucket", F.struct("member", "root", "n", "bits").alias("pivot"))
-        pairs = written(
-            known.join(pivot, (known["bucket"] == pivot["bucket"]) & (F.col("root") != F.col("pivot.root")) & _possible(threshold))
-            .select(F.least("member", "pivot.member").alias("a"), F.greatest("member", "pivot.member").alias("b")).distinct(),
-            f"{here}/pairs",
+        chosen = active.groupBy("bucket", choice.alias("_")).agg(F.min(F.struct("member", "root")).alias("pivot"), F.max("slots").alias("slots")).select("bucket", "slots", "pivot")
+        if turn:
+            chosen = written(chosen, f"{here}/chosen")
+        pairs = (
+            active.drop("slots").join(_slots(chosen).drop("slots"), ["bucket", "slot"]).where("root <> pivot.root")
+            .select(F.least("member", "pivot.member").alias("a"), F.greatest("member", "pivot.member").alias("b")).distinct()
         )
+        pairs = written(_possible(pairs, about, threshold), f"{here}/pairs")
         pairs = written(_near(pairs, first, threshold), f"{here}/near")
         if not pairs.isEmpty():
-            ends = pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct()
-            sets = written(_sets(rows, written(first.select("member", "doc_id").join(ends, "member", "left_semi"), f"{here}/ends"), words), f"{here}/sets")
-            new = written(_verified(pairs, sets, threshold), f"{here}/links")
-            root = _merged(new, root, here)
+            if texts is None:
+                texts = written(_texts(rows, first, words, salt), f"{folder}/texts")
+                if texts.count() > first.count():  # repeated rows
+                    texts = written(texts.dropDuplicates(["member"]), f"{folder}/texts-once")
+            root = _merged(written(_verified(pairs, texts, threshold, words), f"{here}/links"), root, here)
         # pivots have been compared with all members of their buckets
-        left = active.select("bucket", "member").join(chosen, ["bucket", "member"], "left_anti")
-        turn += 1
-    if root is None:
-        return first.select("member", F.col("member").alias("root")).limit(0)
-    return root
+        left = active.select("bucket", "slot", "slots", "member").join(chosen.select("bucket", F.col("pivot.member").alias("member")), ["bucket", "member"], "left_anti")
+    return first.select("member", F.col("member").alias("root")).limit(0) if root is None else root
 
 
 def _merged(links: DataFrame, root: DataFrame | None, here: str) -> DataFrame | None:
@@ -363,7 +438,18 @@ def _merged(links: DataFrame, root: DataFrame | None, here: str) -> DataFrame |
     return written(members.join(higher, "root", "left").select("member", F.coalesce("top", "root").alias("root")).distinct(), f"{here}/root")
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with all columns."""
-    kept = written(classes(spark, docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("__lexloom_hit")).distinct(), work_dir(spark, "near"))
-    return docs.join(F.broadcast(kept) if fits(kept, SMALL) else kept, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("__lexloom_hit"), "left_anti")
+def one_of_each(spark: SparkSession, docs: DataFrame, *, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """One document of each component, with all columns: the one with the smallest id.
+
+    Rows with an id stay before rows without one.  Of rows that repeat the
+    smallest id with different texts one stays; rows that repeat both id and
+    text are one document and stay or go together.  Documents without words
+    stay.
+    """
+    found = written(_classes(spark, docs, words, threshold).where("root is not null"), f"{work_dir(spark, 'near')}/rows")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    keeper = found.groupBy("root").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("root", "first")
+    gone = sized_join(found, written(keeper, f"{work_dir(spark, 'near')}/keeper"), "root", "inner", SMALL).where(order != F.col("first"))
+    gone = written(gone.select(F.col("doc_id").alias("__lexloom_id"), F.col("mark").alias("__lexloom_mark")).distinct(), f"{work_dir(spark, 'near')}/gone")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__lexloom_id")) & (_mark(F.col("text")) == F.col("__lexloom_mark"))
+    return docs.join(F.broadcast(gone) if fits(gone, SMALL) else gone, same, "left_anti")

@@ -4,8 +4,10 @@
 and ordered thresholds ``c_0 < c_1 < ...``.  A text's features are the distinct
 64-bit hashes of its lower-cased words, of their last three bytes and of their
 first three, five, six and seven (stems that take many endings), each once more
-as a dense feature if one word in a hundred has it; those found in at least ``min_df`` fitted texts keep a weight, and because the whole
-hash is compared, unseen words weigh nothing.
+as a dense feature if one word in a hundred has it.  Features found in at least
+``min_df`` fitted texts whose mean grade is ``screen`` standard errors from the
+overall one keep a weight, however many they are; because the whole hash is
+compared, unseen words weigh nothing.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexloom.llm import exchange
 from lexloom.llm import textkit as tk
-from lexloom.llm.store import open_file, parts_of, work_dir, write_file, written
+from lexloom.llm.store import open_file, parts_for, small_batches, work_dir, write_file, written
 
 #: Bound of the labelled rows that a model is fitted on.
 FIT_ROWS = 12_000
 #: Standard errors by which a feature's mean grade must differ.
 SCREEN = 4.0
-#: Bound of the features that a model keeps, those that differ most.
-MAX_FEATURES = 8192
+#: Fitted texts that must have a feature.
+MIN_DF = 8
 #: Bytes at a word's end and at its start that are features of their own.
 TAILS, HEADS = (3,), (3, 5, 6, 7)
 DENSE = np.uint64(0xE7037ED1A0B428DB)
@@ -145,22 +147,14 @@ def loaded(uri: str) -> OrdinalModel:
     return OrdinalModel.load(uri)
 
 
-def fit_arrays(doc: np.ndarray, key: np.ndarray, y: np.ndarray, grades: np.ndarray, *, min_df: int, l2: float, steps: int, screen: float = SCREEN) -> OrdinalModel:
+def fit_arrays(doc: np.ndarray, key: np.ndarray, y: np.ndarray, grades: np.ndarray, *, l2: float, steps: int) -> OrdinalModel:
     """Adam on the full penalised likelihood; deterministic.
 
-    A feature enters if its texts' mean grade is ``screen`` standard errors
-    from the overall mean: chance features would share the cues' weight.
-
     The thresholds are a first one and positive gaps, so they stay ordered.
     Rows are weighted so that every grade counts alike.
     """
     n, levels = len(y), len(grades)
-    keys, inverse, df = np.unique(key, return_inverse=True, return_counts=True)
-    lean = np.bincount(inverse, y[doc].astype(float)) - df * y.mean()
-    keep = (df >= min_df) & (np.abs(lean) >= screen * np.sqrt(np.maximum(df * y.var(), 1e-9)))
-    place = np.cumsum(keep) - 1
-    used = keep[inverse]
-    doc, col, keys = doc[used], place[inverse[used]], keys[keep]
+    keys, col, df = np.unique(key, return_inverse=True, return_counts=True)
     share = np.bincount(y, minlength=levels) / n
     row_weight = 1 / (levels * share[y] * n)
     above = np.cumsum(share[::-1])[::-1][1:].clip(1e-6, 1 - 1e-6)
@@ -170,7 +164,7 @@ def fit_arrays(doc: np.ndarray, key: np.ndarray, y: np.ndarray, grades: np.ndarr
     theta = np.concatenate([np.zeros(len(keys)), first[:1] * 0, np.log(np.maximum(np.diff(first), 1e-2))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     k = len(keys)
-    gain = 1 / np.sqrt(np.maximum(1, df[keep]) / max(1, n) * 20 + 1)  # frequent words move less
+    gain = 1 / np.sqrt(np.maximum(1, df) / max(1, n) * 20 + 1)  # frequent words move less
     for t in range(1, steps + 1):
         w = theta[:k] * gain
         cuts = np.cumsum(np.concatenate([theta[k : k + 1], np.exp(theta[k + 1 :])]))
@@ -196,19 +190,23 @@ def fit_arrays(doc: np.ndarray, key: np.ndarray, y: np.ndarray, grades: np.ndarr
 
 
 def fit(
-    spark: SparkSession, docs: DataFrame, ratings: DataFrame, grade: str, *, fit_rows: int = FIT_ROWS, min_df: int = 8, l2: float = 1e-4, steps: int = 200,
+    spark: SparkSession, docs: DataFrame, ratings: DataFrame, grade: str, *, fit_rows: int = FIT_ROWS, min_df: int = MIN_DF, screen: float = SCREEN, l2: float = 1e-4, steps: int = 200,
 ) -> OrdinalModel | None:
     """Fits on at most ``fit_rows`` rated documents, chosen by a hash of the id.
 
     Ratings without an id or a grade are left out; a document rated several
     times counts once for each rating.  Fewer than two grades give no model.
+    Features are counted and screened on the executors; chance features would
+    share the cues' weight.  The driver gets, of each fitted document, the
+    places of the features that are left.
     """
+    small_batches(spark)
     rated = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(grade).cast("long").alias("grade")).dropna()
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(fit_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, off in tk.pieces(batches):
+        for batch, buf, off in tk.pieces(batches, size=tk.BLOCK // 2):
             doc, key = described(buf, off)
             at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
@@ -223,8 +221,7 @@ def fit(
     if len(grades) < 2:
         return None
     size = np.array([counts[int(g)] for g in grades], float)
-    least = min_df if size.sum() >= 2000 else max(2, min_df // 3)
-    kept = _screened(spark, told, grades, size, least)
+    kept = _screened(told, grades, size, min_df, screen)
 
     def only_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,25 +229,25 @@ def fit(
             for x in batch.column(2).to_pylist():
                 x = np.frombuffer(x, np.uint64)
                 at = np.minimum(np.searchsorted(kept, x), max(0, len(kept) - 1))
-                out.append(at[kept[at] == x].astype(np.uint16).tobytes() if len(kept) else b"")
+                out.append(at[kept[at] == x].astype(np.uint32).tobytes() if len(kept) else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tk.strings(out)], ["doc_id", "grade", "keys"])
 
-    rows = told.mapInArrow(only_kept, "doc_id long, grade long, keys binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.grade, bytes(r["keys"])))
-    y = np.searchsorted(grades, [r.grade for r in rows])
-    sets = [np.frombuffer(bytes(r["keys"]), np.uint16) for r in rows]
-    doc = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
-    model = fit_arrays(doc, np.concatenate(sets), y, grades, min_df=least, l2=l2, steps=steps)
+    rows = told.mapInArrow(only_kept, "doc_id long, grade long, keys binary").toArrow().sort_by([(c, "ascending") for c in ("doc_id", "grade", "keys")])
+    y = np.searchsorted(grades, rows["grade"].to_numpy())
+    places, off = tk.column(rows["keys"])
+    sizes = np.diff(off) // 4
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    model = fit_arrays(doc, places.view(np.uint32), y, grades, l2=l2, steps=steps)
     return OrdinalModel(kept[model.keys], model.weights, model.cuts, model.grades)
 
 
-def _screened(spark: SparkSession, told: DataFrame, grades: np.ndarray, size: np.ndarray, least: int) -> np.ndarray:
-    """The ``MAX_FEATURES`` features that tell grades apart best, sorted.
+def _screened(told: DataFrame, grades: np.ndarray, size: np.ndarray, least: int, screen: float) -> np.ndarray:
+    """All features that tell grades apart, sorted.
 
     Counted on the executors: pieces send each part their features' counts and
     sums of grades, packed, and only those that pass come to the driver.
     """
-    rank, parts = np.arange(len(grades)), parts_of(spark, 1)
+    rank, parts = np.arange(len(grades)), parts_for(told)
     mean = float((size * rank).sum() / size.sum())
     var = float((size * (rank - mean) ** 2).sum() / size.sum())
 
@@ -274,13 +271,10 @@ def _screened(spark: SparkSession, told: DataFrame, grades: np.ndarray, size: np
             key, back = np.unique(key, return_inverse=True)
             df, total = np.bincount(back, df), np.bincount(back, total)
             lean = np.abs(total - df * mean) / np.sqrt(np.maximum(df * var, 1e-9))
-            good = np.flatnonzero((df >= least) & (lean >= SCREEN))
-            good = good[np.lexsort((key[good], -lean[good]))][:MAX_FEATURES]
-            yield pa.RecordBatch.from_arrays([tk.strings([key[good].tobytes()]), tk.strings([lean[good].tobytes()])], ["keys", "leans"])
+            yield pa.RecordBatch.from_arrays([tk.strings([key[(df >= least) & (lean >= screen)].tobytes()])], ["keys"])
 
-    rows = told.mapInArrow(count, "part int, keys binary, counts binary, sums binary").repartitionById(parts, F.col("part")).mapInArrow(keep, "keys binary, leans binary").collect()
-    key, lean = exchange.joined([bytes(r["keys"]) for r in rows], np.uint64), exchange.joined([bytes(r.leans) for r in rows], np.float64)
-    return np.sort(key[np.lexsort((key, -lean))[:MAX_FEATURES]])
+    rows = told.mapInArrow(count, "part int, keys binary, counts binary, sums binary").repartitionById(parts, F.col("part")).mapInArrow(keep, "keys binary").collect()
+    return np.sort(exchange.joined([bytes(r["keys"]) for r in rows], np.uint64))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: OrdinalModel | None, *, tail_grade: int, prefix: str) -> DataFrame:
@@ -305,7 +299,7 @@ def score(spark: SparkSession, docs: DataFrame, model: OrdinalModel | None, *, t
         for whole in batches:
             column = whole.column(place)
             filled = pa.RecordBatch.from_arrays([column.fill_null("")], ["text"])
-            parts = [m.scores(buf, off) for _, buf, off in tk.pieces(iter([filled]))]
+            parts = [m.scores(buf, off) for _, buf, off in tk.pieces(iter([filled]), size=tk.BLOCK // 2)]
             tails = m.tails(np.concatenate(parts) if parts else np.zeros(0))
             mean = m.grades[0] + tails @ np.diff(m.grades)
             top = np.ones(len(mean)) if at == 0 else np.zeros(len(mean)) if at >= len(m.grades) else tails[:, at - 1]

@@ -10,6 +10,7 @@ from lexloom.llm import ordinal
 
 def quality(
     spark: SparkSession, docs: DataFrame, ratings: DataFrame, *, grade: str = "quality", least_grade: int = 1, threshold: float = 0.5, fit_rows: int = ordinal.FIT_ROWS,
+    screen: float = ordinal.SCREEN, min_df: int = ordinal.MIN_DF,
 ) -> DataFrame:
     """All columns of ``docs`` with ``quality_expected``, ``quality_tail`` and ``selected``.
 
@@ -18,6 +19,6 @@ def quality(
     least nothing is known, scores are null and every document is selected.
     An empty text has the base rates; repeated rows get equal scores.
     """
-    model = ordinal.fit(spark, docs, ratings, grade, fit_rows=fit_rows)
+    model = ordinal.fit(spark, docs, ratings, grade, fit_rows=fit_rows, screen=screen, min_df=min_df)
     scored = ordinal.score(spark, docs, model, tail_grade=least_grade, prefix="quality")
     return scored.withColumn("selected", F.coalesce(F.col("quality_tail") >= threshold, F.lit(True)))

@@ -4,9 +4,9 @@ A shard is one file of documents in ascending key order:
 
     block 0 | block 1 | ... | index | Bloom filter | footer (64 bytes)
 
-The key is the document's id as 8 bytes, big-endian with the sign bit flipped,
-so that byte order is numeric order, followed by 4 bytes that number rows with
-the same id.  A block holds entries until it has ``BLOCK_BYTES``: for each
+The key is a byte that is 0 for rows without an id and 1 for others, then the
+id as 8 bytes, big-endian with the sign bit flipped, so that byte order is
+numeric order, then 4 bytes that number rows with the same id.  A block holds entries until it has ``BLOCK_BYTES``: for each
 ``shared:uvarint  rest:uvarint  size:uvarint  rest-of-key  value``, where
 ``shared`` is the length of the prefix shared with the entry before; the block
 is compressed with zstd.  The value is the ids as little-endian unsigned
@@ -31,21 +31,26 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import encoders
 from lexloom.llm import textkit as tk
-from lexloom.llm.store import open_file, parts_of, work_dir, write_file, written
+from lexloom.llm.store import open_file, parts_for, small_batches, work_dir, write_file, written
 
 BLOCK_BYTES = 1 << 18
-MAGIC = b"LXSSTBL1"
+#: Bytes of input for each shard.
+SHARD_BYTES = 256 << 20
+MAGIC = b"LXSSTBL2"
 FOOTER = struct.Struct("<QQQQQQII8s")  # index at, filter at, filter bytes, rows, ids, blocks, width, hashes, magic
-ENTRY = struct.Struct("<12sQIIQ")  # first key, place, size, rows, ids
+KEY_BYTES = 13
+ENTRY = struct.Struct(f"<{KEY_BYTES}sQIIQ")  # first key, place, size, rows, ids
 BITS_A_KEY, HASHES = 10, 7
 
 
-def key_of(doc_id: int, number: int = 0) -> bytes:
-    return struct.pack(">QI", (doc_id & (1 << 64) - 1) ^ 1 << 63, number)
+def key_of(doc_id: int | None, number: int = 0) -> bytes:
+    return struct.pack(">BQI", doc_id is not None, ((doc_id or 0) & (1 << 64) - 1) ^ 1 << 63, number)
 
 
-def id_of(key: bytes) -> int:
-    x = struct.unpack(">Q", key[:8])[0] ^ 1 << 63
+def id_of(key: bytes) -> int | None:
+    if not key[0]:
+        return None
+    x = struct.unpack(">Q", key[1:9])[0] ^ 1 << 63
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -69,8 +74,8 @@ def _unvarint(data, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _bits(ids: np.ndarray, size: int) -> np.ndarray:
-    h = tk.mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+def _bits(ids: list[int | None], size: int) -> np.ndarray:
+    h = tk.mix(np.array([i or 0 for i in ids], np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     step = tk.mix(h) | np.uint64(1)
     return np.concatenate([(h + np.uint64(i) * step) % np.uint64(size) for i in range(HASHES)])
 
@@ -81,14 +86,14 @@ class Writer:
     def __init__(self, out, width: int):
         self.out, self.width, self.place = out, width, 0
         self.index: list[bytes] = []
-        self.keys: list[int] = []
+        self.keys: list[int | None] = []
         self.rows = self.ids = 0
         self._fresh()
 
     def _fresh(self):
         self.block, self.block_rows, self.block_ids, self.first, self.last = bytearray(), 0, 0, b"", b""
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         value = ids.astype(f"<u{self.width}").tobytes()
         number = 0
         if self.keys and self.keys[-1] == doc_id:
@@ -97,11 +102,11 @@ class Writer:
         key = key_of(doc_id, number)
         shared = 0
         if self.block_rows:
-            while shared < 12 and key[shared] == self.last[shared]:
+            while shared < KEY_BYTES and key[shared] == self.last[shared]:
                 shared += 1
         else:
             self.first = key
-        self.block += _varint(shared) + _varint(12 - shared) + _varint(len(value)) + key[shared:] + value
+        self.block += _varint(shared) + _varint(KEY_BYTES - shared) + _varint(len(value)) + key[shared:] + value
         self.last = key
         self.block_rows += 1
         self.block_ids += len(ids)
@@ -127,7 +132,7 @@ class Writer:
         size = max(64, -(-len(self.keys) * BITS_A_KEY // 8) * 8)
         field = np.zeros(size, np.uint8)
         if self.keys:
-            field[_bits(np.array(self.keys), size).astype(np.int64)] = 1
+            field[_bits(self.keys, size).astype(np.int64)] = 1
         bloom = np.packbits(field, bitorder="little").tobytes()
         self.out.write(bloom)
         self.out.write(FOOTER.pack(self.place, self.place + len(index), len(bloom), self.rows, self.ids, len(self.index), self.width, HASHES, MAGIC))
@@ -150,7 +155,7 @@ class Reader:
         self.file.seek(at)
         return self.file.read(n)
 
-    def block(self, i: int) -> Iterator[tuple[int, np.ndarray]]:
+    def block(self, i: int) -> Iterator[tuple[int | None, np.ndarray]]:
         _, place, size, rows, _ = self.index[i]
         data = zstandard.ZstdDecompressor().decompress(self._read(place, size))
         at, key = 0, b""
@@ -163,13 +168,13 @@ class Reader:
             yield id_of(key), np.frombuffer(data, f"<u{self.width}", n // self.width, at)
             at += n
 
-    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+    def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         for i in range(len(self.index)):
             yield from self.block(i)
 
-    def get(self, doc_id: int) -> list[np.ndarray]:
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
         """Ids of every row with this doc_id; the filter spares most absent ones a read."""
-        if not self.bloom[_bits(np.array([doc_id]), len(self.bloom)).astype(np.int64)].all():
+        if not self.bloom[_bits([doc_id], len(self.bloom)).astype(np.int64)].all():
             return []
         want, lo, hi = key_of(doc_id), 0, len(self.index)
         while lo < hi:
@@ -194,11 +199,12 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, folder: str, *
 
     Shards are ranges of doc_id with about equally many rows, found from the
     ids alone, so texts are encoded once and only compact ids are shuffled.
-    A null text is empty; a null doc_id has no key and is left out; rows that
-    repeat an id are all kept, in the order of their ids' bytes.  An empty
+    A null text is empty; rows without an id come first; rows that repeat an id
+    (or have none) are all kept, in the order of their ids' bytes.  An empty
     table writes no shard.
     """
-    n = shards or parts_of(spark, 1)
+    small_batches(spark)
+    n = shards or parts_for(docs, SHARD_BYTES)
     at = [i / n for i in range(1, n)]
     cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), F.array(*map(F.lit, at)) if at else F.array(F.lit(0.5)), F.lit(100_000)).alias("c")).first().c
     cuts = sorted(set(cuts or []))[: n - 1] if at else []
@@ -206,13 +212,13 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, folder: str, *
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoders.worker_encoder(path)
-        for batch, buf, off in tk.pieces(batches, size=3 * tk.BLOCK):
+        for batch, buf, off in tk.pieces(batches):
             ids, bounds = encoder.encode(buf, off)
             if len(ids) and int(ids.max()) >> 8 * width:
                 raise ValueError(f"an id needs more than {width} bytes")
             end = np.array([] if end_id is None else [end_id], kind)
             flat = ids.astype(kind)
-            key = tk.integers(batch, "doc_id")
+            key = batch.column(0).fill_null(-(1 << 63)).to_numpy()  # those without an id are in the first shard
             part = np.searchsorted(np.array(cuts, np.int64), key, "left")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part.astype(np.int32)), batch.column(0), tk.strings([np.concatenate([flat[a:b], end]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])],
@@ -243,7 +249,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, folder: str, *
             )
 
     encoded = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id is not null")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
         .mapInArrow(encode, "part int, doc_id long, ids binary")
         .repartitionById(len(cuts) + 1, F.col("part"))
         .sortWithinPartitions("part", "doc_id", "ids")
@@ -261,7 +267,8 @@ def read_shards(spark: SparkSession, shards: DataFrame) -> DataFrame:
 
     before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # an explicit number of partitions: rows are small, but each stands for a file to read
-    jobs = shards.select("shard", "uri", before.alias("start")).repartitionById(parts_of(spark, 1), (F.col("shard") % parts_of(spark, 1)).cast("int")).drop("shard").select(F.lit(0), "uri", "start")
+    parts = parts_for(shards, 1 << 10)
+    jobs = shards.select("shard", "uri", before.alias("start")).repartitionById(parts, (F.col("shard") % parts).cast("int")).drop("shard").select(F.lit(0), "uri", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

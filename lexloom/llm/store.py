@@ -1,8 +1,9 @@
 """The folder that the driver and all executors share.
 
-``spark.checkpoint.dir`` names it on a cluster.  Where it is unset (tests on
-one machine) a folder below the temporary directory is used and written back
-to the session, so that ``DataFrame.checkpoint`` works too.  Files that Python
+``spark.checkpoint.dir`` names it on a cluster, where it must be set.  Where it
+is unset and the master is ``local`` (one process, as in tests) a folder below
+the temporary directory is used and written back to the session, so that
+``DataFrame.checkpoint`` works too.  Files that Python
 workers write go through :mod:`pyarrow.fs`, which resolves ``file:``,
 ``hdfs:``, ``s3:`` and ``gs:`` URIs alike.
 """
@@ -23,6 +24,8 @@ def shared_root(spark: SparkSession) -> str:
     """URI of the shared folder; sets one of our own only if none is set."""
     root = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lexloom-shared-")
         spark.conf.set(SETTING, root)
         spark.sparkContext.setCheckpointDir(root)
@@ -70,9 +73,41 @@ def open_file(uri: str):
     return system.open_input_file(path)
 
 
-def parts_of(spark: SparkSession, factor: int = 2) -> int:
-    """Partitions of an exchange that is dealt by an explicit number."""
-    return max(2, factor * int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Most partitions of an exchange that is dealt by an explicit number.
+MOST_PARTS = 500_000
+
+
+def bytes_of(df: DataFrame) -> int:
+    """Bytes of a table: what its plan states if that is one file scan, else what its texts and binaries hold."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    stated = int(str(plan.stats().sizeInBytes()))
+    if plan.collectLeaves().size() == 1 and stated < 1 << 60:  # joins multiply, and some sources know nothing
+        return stated
+    sized = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return df.agg(F.sum(sum(sized, F.lit(16)).cast("long"))).first()[0] or 0
+
+
+def parts_for(df: DataFrame, part_bytes: int = 32 << 20) -> int:
+    """Partitions of an exchange of what is derived from ``df``, by its bytes.
+
+    At least the session's ``spark.sql.shuffle.partitions``; more where the
+    input is large, so that a task's share doesn't grow with the input.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, least, min(-(-bytes_of(df) // part_bytes), MOST_PARTS))
+
+
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bounds the bytes of a batch that goes to a Python worker, unless the session bounds them itself.
+
+    Spark's own bound of 64 MB stands in the JVM and in the worker, several
+    times each, for every task at once.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(size))
 
 
 def fits(df: DataFrame, rows: int) -> bool:

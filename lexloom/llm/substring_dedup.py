@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import exchange
 from lexloom.llm import textkit as tk
-from lexloom.llm.store import parts_of, work_dir, written
+from lexloom.llm.store import parts_for, small_batches, work_dir, written
 
 U = np.uint64
+#: Bytes of input for each part of an exchange.
+PART_BYTES = 4 << 20
 SENT = "kind int, part int, doc_id long, mark long, at binary, keys binary, checks binary, docs binary, marks binary, known binary"
 NAMES = [x.split()[0] for x in SENT.split(", ")]
 KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6)
@@ -241,14 +243,16 @@ def _joined(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
 
 def _prepared(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    own = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(own, F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"), own.alias("own"))
 
 
 def repeated(spark: SparkSession, docs: DataFrame, *, window: int = 50) -> DataFrame:
     """``doc_id, mark, places``: words of each document at which a repeated
     window starts, as far as coverage needs them; a list of binaries of
     unsigned 32-bit integers."""
-    folder, parts = work_dir(spark, "substrings"), parts_of(spark)
+    small_batches(spark)
+    folder, parts = work_dir(spark, "substrings"), parts_for(docs, PART_BYTES)
     rows, half = _prepared(docs), window // 2
     one = written(_gathered(_level_one(rows, window, parts), parts), f"{folder}/half")
     two = _level(_joined(rows, one, "inner"), window, window - half, 0, parts, True)
@@ -258,7 +262,7 @@ def repeated(spark: SparkSession, docs: DataFrame, *, window: int = 50) -> DataF
 def repeated_lengths(spark: SparkSession, docs: DataFrame, *, window: int = 50) -> DataFrame:
     """``doc_id, mark, length``: for each document, the longest of ``window * 2^i``
     words of which it shares a window with another document."""
-    folder, parts = work_dir(spark, "lengths"), parts_of(spark)
+    folder, parts = work_dir(spark, "lengths"), parts_for(docs, PART_BYTES)
     rows, half, length = _prepared(docs), window // 2, window
     now = written(_gathered(_level_one(rows, window, parts), parts), f"{folder}/half")
     now = written(_gathered(_level(_joined(rows, now, "inner"), window, window - half, 0, parts, False), parts), f"{folder}/{window}")
@@ -286,8 +290,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, *, window: int = 50) -
     document with a smaller doc_id; windows are judged on the input.  All words
     of repeated windows go (``spans`` are their ranges of words); the others
     are joined by one space.  Null, empty and short texts have no window.
-    Rows with equal ids are not compared with each other; a row without an id
-    counts as id -2^63.  Two windows are equal when 96 bits of hash are.
+    Rows with equal ids are not compared with each other; rows without an id
+    come before all others (as -2^63 does) and are not compared with each other
+    either.  Two windows are equal when 96 bits of two independent hashes are.
     """
     rows = _prepared(docs)
 
@@ -304,7 +309,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, *, window: int = 50) -
                 out.append((len(words), int(gone.sum()), edge.reshape(-1, 2).tolist(), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])))
             n, removed, spans, kept = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()).cast(pa.string())],
+                [batch.column(batch.schema.get_field_index("own")), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()).cast(pa.string())],
                 ["doc_id", "n_words", "n_removed", "spans", "kept"],
             )
 

@@ -1,10 +1,12 @@
 """Vectorised work on the bytes of many texts at once.
 
 Texts arrive as Arrow string columns.  Their UTF-8 bytes stay where they are;
-words, lines, shingles and windows are positions into them, and hashes come
-from prefix sums of a polynomial modulo 2^64 with odd bases, so that the hash
-of any slice is a difference times an inverse power.  All white space that
-counts (``[\\x20\\x09-\\x0D]``) is ASCII and therefore safe to find in bytes.
+words, lines, shingles and windows are positions into them.  A slice's hash is
+multilinear: each byte times a random key of its place in the slice (an
+almost universal family, without the collisions that polynomials modulo 2^64
+have for every base).  Runs of words are hashed by doubling, with a mix that
+isn't linear after every step.  All white space that counts
+(``[\\x20\\x09-\\x0D]``) is ASCII and therefore safe to find in bytes.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text that are hashed at a time.
 BLOCK = 1 << 20
-BASES = (0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4D)
-WORD_BASES = (0xD6E8FEB86659FD95, 0xA0761D6478BD642D)
+#: Seeds of two independent families of keys.
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4D)
+WORD_SEEDS = (0xD6E8FEB86659FD95, 0xA0761D6478BD642D)
 
 _codes = np.arange(256)
 SPACE = (_codes == 32) | ((_codes >= 9) & (_codes <= 13))
@@ -37,23 +40,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_kept: dict[int, np.ndarray] = {}
+#: Keys that a worker keeps for each seed; longer slices have theirs made anew.
+KEPT_KEYS = 1 << 16
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse; one pair of arrays a base is kept, as long as was asked for."""
-    if base not in _kept or len(_kept[base][0]) < n:
-        size = max(BLOCK // 4, -(-n // 65536) * 65536)
-        made = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, U64)
-            p[0] = 1
-            made.append(np.cumprod(p, dtype=U64))
-        if size > 4 * BLOCK:
-            return made[0][:n], made[1][:n]
-        _kept[base] = (made[0], made[1])
-    a, b = _kept[base]
-    return a[:n], b[:n]
+def place_keys(seed: int, n: int) -> np.ndarray:
+    """Random keys of the places ``0..n-1`` of a slice."""
+    if seed not in _kept:
+        _kept[seed] = _made_keys(seed, KEPT_KEYS)
+    return _kept[seed] if n <= KEPT_KEYS else _made_keys(seed, n)
+
+
+def _made_keys(seed: int, n: int) -> np.ndarray:
+    return mix(mix(np.arange(1, n + 1, dtype=U64) * U64(seed)) + U64(seed))
 
 
 def column(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,36 +103,62 @@ def spans(buf: np.ndarray, off: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[n
 def slice_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, fold: np.ndarray = SAME, which: int = 0) -> np.ndarray:
     """Hash of each slice ``buf[s:e]``; slices are in order and don't overlap."""
     out = np.empty(len(s), U64)
-    base, i = BASES[which], 0
+    i = 0
     while i < len(s):
         j = max(i + 1, int(np.searchsorted(e, s[i] + BLOCK, "right")))
-        lo, hi = int(s[i]), int(e[j - 1])
-        p, q = powers(base, max(1, hi - lo))
-        total = np.zeros(hi - lo + 1, U64)
-        np.cumsum((fold[buf[lo:hi]].astype(U64) + U64(1)) * p[: hi - lo], out=total[1:])
-        a, b = s[i:j] - lo, e[i:j] - lo
-        h = total[b] - total[a]
-        h *= q[np.minimum(a, len(q) - 1)]
-        out[i:j] = mix(h + (b - a).astype(U64) * U64(0x9E3779B97F4A7C15))
+        a, size = s[i:j], e[i:j] - s[i:j]
+        ends = np.cumsum(size)
+        n = int(ends[-1])
+        keys = place_keys(SEEDS[which], int(size.max()))
+        place = np.arange(n) - np.repeat(ends - size, size)
+        data = buf[int(a[0]) : int(e[j - 1])]
+        if n != len(data):
+            data = data[place + np.repeat(a - a[0], size)]
+        total = np.zeros(n + 1, U64)
+        np.cumsum((fold[data].astype(U64) + U64(1)) * keys[place], out=total[1:])
+        out[i:j] = mix((total[ends] - total[ends - size]) + size.astype(U64) * U64(SEEDS[1 - which]))
         i = j
     return out
 
 
+def same_bytes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, other: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether ``buf[s:e]`` and ``other[at:end]`` are the same bytes, for each pair of slices."""
+    same = (e - s) == (end - at)
+    rows = np.flatnonzero(same)
+    i = 0
+    while i < len(rows):
+        size = (e - s)[rows[i:]]
+        j = i + max(1, int(np.searchsorted(np.cumsum(size), BLOCK, "right")))
+        r, size = rows[i:j], size[: j - i]
+        ends = np.cumsum(size)
+        place = np.arange(int(ends[-1])) - np.repeat(ends - size, size)
+        bad = np.flatnonzero(buf[place + np.repeat(s[r], size)] != other[place + np.repeat(at[r], size)])
+        same[r[np.searchsorted(ends, bad, "right")]] = False
+        i = j
+    return same
+
+
 def windows(words: np.ndarray, first: np.ndarray, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the k words from each word on, and whether they are of one text."""
+    """Hash of the k words from each word on, and whether they are of one text.
+
+    A run of twice the words is mixed from its two halves; where k isn't a
+    power of two, the last step's halves overlap.
+    """
     n = len(words)
-    ok = np.zeros(n, bool)
+    ok, out = np.zeros(n, bool), np.zeros(n, U64)
     if n < k:
-        return np.zeros(n, U64), ok
-    p, q = powers(WORD_BASES[which], n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(words * p, out=total[1:])
-    h = np.zeros(n, U64)
-    h[: n - k + 1] = mix((total[k:] - total[:-k]) * q[: n - k + 1] + U64(k))
+        return out, ok
+    seed, have = U64(WORD_SEEDS[which]), 1
+    h = mix(words + seed)
+    while have < k:
+        step = min(have, k - have)
+        h = mix(h[:-step] * seed + h[step:] + U64(step))
+        have += step
+    out[: n - k + 1] = mix(h + U64(k))
     count = np.diff(first)
     end = np.repeat(first[1:], count)
     ok = np.arange(n) + k <= end
-    return h, ok
+    return out, ok
 
 
 def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:

@@ -1,13 +1,13 @@
 """Token counts of documents of any length, by overlap resynchronisation.
 
-A huge text is encoded in overlapping chunks with offsets.  Two neighbours are
-spliced at a boundary that both have and that is provably stable: a word ends
-there and ASCII white space follows, where no pre-token and no normalisation
-reaches across, and from which on both encodings agree up to the end of the
-overlap.  If an overlap has no such boundary it is widened, twofold each time,
-up to the rest of the text.  Memory is bounded by the chunk (or by the longest
-run without white space).  Shorter texts are encoded unit by unit with a
-bounded memory of units (see :mod:`lexloom.llm.encoders`).
+Every text is encoded by the library itself in chunks with offsets; a text
+that one chunk holds is encoded once, as it is.  Two neighbouring chunks
+overlap and are spliced at a boundary that both have and that is provably
+stable: a word ends there and ASCII white space follows, where no pre-token
+(or piece) and no normalisation reaches across, and from which on both
+encodings agree up to the end of the overlap.  If an overlap has no such
+boundary it is widened, twofold each time, up to the rest of the text.  Memory
+is bounded by the chunk (or by the longest run without white space).
 """
 
 from __future__ import annotations
@@ -22,17 +22,44 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import encoders
 from lexloom.llm import textkit as tk
+from lexloom.llm.store import small_batches
 
-#: Characters of a chunk, of the first overlap, and of the shortest text that is cut.
-CHUNK, OVERLAP = 32_768, 512
+#: Characters of a chunk and of the first overlap; bytes of texts that are handed to the library at once.
+CHUNK, OVERLAP, AT_ONCE = 8_192, 512, 1 << 18
 WHITE = " \t\n\v\f\r"
 
 
-def _offsets(path: str, text: str) -> list[tuple[int, int]]:
-    return encoders.tokenizer(path).encode(text, add_special_tokens=False).offsets
+@lru_cache(2)
+def _pieces(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+@lru_cache(2)
+def crosses_words(path: str) -> bool:
+    """Whether a piece of a sentencepiece model has white space (U+2581) after something else: then no place is stable."""
+    model = _pieces(path)
+    return any("\u2581" in model.id_to_piece(i).lstrip("\u2581") for i in range(model.get_piece_size()))
+
+
+def starts(path: str, text: str) -> np.ndarray:
+    """Where each token starts in the text."""
+    if path.endswith(".model"):
+        at = np.array([x.begin for x in _pieces(path).encode(text, return_type="proto").pieces], np.int64)
+        # the library counts bytes, and a character may be several pieces
+        inner = (np.frombuffer(text.encode() + b" ", np.uint8) & 0xC0) == 0x80
+        return at - np.cumsum(inner)[at]
+    return np.array([a for a, _ in encoders.tokenizer(path).encode(text, add_special_tokens=False).offsets], np.int64)
 
 
-def stable_boundary(text: str, left: np.ndarray, right: np.ndarray, lo: int, hi: int) -> int | None:
+def counts_of(path: str, texts: list[str]) -> list[int]:
+    if path.endswith(".model"):
+        return [len(x) for x in _pieces(path).encode(texts, num_threads=1)]
+    return [len(x) for x in encoders.plain(path, texts)]
+
+
+def stable_boundary(text: str, left: np.ndarray, right: np.ndarray, lo: int, hi: int, white: str = WHITE) -> int | None:
     """Least place in ``(lo, hi)`` where both encodings have a token boundary
     before white space and after a word, and agree from there on.
 
@@ -47,7 +74,7 @@ def stable_boundary(text: str, left: np.ndarray, right: np.ndarray, lo: int, hi:
         same += 1
     first = a[len(a) - same] if same else hi
     for i in range(max(lo + 1, int(first)), hi):
-        if text[i] in WHITE and text[i - 1] not in WHITE and not encoders.OTHER_SPACE.match(text[i - 1]):
+        if text[i] in white and text[i - 1] not in WHITE and not encoders.OTHER_SPACE.match(text[i - 1]):
             return i
     return None
 
@@ -58,20 +85,22 @@ def count_long(path: str, text: str, chunk: int = CHUNK, overlap: int = OVERLAP)
     A text with white space beyond ASCII is cut where its neighbours are words
     only, as everywhere; a text without any white space is encoded whole.
     """
+    white = " " if path.endswith(".model") else WHITE  # pieces may have other white space inside
     total, start, end = 0, 0, min(len(text), chunk)
-    own = np.array([s + start for s, _ in _offsets(path, text[start:end])])
+    own = starts(path, text[start:end])
     while end < len(text):
         width = overlap
         while True:
             begin = max(start, end - width)
             stop = min(len(text), begin + max(chunk, 2 * width))
-            after = np.array([s + begin for s, _ in _offsets(path, text[begin:stop])])
-            cut = stable_boundary(text, own, after, begin, end)
+            after = starts(path, text[begin:stop]) + begin
+            cut = stable_boundary(text, own, after, begin, end, white)
             if cut is not None:
                 break
             if begin == start:  # nothing in this chunk is stable: lengthen it
                 end = min(len(text), end + max(chunk, end - start))
-                own = np.array([s + start for s, _ in _offsets(path, text[start:end])])
+                skip = int(white == " " and start > 0)  # such a model adds a space of its own at the start
+                own = starts(path, text[start + skip : end]) + start + skip
                 if end == len(text):
                     return total + len(own)
                 width = overlap
@@ -82,42 +111,31 @@ def count_long(path: str, text: str, chunk: int = CHUNK, overlap: int = OVERLAP)
     return total + len(own)
 
 
-@lru_cache(2)
-def _pieces(path: str):
-    import sentencepiece
-
-    return sentencepiece.SentencePieceProcessor(model_file=path)
-
-
 def token_counts(docs: DataFrame, path: str, *, limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every row.
 
     ``path`` is a ``.json`` for the tokenizers library or a ``.model`` for
-    sentencepiece (whose counts are of the whole text at once).  No special
-    tokens are added; special strings inside texts are treated as the library
-    does by default.  A null text is empty and has no tokens; repeated rows
-    are counted each; the order of rows and further columns don't matter.
+    sentencepiece.  No special tokens are added; special strings inside texts
+    are treated as the library does by default.  A null text is empty and has
+    no tokens; repeated rows are counted each; ids may be null; the order of
+    rows and further columns don't matter.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None if path.endswith(".model") else encoders.worker_encoder(path)
-        for batch, buf, off in tk.pieces(batches):
+        whole = path.endswith(".model") and crosses_words(path)
+        for batch, _, off in tk.pieces(batches, size=AT_ONCE):
             size = np.diff(off)
-            if encoder is None:
-                counts = np.array([len(x) for x in _pieces(path).encode(batch.column(1).to_pylist(), num_threads=1)], np.int64)
-            else:
-                long = size > chunk
-                short = off
-                if long.any():
-                    keep = np.repeat(~long, size)
-                    short = np.concatenate([[0], np.cumsum(np.where(long, 0, size))])
-                counts = np.diff(encoder.encode(buf[keep] if long.any() else buf, short)[1])
-                for i in np.flatnonzero(long):
-                    text = buf[off[i] : off[i + 1]].tobytes().decode()
-                    counts[i] = count_long(path, text, chunk, overlap)
+            texts = batch.column(1).to_pylist()
+            short = [len(t) <= chunk or whole for t in texts]
+            counts = np.zeros(len(texts), np.int64)
+            counts[short] = counts_of(path, [t for t, s in zip(texts, short, strict=True) if s])
+            for i, t in enumerate(texts):
+                if not short[i]:
+                    counts[i] = count_long(path, t, chunk, overlap)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size.astype(np.int64)), pa.array(counts.astype(np.int64)), pa.array(counts > limit)],
+                [batch.column(0), pa.array(size.astype(np.int64)), pa.array(counts), pa.array(counts > limit)],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 

@@ -153,11 +153,12 @@ def test_without_ratings_nothing_is_decided(spark):
 
 
 def test_shards_round_trip(spark):
-    docs = corpus() + [(-5, "negative id"), (2**40, "large id"), (7, "same id"), (None, "no id")]
+    docs = corpus() + [(-5, "negative id"), (2**40, "large id"), (7, "same id"), (None, "no id"), (None, "none here either"), (-(2**63), "least id")]
     folder = store.work_dir(spark, "t")
     shards = sstable.write_shards(spark, table(spark, docs), WORD_JSON, folder, shards=4)
     listed = shards.orderBy("shard").collect()
-    named = [(i, t or "") for i, t in docs if i is not None]
+    named = [(i, t or "") for i, t in docs]
+    order = lambda i: (i is not None, i or 0)
     ids = {}
     for (i, _), x in zip(named, encoders.plain(WORD_JSON, [t for _, t in named]), strict=True):
         ids.setdefault(i, []).append([*x, 1])
@@ -171,8 +172,8 @@ def test_shards_round_trip(spark):
         assert reader.get(123456789) == []
         assert (reader.rows, reader.ids) == (s["rows"], s.ids)
         reader.close()
-    assert [k for k, _ in seen] == sorted(k for k, _ in named)
-    assert sorted(seen) == sorted((i, v) for i, vs in ids.items() for v in vs)
+    assert [k for k, _ in seen] == sorted((k for k, _ in named), key=order)
+    assert sorted(seen, key=str) == sorted(((i, v) for i, vs in ids.items() for v in vs), key=str)
     rows = sstable.read_shards(spark, shards).orderBy("start").collect()
     start = 0
     for r, (k, v) in zip(rows, seen, strict=True):
@@ -226,11 +227,11 @@ def test_token_counts(spark):
     assert token_counts.token_counts(table(spark, EMPTY), WORD_JSON).count() == 0
 
 
-@pytest.mark.parametrize("shard_units", [200_000, 5])
-def test_bpe_round_trip(spark, shard_units):
+@pytest.mark.parametrize("shard_bytes", [64 << 20, 500])
+def test_bpe_round_trip(spark, shard_bytes):
     docs = corpus() + [(7, "same id again"), (None, "no id")]
     t = encoders.tokenizer(BYTE_JSON)
-    got = sorted((r.doc_id or -1, bytes(r.ids), r.decoded) for r in bpe_words.round_trip(spark, table(spark, docs), BYTE_JSON, shard_units=shard_units).collect())
+    got = sorted((r.doc_id or -1, bytes(r.ids), r.decoded) for r in bpe_words.round_trip(spark, table(spark, docs), BYTE_JSON, shard_bytes=shard_bytes).collect())
     want = []
     for i, x in docs:
         ids = t.encode(x or "", add_special_tokens=False).ids
@@ -246,26 +247,25 @@ def test_bpe_round_trip(spark, shard_units):
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=300), st.lists(st.integers(0, 2**64 - 1), max_size=20))
 def test_perfect_hash(keys, others):
     keys = np.array(sorted(keys), np.uint64)
-    h = line_dedup.PerfectHash(keys)
+    h = line_dedup.PerfectHash.of(keys)
     assert sorted(h(keys).tolist()) == list(range(len(keys)))
-    again = line_dedup.PerfectHash.unpack(*h.pack())
-    assert again(keys).tolist() == h(keys).tolist()
-    again(np.array(others, np.uint64))
+    h(np.array(others, np.uint64))
 
 
 def test_lines_that_share_a_hash_are_kept_apart(tmp_path):
-    uri = f"file://{tmp_path}/s.npz"
+    uri = f"file://{tmp_path}/s.shard"
     keys, mark = np.array([5, 5, 9], np.uint64), np.array([1, 2, 3], np.uint64)
     line_dedup.Shard.write(uri, keys, mark, np.array([5, 6, 7]), np.array([10, 20, 30]))
-    hit, keeper = line_dedup.Shard(uri).probe(np.array([5, 5, 9, 9, 4], np.uint64), np.array([1, 2, 3, 4, 1], np.uint64))
-    assert hit.tolist() == [True, True, True, False, False] and keeper[:3].tolist() == [10, 20, 30]
+    count, keeper = line_dedup.Shard(uri).probe(np.array([5, 5, 9, 9, 4], np.uint64), np.array([1, 2, 3, 4, 1], np.uint64))
+    assert count.tolist() == [5, 6, 7, 0, 0] and keeper[:3].tolist() == [10, 20, 30]
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("shard_bytes", [line_dedup.SHARD_BYTES, 800])
+def test_line_dedup_against_brute_force(spark, shard_bytes):
     rng = random.Random(4)
     pool = ["A licence line that many documents have, word for word.", "  a LICENCE line that many documents have, word for word. \t", "short line", "é" * 40, "é" * 39, "Rare line of more than forty code points, yes it is long"]
     docs = [(0, None), (1, ""), (2, "\n"), (3, "\n\n"), (4, "x\n")] + [(i, "\n".join(rng.choice([*pool, f"own line {i}", ""]) for _ in range(rng.randrange(1, 7)))) for i in range(5, 70)]
-    got = {r.doc_id: r for r in line_dedup.deduplicated(spark, table(spark, docs)).collect()}
+    got = {r.doc_id: r for r in line_dedup.deduplicated(spark, table(spark, docs), shard_bytes=shard_bytes).collect()}
     fold = {c: c + 32 for c in range(65, 91)}
     key = lambda x: x.strip(" \t\n\v\f\r").translate(fold)
     holders: dict = {}
@@ -299,7 +299,7 @@ def test_similar_sets_share_a_key(n, t, seed):
             b = np.unique(np.append(b, rng.integers(0, 2**64, 1, np.uint64)))
     both = len(np.intersect1d(a, b))
     if both >= t * (len(a) + len(b) - both):
-        keys = [set(ngram_join.set_keys(x, t, tk.mix(x ^ ngram_join.SALT[0])).tolist()) for x in (a, b)]
+        keys = [set(ngram_join.set_keys(x, t, ngram_join._spread(x, 0)).tolist()) for x in (a, b)]
         assert keys[0] & keys[1]
 
 
@@ -309,7 +309,7 @@ def test_similarity_classes_against_all_pairs(spark, k, t):
     sets = []
     for i, x in docs:
         w = words_of(x)
-        sets.append((-(1 << 63) if i is None else i, {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())))
+        sets.append((i, {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())))
     root = list(range(len(sets)))
 
     def find(x):
@@ -324,10 +324,17 @@ def test_similarity_classes_against_all_pairs(spark, k, t):
                 root[find(a)] = find(b)
     least: dict = {}
     for a, (i, _) in enumerate(sets):
-        least[find(a)] = min(least.get(find(a), i), i)
-    want = sorted((i, len(s), least[find(a)]) for a, (i, s) in enumerate(sets))
-    got = sorted(tuple(r) for r in ngram_join.classes(spark, table(spark, docs), words=k, threshold=t).collect())
+        least[find(a)] = min((x for x in (least.get(find(a)), i) if x is not None), default=None)
+    want = sorted(((i, len(s), least[find(a)]) for a, (i, s) in enumerate(sets)), key=str)
+    got = sorted((tuple(r) for r in ngram_join.classes(spark, table(spark, docs), words=k, threshold=t).collect()), key=str)
     assert got == want
+    kept = ngram_join.one_of_each(spark, table(spark, docs), words=k, threshold=t)
+    assert kept.columns == SCHEMA.names
+    stay = {}
+    for a, (i, s) in enumerate(sets):
+        if s and (find(a) not in stay or (i is not None and (stay[find(a)] is None or i < stay[find(a)]))):
+            stay[find(a)] = i
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*stay.values(), *(i for i, s in sets if not s), 7], key=str)  # 7 is there twice, word for word
     assert ngram_join.classes(spark, table(spark, EMPTY), words=k, threshold=t).count() == 0
 
 
@@ -392,6 +399,19 @@ def test_exact_groups(spark, digest):
         assert exact_dedup.groups(spark, table(spark, EMPTY)).count() == 0
 
 
+def test_bytes_of_earlier_calls_are_compared(spark):
+    state = store.work_dir(spark, "state")
+    calls = [[(5, "abc")], [(7, "xyz"), (8, "abc"), (9, "xyz")], [(6, "xyz"), (4, "new"), (10, "a"), (11, None)]]
+    seen = []
+    for rows in calls:
+        seen += rows
+        by: dict = {}
+        for i, t in seen:
+            by.setdefault(t or "", []).append(i)
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.groups(spark, table(spark, rows), digest=weak, state=state).collect()}
+        assert got == {i: (min(by[t or ""]), len(by[t or ""]), i == min(by[t or ""])) for i, t in rows}
+
+
 def test_state_knows_earlier_documents(spark):
     state = store.work_dir(spark, "state")
     exact_dedup.groups(spark, table(spark, [(5, "a b"), (6, "c")]), state=state).collect()
