@@ -52,7 +52,7 @@ def compose(candidates: DataFrame, required: DataFrame, blocks: DataFrame) -> Da
     independent between profiles: one group for each profile, whose size is
     what applies to one organisation, never the corpus.
     """
-    rows = candidates.join(F.broadcast(blocks.select("block_id", (F.col("status") == "curated").alias("curated"))), "block_id")
+    rows = candidates.join(blocks.select("block_id", (F.col("status") == "curated").alias("curated")), "block_id")
     rows = rows.join(required.withColumn("required", F.lit(True)), ["profile_id", "obligation_id", "block_id"], "left").fillna(False, ["required"])
 
     def cover(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -74,10 +74,8 @@ def _inputs(spark, sf_dir):
     return candidates, required, relation(spark, sf_dir, "block")
 
 
-# The checks look at the first profiles, the queries at all.
-_FEW = " WHERE o_custkey < 40"
 _CAND = """
-    duty AS (SELECT DISTINCT o_custkey AS profile_id, l_partkey AS obligation_id FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey WHERE o_custkey < 40),
+    duty AS (SELECT DISTINCT o_custkey AS profile_id, l_partkey AS obligation_id FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey),
     cand AS (SELECT d.profile_id, d.obligation_id, r.block_id FROM duty d JOIN {requires} r ON r.obligation_id = d.obligation_id),
     hard AS (SELECT d.profile_id, d.obligation_id, r.block_id FROM duty d JOIN {hard_requires} r ON r.obligation_id = d.obligation_id)"""
 
@@ -107,11 +105,11 @@ def _p12(spark, sf_dir):
     return candidates.select("profile_id").distinct().join(judged, "profile_id", "left").select("profile_id", F.coalesce("redundant", F.lit(0)).alias("redundant"))
 
 
-S.whole("p04_coverage", f"WITH {_CAND} SELECT d.profile_id, d.obligation_id, CASE WHEN count(c.block_id) > 0 THEN 'covered' ELSE 'gap' END AS state, count(DISTINCT c.block_id) AS candidates, count(DISTINCT h.block_id) AS required FROM duty d LEFT JOIN cand c ON c.profile_id = d.profile_id AND c.obligation_id = d.obligation_id LEFT JOIN hard h ON h.profile_id = d.profile_id AND h.obligation_id = d.obligation_id GROUP BY d.profile_id, d.obligation_id", _FEW)
-S.whole("p05_load_bearing", f"WITH {_CAND} SELECT DISTINCT profile_id, block_id FROM (SELECT profile_id, block_id, count(*) OVER (PARTITION BY profile_id, obligation_id) AS n FROM cand) x WHERE n = 1 UNION SELECT profile_id, block_id FROM hard", _FEW)
-S.whole("p06_minimality_proof", f"WITH {_CAND}, n AS (SELECT *, count(*) OVER (PARTITION BY profile_id, obligation_id) AS n FROM cand) SELECT profile_id, block_id, count(CASE WHEN n = 1 THEN 1 END) AS gaps_if_removed, count(CASE WHEN n > 1 THEN 1 END) AS still_covered FROM n GROUP BY profile_id, block_id", _FEW)
+S.portable("p04_coverage", f"WITH {_CAND} SELECT d.profile_id, d.obligation_id, CASE WHEN count(c.block_id) > 0 THEN 'covered' ELSE 'gap' END AS state, count(DISTINCT c.block_id) AS candidates, count(DISTINCT h.block_id) AS required FROM duty d LEFT JOIN cand c ON c.profile_id = d.profile_id AND c.obligation_id = d.obligation_id LEFT JOIN hard h ON h.profile_id = d.profile_id AND h.obligation_id = d.obligation_id GROUP BY d.profile_id, d.obligation_id")
+S.portable("p05_load_bearing", f"WITH {_CAND} SELECT DISTINCT profile_id, block_id FROM (SELECT profile_id, block_id, count(*) OVER (PARTITION BY profile_id, obligation_id) AS n FROM cand) x WHERE n = 1 UNION SELECT profile_id, block_id FROM hard")
+S.portable("p06_minimality_proof", f"WITH {_CAND}, n AS (SELECT *, count(*) OVER (PARTITION BY profile_id, obligation_id) AS n FROM cand) SELECT profile_id, block_id, count(CASE WHEN n = 1 THEN 1 END) AS gaps_if_removed, count(CASE WHEN n > 1 THEN 1 END) AS still_covered FROM n GROUP BY profile_id, block_id")
 S.portable("p07_open_questions", "SELECT a.profile_id, e.basis, e.key1 AS question, count(DISTINCT e.obligation_id) AS duties FROM (SELECT DISTINCT profile_id FROM {answer}) a CROSS JOIN {edge} e LEFT JOIN {answer} s ON s.profile_id = a.profile_id AND s.basis = e.basis AND s.akey = e.key1 WHERE e.basis = 'condition' AND s.akey IS NULL GROUP BY a.profile_id, e.basis, e.key1")
-S.whole("p03_store_composition", f"WITH {_CAND} SELECT profile_id, count(DISTINCT block_id) AS blocks, [[sha2(||sha256(]]{joined('cast(block_id AS VARCHAR(9))')}[[, 256)||)]] AS composition_hash FROM cand GROUP BY profile_id", _FEW)
+S.portable("p03_store_composition", f"WITH {_CAND} SELECT profile_id, count(DISTINCT block_id) AS blocks, [[sha2(||sha256(]]{joined('cast(block_id AS VARCHAR(9))')}[[, 256)||)]] AS composition_hash FROM cand GROUP BY profile_id")
 S.portable("p08_store_supersede", "SELECT o_custkey AS fingerprint, o_orderkey AS blueprint, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS superseded_by FROM {orders}")
 S.portable("p09_fingerprint", f"SELECT profile_id, [[sha2(||sha256(]]{joined('concat(basis, akey)')}[[, 256)||)]] AS fingerprint FROM {{answer}} GROUP BY profile_id")
 S.portable("p10_composition_hash", f"SELECT l_orderkey AS blueprint, [[sha2(||sha256(]]{joined('cast(l_suppkey AS VARCHAR(9))')}[[, 256)||)]] AS composition_hash FROM {{lineitem}} GROUP BY l_orderkey")
@@ -127,7 +125,7 @@ _TWO = """
 S.portable("p14_diff_compositions", f"WITH {_TWO} SELECT coalesce(b.block_id, a.block_id) AS block_id, CASE WHEN b.block_id IS NULL THEN 'added' WHEN a.block_id IS NULL THEN 'removed' ELSE 'changed' END AS change, b.duties AS duties_before, a.duties AS duties_after FROM before b FULL OUTER JOIN after_ a ON a.block_id = b.block_id WHERE b.block_id IS NULL OR a.block_id IS NULL OR a.duties <> b.duties OR a.hard <> b.hard")
 S.portable("p15_diff_blueprints", f"WITH {_TWO} SELECT CASE WHEN b.block_id IS NULL THEN 'added' WHEN a.block_id IS NULL THEN 'removed' WHEN a.duties <> b.duties THEN 'changed' ELSE 'same' END AS change, count(*) AS n FROM before b FULL OUTER JOIN after_ a ON a.block_id = b.block_id GROUP BY 1")
 S.portable("p16_what_changed", "SELECT source_id, count(*) AS changed FROM {new_version} n WHERE NOT EXISTS (SELECT 1 FROM {old_version} o WHERE o.ref = n.ref AND o.body = n.body) GROUP BY source_id")
-S.whole("p17_recompose_queue", "SELECT DISTINCT o.o_custkey AS profile_id FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey JOIN {obligation} b ON b.obligation_id = l.l_partkey WHERE b.status = 'stale' AND o.o_custkey < 200", " AND o.o_custkey < 200")
+S.portable("p17_recompose_queue", "SELECT DISTINCT o.o_custkey AS profile_id FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey JOIN {obligation} b ON b.obligation_id = l.l_partkey WHERE b.status = 'stale'")
 S.portable("p18_explain_item", f"""
     SELECT block_id, concat('Covers ', cast(n AS VARCHAR(9)), ' duties: ', first_, CASE WHEN n > 3 THEN concat(' and ', cast(n - 3 AS VARCHAR(9)), ' more') ELSE '' END) AS text
     FROM (SELECT block_id, max(n) AS n, {joined("CASE WHEN i <= 3 THEN concat('OBL-', lpad(cast(obligation_id AS VARCHAR(9)), 6, '0')) END", ', ')} AS first_ FROM (SELECT block_id, obligation_id, row_number() OVER (PARTITION BY block_id ORDER BY obligation_id) AS i, count(*) OVER (PARTITION BY block_id) AS n FROM {{requires}}) x GROUP BY block_id) y""")

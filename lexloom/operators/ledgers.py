@@ -23,9 +23,9 @@ S.portable("n08_change_feed", """
         UNION ALL SELECT 'L2', concat('order/', cast(o_orderkey AS VARCHAR(19))), cast(o_orderdate AS DATE) FROM {orders} WHERE o_orderstatus = 'F'
         UNION ALL SELECT 'L6', concat('line/', cast(l_orderkey AS VARCHAR(19)), '/', cast(l_linenumber AS VARCHAR(9)), '/', cast(l_partkey AS VARCHAR(19))), cast(l_shipdate AS DATE) FROM {lineitem} WHERE l_returnflag = 'R') x
     ORDER BY on_day DESC, layer, ref LIMIT 200""")
-S.whole("n09_watch_digest", """
+S.portable("n09_watch_digest", """
     SELECT p.profile_id, count(DISTINCT o.obligation_id) AS obligations, count(DISTINCT CASE WHEN o.status = 'stale' THEN o.obligation_id END) AS changed
-    FROM {profile} p LEFT JOIN {obligation} o ON o.obligation_id % 25 = p.nation AND o.source_key IN ('Brand#1', 'Brand#2', 'Brand#3') WHERE p.profile_id < 100 GROUP BY p.profile_id""", " WHERE p.profile_id < 100")
+    FROM {profile} p LEFT JOIN {obligation} o ON o.obligation_id % 25 = p.nation AND o.source_key IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY p.profile_id""")
 S.portable("n10_scope_projection", """
     WITH scope AS (SELECT obligation_id FROM {obligation} WHERE source_key IN (SELECT concat('Brand#', cast(n_nationkey AS VARCHAR(9))) FROM {nation}) AND status <> 'stale'),
     inside AS (SELECT r.block_id FROM {requires} r LEFT JOIN scope s ON s.obligation_id = r.obligation_id GROUP BY r.block_id HAVING count(*) * 8 < 10 * count(s.obligation_id))
