@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.store import fits, sized_join, work_dir, written
+from lexloom.llm.store import discard, fits, settings, sized_join, work_dir, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,7 +41,7 @@ STORED = "doc_id long, digest string, mark long, locator long, content string, c
 
 def _drain(spark: SparkSession, source: str, state: str, updates: str) -> None:
     """Runs the stream over what has come to ``source``; state stays in ``state``."""
-    settings = {
+    values = {
         "spark.sql.streaming.stateStore.providerClass": PROVIDER,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
@@ -49,10 +49,7 @@ def _drain(spark: SparkSession, source: str, state: str, updates: str) -> None:
         # many small stores: no space is set aside for their logs
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
+    with settings(spark, values):
         known = (
             spark.readStream.schema(STORED).parquet(source)
             .groupBy("digest")
@@ -67,9 +64,6 @@ def _drain(spark: SparkSession, source: str, state: str, updates: str) -> None:
             .option("checkpointLocation", state).trigger(availableNow=True).start()
         )
         query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def keyed(docs: DataFrame, digest=sha256) -> DataFrame:
@@ -111,7 +105,11 @@ def groups(spark: SparkSession, docs: DataFrame, *, digest=sha256, state: str |
         (alone == F.coalesce("first", alone)).alias("kept"), "digest", "mark",
     ), f"{here}/rows")
     unequal = written(_unequal(content, mine, several, call), f"{here}/unequal")
-    return done if unequal.isEmpty() else _apart(content, call, done, unequal, here)
+    if not unequal.isEmpty():
+        done = written(_apart(content, call, done, unequal, here), f"{here}/told-apart")
+    if not state:  # nobody will ask again
+        discard(spark, f"{folder}/content", f"{folder}/state", f"{folder}/updates", f"{here}/apart")
+    return done
 
 
 def _latest(spark: SparkSession, updates: str) -> DataFrame | None:

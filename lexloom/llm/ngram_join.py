@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from lexloom.llm import exchange
 from lexloom.llm import textkit as tk
 from lexloom.llm.graph import components
-from lexloom.llm.store import fits, parts_for, sized_join, small_batches, work_dir, written
+from lexloom.llm.store import discard, fits, parts_for, sized_join, small_batches, work_dir, written
 
 U = np.uint64
 SALT = (U(0x2545F4914F6CDD1D), U(0xDA942042E4DD58B5), U(0x8CB92BA72F3D8DD7))
@@ -388,12 +388,13 @@ def _distinct_buckets(entries: DataFrame, folder: str) -> DataFrame:
 
 def _linked(rows: DataFrame, doc: DataFrame, entries: DataFrame, folder: str, words: int, threshold: float, salt: int) -> DataFrame:
     """``member, root`` of every member with a link to another."""
-    left = _distinct_buckets(entries, folder)
+    spark, left = rows.sparkSession, _distinct_buckets(entries, folder)
+    discard(spark, f"{folder}/entries", f"{folder}/about")
     first = written(
         doc.where("n > 0").groupBy("member").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.min("n").alias("n"), F.first("bits", True).alias("bits"), F.first("wide", True).alias("wide"))
         .join(left.select("member").distinct(), "member", "left_semi"), f"{folder}/members",
     )
-    about, texts, root = first.select("member", "n", "bits"), None, None
+    about, root = first.select("member", "n", "bits"), None
     for turn in count():
         here = f"{folder}/round-{turn}"
         active = left.withColumn("root", F.col("member")) if root is None else left.join(root, "member", "left").withColumn("root", F.coalesce("root", "member"))
@@ -415,11 +416,15 @@ def _linked(rows: DataFrame, doc: DataFrame, entries: DataFrame, folder: str, wo
         pairs = written(_possible(pairs, about, threshold), f"{here}/pairs")
         pairs = written(_near(pairs, first, threshold), f"{here}/near")
         if not pairs.isEmpty():
-            if texts is None:
-                texts = written(_texts(rows, first, words, salt), f"{folder}/texts")
-                if texts.count() > first.count():  # repeated rows
-                    texts = written(texts.dropDuplicates(["member"]), f"{folder}/texts-once")
-            root = _merged(written(_verified(pairs, texts, threshold, words), f"{here}/links"), root, here)
+            ends = written(first.join(pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct(), "member", "left_semi").select("member", "at"), f"{here}/ends")
+            texts = written(_texts(rows, ends, words, salt), f"{here}/texts")
+            if texts.count() > ends.count():  # repeated rows
+                texts = written(texts.dropDuplicates(["member"]), f"{here}/texts-once")
+            links = written(_verified(pairs, texts, threshold, words), f"{here}/links")
+            discard(spark, f"{here}/texts", f"{here}/texts-once", f"{here}/pairs")
+            root = _merged(links, root, here)
+        if turn:
+            discard(spark, f"{folder}/round-{turn - 1}/active", f"{folder}/round-{turn - 1}/near")
         # pivots have been compared with all members of their buckets
         left = active.select("bucket", "slot", "slots", "member").join(chosen.select("bucket", F.col("pivot.member").alias("member")), ["bucket", "member"], "left_anti")
     return first.select("member", F.col("member").alias("root")).limit(0) if root is None else root
