@@ -13,12 +13,22 @@ QUERIES, ORACLE = S.queries, S.oracles
 
 
 def extracted(clauses):
-    """Clauses with their duty, its confidence and its structure; one narrow pass without a shuffle."""
+    """Clauses with their duty, its confidence and its structure; one narrow pass without a shuffle.
+
+    What several columns need is a column of its own first: the optimiser
+    doesn't repeat a costly expression, and generated code stays small.
+    Null and short texts state no duty and have null or empty parts.
+    """
     t, h = F.col("text"), F.col("heading")
-    parts = g.structure(t)
-    found = clauses.withColumn("modality", g.duty(t, h)).withColumns({k: v for k, v in parts.items()})
+    kept = clauses.columns
+    read = g.staged(clauses, {"_lead": g.before(t, g.ANY_MODAL), "_strongest": g.modality(t), "_modal": F.lower(F.regexp_extract(t, "(?i)" + g.MODAL, 1)), "_head": g.before(t, g.MODAL)})
+    rest = F.trim(F.substring(t, F.length("_head") + F.length("_modal") + 1, F.length(t)))
+    duty = F.when((F.length(F.trim(t)) >= 40) & ~g.not_a_duty(t, h, F.col("_lead")), F.col("_strongest"))
+    start = F.when(F.col("_strongest").isNotNull(), g.duty_start(t))
+    parts = g.structure(t, F.col("_modal"), F.col("_head"), rest)
+    found = g.staged(read, {"modality": duty, "start_": start} | parts).select(*kept, "modality", "start_", *parts)
     return found.withColumns({
-        "confidence": g.confidence(t, F.col("modality")),
+        "confidence": g.confidence(t, F.col("modality"), F.col("start_")),
         "obligation_type": F.when(F.col("modality").isNotNull(), g.verb(F.col("action"), F.col("modality"))),
         "determination": g.determination(F.col("subject"), F.col("modal"), F.col("action"), F.col("condition"), t),
     })
