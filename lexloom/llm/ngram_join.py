@@ -3,12 +3,17 @@
 Sets are handled in size bands.  If ``J(X, Y) >= t`` then ``|Y| >= t |X|`` and
 the symmetric difference has at most ``H = (1-t)/(1+t) (|X|+|Y|)`` shingles.
 For each band the hash space is cut into ``m`` equal segments, and segment i
-is given ``v_i`` of 0 or 1 deletions so that the sum of ``v_i + 1`` is ``H + 1``:
-by the pigeonhole principle some segment then differs in at most ``v_i``
-shingles.  A set is indexed by what each of its segments holds (a sum of
-hashes, one key) and, where ``v_i`` is 1, also by the segment without each
-single shingle; two linked sets share a key.  The allocation is the one of
-least cost for the band, counting keys and expected accidental partners.
+is given ``v_i`` of 0 or 1 deletions so that the sum of ``v_i + 1`` is
+``H + K + 1``: by the pigeonhole principle the segments that differ in at most
+``v_i`` shingles then weigh at least ``K + 1``.  A set is indexed by what each
+of its segments holds (a sum of hashes, one key) and, where ``v_i`` is 1, also
+by the segment without each single shingle; two linked sets share keys.  A key
+of an empty segment tells nothing and would gather a share of all sets.  The
+spare weight K pays for leaving such keys out: a set whose segments that could
+give one weigh at most K has no need of them, since a linked set's key that
+one of the two lacks is such a segment of both.  A set in which they weigh
+more has them all.  The allocation is the one of least cost for the band,
+counting keys and how often empty ones are needed.
 
 Keys are met in a packed exchange; buckets that hold the same members are
 reduced to one.  Within a bucket not all pairs are formed: members are compared
@@ -66,30 +71,40 @@ def bands(threshold: float, largest: int) -> list[int]:
     return edges
 
 
+#: What a key of an empty segment costs, in other keys.
+EMPTY_COST = 2000.0
+
+
 @lru_cache(4096)
-def allocation(threshold: float, low: int, high: int) -> tuple[int, int]:
-    """Segments with one deletion and segments with none, for smaller sets of ``low..high`` shingles.
+def allocation(threshold: float, low: int, high: int) -> tuple[int, int, int]:
+    """Segments with one deletion, segments with none, and the spare weight, for smaller sets of ``low..high`` shingles.
 
-    ``2 q + r = H + 1``.  A segment without deletion costs a key; one with a
-    deletion saves a segment but costs a key for each shingle in it.  Segments
-    of few shingles have accidental partners, whose number falls with the
-    shingles that must agree.
+    ``2 q + r = H + K + 1``.  A segment without deletion costs a key; one with
+    a deletion saves a segment but costs a key for each shingle in it.  The
+    weight of segments that could give an empty key is taken as a Poisson
+    variable, with the mean that the band's smallest sets have.
     """
     t = _ratio(threshold)
     h = int((1 - t) / (1 + t) * (high + int(high / t)))
-
-    def cost(q: int) -> float:
-        m = h + 1 - q
-        size = (low + high) / 2 / m
-        return (m - q) * (1 + 50 * 0.1**size) + q * (1 + size) * (1 + 50 * 0.1 ** (2 * size - 1))
-
-    q = min(range((h + 1) // 2 + 1), key=cost)
-    return q, h + 1 - 2 * q
+    best = None
+    for k in sorted({int(x) for x in np.geomspace(1, 24 + h // 4, 24)} | {0, 2, 3}):
+        total = h + 1 + k
+        q = np.unique(np.linspace(0, total // 2, 33).astype(np.int64))
+        m = total - q
+        none, one = (1 - 1 / m) ** low, low / m * (1 - 1 / m) ** max(0, low - 1)
+        mean = (m - q) * none + 2 * q * (none + one)
+        i = np.arange(k + 1)
+        within = np.exp(i[:, None] * np.log(np.maximum(mean, 1e-12)) - mean - np.cumsum(np.log(np.maximum(i, 1)))[:, None]).sum(0)
+        cost = (m - q) + q * (1 + (low + high) / 2 / m) + EMPTY_COST * mean * np.maximum(1 - within, 0)
+        at = int(np.argmin(cost))
+        if best is None or cost[at] < best[0]:
+            best = (float(cost[at]), int(q[at]), int(total - 2 * q[at]), k)
+    return best[1:]
 
 
 @lru_cache(65536)
-def cells(n: int, threshold: float) -> list[tuple[int, int, int]]:
-    """Where a set of ``n`` shingles is indexed: ``(band, q, r)`` of its own
+def cells(n: int, threshold: float) -> list[tuple[int, int, int, int]]:
+    """Where a set of ``n`` shingles is indexed: ``(band, q, r, K)`` of its own
     band, and of those below in which a set can be similar to it."""
     edges = bands(threshold, n)
     own = len(edges) - 2
@@ -106,17 +121,21 @@ def set_keys(u: np.ndarray, threshold: float, spread: np.ndarray) -> np.ndarray:
     total = np.zeros(len(u) + 1, U)
     np.cumsum(spread, out=total[1:])
     out = []
-    for band, q, r in cells(len(u), threshold):
+    for band, q, r, k in cells(len(u), threshold):
         m = q + r
         edges = (np.arange(1, m, dtype=np.float64) / m * 2.0**64).astype(U)
         cut = np.concatenate([[0], np.searchsorted(u, edges), [len(u)]])
-        sums = total[cut[1:]] - total[cut[:-1]]
+        sums, size = total[cut[1:]] - total[cut[:-1]], np.diff(cut)
         salt = tk.mix(np.arange(m, dtype=U) + U(band << 32) + SALT[2])
-        out.append(tk.mix(sums ^ salt))
-        if q:  # the first q segments have a deletion
+        # the first q segments have a deletion
+        bare = 2 * int((size[:q] <= 1).sum()) + int((size[q:] == 0).sum()) > k
+        whole = tk.mix(sums ^ salt)
+        out.append(whole if bare else whole[size > 0])
+        if q:
             inside = int(cut[q])
-            segment = np.repeat(np.arange(q), np.diff(cut[: q + 1]))
-            out.append(tk.mix((sums[segment] - spread[:inside]) ^ salt[segment]))
+            segment = np.repeat(np.arange(q), size[:q])
+            less = tk.mix((sums[segment] - spread[:inside]) ^ salt[segment])
+            out.append(less if bare else less[size[segment] > 1])
     return np.concatenate(out)
 
 
