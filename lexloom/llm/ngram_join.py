@@ -356,15 +356,12 @@ def classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, threshold:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _possible(pairs: DataFrame, about: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a, b`` that the sizes and bitmaps of ``about`` allow."""
+def _possible(threshold: float) -> Column:
+    """Whether sizes and bitmaps of a member (``n, bits``) and its pivot (``pivot_n, pivot_bits``) allow a link."""
     top, base = _ratio(threshold).as_integer_ratio()
-    side = lambda m: about.select(F.col("member").alias(m), F.col("n").alias(f"n_{m}"), F.col("bits").alias(f"bits_{m}"))
-    hint = F.broadcast if fits(about, SMALL_BITS) else lambda x: x
-    both = pairs.join(hint(side("a")), "a").join(hint(side("b")), "b")
-    apart = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(WORDS)), F.lit(0))
-    n, m = F.col("n_a"), F.col("n_b")
-    return both.where((n * top <= m * base) & (m * top <= n * base)).where(apart * (base + top) <= (n + m) * (base - top)).select("a", "b")
+    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("pivot_bits")[i])) for i in range(WORDS)), F.lit(0))
+    n, m = F.col("n"), F.col("pivot_n")
+    return (n * top <= m * base) & (m * top <= n * base) & (apart * (base + top) <= (n + m) * (base - top))
 
 
 def _near(pairs: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
@@ -414,6 +411,7 @@ def _linked(rows: DataFrame, doc: DataFrame, entries: DataFrame, folder: str, wo
         .join(left.select("member").distinct(), "member", "left_semi"), f"{folder}/members",
     )
     about, root = first.select("member", "n", "bits"), None
+    hint = F.broadcast if fits(about, SMALL_BITS) else lambda x: x
     for turn in count():
         here = f"{folder}/round-{turn}"
         active = left.withColumn("root", F.col("member")) if root is None else left.join(root, "member", "left").withColumn("root", F.coalesce("root", "member"))
@@ -425,14 +423,13 @@ def _linked(rows: DataFrame, doc: DataFrame, entries: DataFrame, folder: str, wo
         elif active.isEmpty():
             break
         choice = F.pmod(F.xxhash64("member", F.lit(turn)), F.lit(4**turn))
-        chosen = active.groupBy("bucket", choice.alias("_")).agg(F.min(F.struct("member", "root")).alias("pivot"), F.max("slots").alias("slots")).select("bucket", "slots", "pivot")
-        if turn:
-            chosen = written(chosen, f"{here}/chosen")
-        pairs = (
-            active.drop("slots").join(_slots(chosen).drop("slots"), ["bucket", "slot"]).where("root <> pivot.root")
-            .select(F.least("member", "pivot.member").alias("a"), F.greatest("member", "pivot.member").alias("b")).distinct()
-        )
-        pairs = written(_possible(pairs, about, threshold), f"{here}/pairs")
+        chosen = active.groupBy("bucket", choice.alias("_")).agg(F.min(F.struct("member", "root")).alias("pivot"), F.max("slots").alias("slots"))
+        chosen = written(chosen.select("bucket", "slots", F.col("pivot.member").alias("member"), F.col("pivot.root").alias("pivot_root")), f"{here}/chosen")
+        pivots = _slots(chosen.join(hint(about), "member")).select("bucket", "slot", F.col("member").alias("pivot"), "pivot_root", F.col("n").alias("pivot_n"), F.col("bits").alias("pivot_bits"))
+        known = active.drop("slots").join(hint(about), "member")
+        # what the join itself rules out is never a row
+        met = (known["bucket"] == pivots["bucket"]) & (known["slot"] == pivots["slot"]) & (F.col("root") != F.col("pivot_root")) & _possible(threshold)
+        pairs = written(known.join(pivots, met).select(F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b")).distinct(), f"{here}/pairs")
         pairs = written(_near(pairs, first, threshold), f"{here}/near")
         if not pairs.isEmpty():
             ends = written(first.join(pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct(), "member", "left_semi").select("member", "at"), f"{here}/ends")
@@ -445,7 +442,7 @@ def _linked(rows: DataFrame, doc: DataFrame, entries: DataFrame, folder: str, wo
         if turn:
             discard(spark, f"{folder}/round-{turn - 1}/active", f"{folder}/round-{turn - 1}/near")
         # pivots have been compared with all members of their buckets
-        left = active.select("bucket", "slot", "slots", "member").join(chosen.select("bucket", F.col("pivot.member").alias("member")), ["bucket", "member"], "left_anti")
+        left = active.select("bucket", "slot", "slots", "member").join(chosen, ["bucket", "member"], "left_anti")
     return first.select("member", F.col("member").alias("root")).limit(0) if root is None else root
 
 
