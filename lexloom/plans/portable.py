@@ -78,6 +78,21 @@ FIXTURES: dict[str, str] = {
     "new_version": "SELECT concat(cast(o_custkey AS VARCHAR(9)), '/', o_orderpriority) AS ref, max(o_custkey) AS source_id, sum(cast(o_totalprice AS DECIMAL(18,2))) AS body FROM {orders} WHERE o_orderkey % 5 <> 0 GROUP BY o_custkey, o_orderpriority",
     # history of states: a user's events as versions of a record
     "history": "SELECT event_id AS id, user_id AS record_id, ts AS valid_from, event_type AS state, value FROM {events}",
+    # blocks of the documents as their originals have them, and as they were stored: some altered, some lost
+    "original": r"""[[SELECT doc_id, cast(pos AS BIGINT) AS pos, line AS text FROM {documents} LATERAL VIEW posexplode(split(coalesce(text, ''), '\n')) t AS pos, line WHERE trim(line) <> ''||
+        SELECT doc_id, i - 1 AS pos, line AS text FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM {documents}) x WHERE trim(line) <> '']]""",
+    "stored": "SELECT doc_id, pos, CASE WHEN doc_id % 31 = 6 AND pos = 0 THEN concat('x', text) ELSE text END AS text FROM {original} WHERE NOT (doc_id % 29 = 4 AND pos % 5 = 2)",
+    # hashes on record, some of another content, some missing
+    "artifact": "SELECT doc_id, source, text, CASE WHEN doc_id % 97 = 5 THEN sha2_256_of(concat(text, ' ')) WHEN doc_id % 101 <> 7 THEN sha2_256_of(text) END AS recorded FROM {documents}",
+    # changes as they were written down: those of some sources not at all, some with another kind
+    "recorded_change": """
+        SELECT ref, CASE WHEN source_id % 11 = 5 AND kind = 'removed' THEN 'amended' ELSE kind END AS kind FROM (
+            SELECT coalesce(o.ref, n.ref) AS ref, coalesce(o.source_id, n.source_id) AS source_id, CASE WHEN o.ref IS NULL THEN 'added' WHEN n.ref IS NULL THEN 'removed' WHEN o.body <> n.body THEN 'amended' END AS kind
+            FROM {old_version} o FULL OUTER JOIN {new_version} n ON n.ref = o.ref) x WHERE kind IS NOT NULL AND source_id % 9 <> 0""",
+    # nodes of a tree, with missing and repeated refs and labels that their text has again
+    "node": """
+        SELECT source_key, clause_id, CASE WHEN clause_id % 12 = 11 THEN 'note' ELSE 'clause' END AS kind, CASE WHEN clause_id % 12 = 11 THEN 'Reserved' ELSE '' END AS label, text,
+            CASE WHEN clause_id % 23 = 0 THEN NULL WHEN clause_id % 37 = 1 THEN 'sec-1' ELSE ref END AS ref FROM {clause}""",
     # member inputs to a cohort
     "input": "SELECT o_orderkey AS id, o_custkey AS member, o_orderpriority AS cohort, o_totalprice AS value, o_orderdate AS submitted_at FROM {orders}",
 }
@@ -85,8 +100,9 @@ FIXTURES: dict[str, str] = {
 def _choose(sql: str, spark: bool) -> str:
     sql = re.sub(r"\[\[(.*?)\|\|(.*?)\]\]", lambda m: m[1] if spark else m[2], sql, flags=re.S)
     if spark:
-        return re.sub(r"VARCHAR\(\d+\)", "STRING", sql).replace("sha2_256(", "sha256_(").replace("sha256_(p_name)", "sha2(p_name, 256)")
-    return sql.replace("sha2_256(", "sha256(")
+        sql = re.sub(r"VARCHAR\(\d+\)", "STRING", sql).replace("sha2_256(", "sha256_(").replace("sha256_(p_name)", "sha2(p_name, 256)")
+        return re.sub(r"sha2_256_of\((concat\([^()]*\)|\w+)\)", r"sha2(\1, 256)", sql)
+    return sql.replace("sha2_256_of(", "sha256(").replace("sha2_256(", "sha256(")
 
 
 def names_in(sql: str) -> set[str]:
