@@ -19,7 +19,7 @@ import numpy as np
 from lexloom.llm import textkit as tk
 
 #: Bytes of units and ids that a worker remembers before it starts anew.
-REMEMBERED = 64 << 20
+REMEMBERED = 96 << 20
 #: Bytes that are new before they are merged with those that are known.
 RECENT = 5 << 20
 #: White space beyond ASCII: texts that have it may merge it with ASCII white space, so they are encoded whole.
@@ -135,11 +135,18 @@ def gather(ids: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return ids[step + np.arange(total)]
 
 
+#: Bytes with which white space beyond ASCII may start.
+_LEADS = np.isin(np.arange(256), [0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3])
+
+
 def alone(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Texts that can't be cut into units: they have white space beyond ASCII."""
     out = np.zeros(len(off) - 1, bool)
-    for m in _OTHER_BYTES.finditer(buf.tobytes()):
-        out[np.searchsorted(off, m.start(), "right") - 1] = True
+    maybe = np.flatnonzero(_LEADS[buf])
+    if not len(maybe):
+        return out
+    for i in np.unique(np.searchsorted(off, maybe, "right") - 1).tolist():
+        out[i] = _OTHER_BYTES.search(buf[off[i] : off[i + 1]].tobytes()) is not None
     return out
 
 
