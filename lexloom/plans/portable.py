@@ -78,6 +78,26 @@ FIXTURES: dict[str, str] = {
     "new_version": "SELECT concat(cast(o_custkey AS VARCHAR(9)), '/', o_orderpriority) AS ref, max(o_custkey) AS source_id, sum(cast(o_totalprice AS DECIMAL(18,2))) AS body FROM {orders} WHERE o_orderkey % 5 <> 0 GROUP BY o_custkey, o_orderpriority",
     # history of states: a user's events as versions of a record
     "history": "SELECT event_id AS id, user_id AS record_id, ts AS valid_from, event_type AS state, value FROM {events}",
+    # a regulation for each customer who orders: an article for each order, of three shapes
+    "article": """
+        SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_orderkey AS k, o_orderkey % 3 AS shape, o_orderpriority AS priority FROM {orders}""",
+    "web_page": """
+        SELECT doc, concat('<!DOCTYPE html><html><head><title>x</title><script>var a = "<p>";</script></head><body><nav><ul><li>Menu</li></ul></nav><article>An advertisement</article><main><h1>Orders of customer ', cast(doc AS VARCHAR(19)), '</h1>',
+            [[array_join(transform(array_sort(collect_list(struct(i, body))), x -> x.body), '')||string_agg(body, '' ORDER BY i)]], '</main><footer>Contact</footer></body></html>') AS html
+        FROM (SELECT doc, i, CASE shape
+            WHEN 0 THEN concat('<h2>Order  ', cast(k AS VARCHAR(19)), '</h2><p>Article ', cast(i AS VARCHAR(9)), '. The depot shall keep &amp; file <b>order</b> ', cast(k AS VARCHAR(19)), '.</p><ul><li>name the carrier</li><li>state the priority ', priority, '</ul>')
+            WHEN 1 THEN concat('<div>Article ', cast(i AS VARCHAR(9)), '. The carrier must not open order ', cast(k AS VARCHAR(19)), '.</div>')
+            ELSE concat('<h3>Order ', cast(k AS VARCHAR(19)), '</h3><p>Article ', cast(i AS VARCHAR(9)), '. Weigh it.</p><p>Article ', cast(i AS VARCHAR(9)), '. Cited again.</p>') END AS body FROM {article}) x
+        GROUP BY doc""",
+    "regulation": """
+        SELECT doc, concat('CHAPTER I', [[chr(10)||chr(10)]], 'Orders of customer ', cast(doc AS VARCHAR(19)), [[chr(10)||chr(10)]],
+            [[array_join(transform(array_sort(collect_list(struct(i, body))), x -> x.body), chr(10))||string_agg(body, chr(10) ORDER BY i)]]) AS text
+        FROM (SELECT doc, i, CASE shape
+            WHEN 0 THEN concat('Article ', cast(i AS VARCHAR(9)), chr(10), 'Order ', cast(k AS VARCHAR(19)), chr(10), '1. The depot shall keep a register of order ', cast(k AS VARCHAR(19)), '.', chr(10), '2. The register shall:', chr(10),
+                '(a) name the carrier of order ', cast(k AS VARCHAR(19)), ';', chr(10), '(b) state the priority ', priority, '.')
+            WHEN 1 THEN concat('Article ', cast(i AS VARCHAR(9)), chr(10), 'The carrier must not open order ', cast(k AS VARCHAR(19)), ' without consent.')
+            ELSE concat('Article ', cast(i AS VARCHAR(9)), chr(10), 'Order ', cast(k AS VARCHAR(19)), chr(10), '1. Order ', cast(k AS VARCHAR(19)), ' must be weighed.', chr(10), '1. It must be sealed.') END AS body FROM {article}) x
+        GROUP BY doc""",
     # blocks of the documents as their originals have them, and as they were stored: some altered, some lost
     "original": r"""[[SELECT doc_id, cast(pos AS BIGINT) AS pos, line AS text FROM {documents} LATERAL VIEW posexplode(split(coalesce(text, ''), '\n')) t AS pos, line WHERE trim(line) <> ''||
         SELECT doc_id, i - 1 AS pos, line AS text FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM {documents}) x WHERE trim(line) <> '']]""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -22,11 +23,19 @@ MAX_BYTES = 25 * 1024 * 1024
 
 
 class _Blocks(HTMLParser):
-    """Text blocks in order, with the tag that holds them; lenient with unclosed tags."""
+    """Text blocks in order, with the tag that holds them; lenient with unclosed tags.
 
-    def __init__(self):
+    With ``inside``, only the first element of that name counts.
+    """
+
+    def __init__(self, inside: str | None = None):
         super().__init__(convert_charrefs=True)
         self.skip, self.tag, self.words, self.found = 0, "", [], []
+        self.inside, self.depth, self.over = inside, 0, False
+
+    @property
+    def off(self) -> bool:
+        return bool(self.skip) or (self.inside is not None and (self.over or not self.depth))
 
     def flush(self):
         text = " ".join("".join(self.words).split())
@@ -35,6 +44,9 @@ class _Blocks(HTMLParser):
         self.words = []
 
     def handle_starttag(self, tag, attrs):
+        if tag == self.inside and not self.over:
+            self.words = self.words if self.depth else []
+            self.depth += 1
         if tag in SKIPPED:
             self.flush()
             self.skip += 1
@@ -49,14 +61,19 @@ class _Blocks(HTMLParser):
         elif tag in BLOCKS or tag in ("div", "section", "main", "article"):
             self.flush()
             self.tag = ""
+        if tag == self.inside and self.depth and not self.over:
+            self.depth -= 1
+            self.over = not self.depth
 
     def handle_data(self, data):
-        if not self.skip:
+        if not self.off:
             self.words.append(data)
 
 
-def blocks_of(html: str) -> list[tuple[str, str]]:
-    p = _Blocks()
+def blocks_of(html: str | None) -> list[tuple[str, str]]:
+    """Tag and text of each block: of the first ``main``, else of the first ``article``, else of the page."""
+    low = (html or "").lower()
+    p = _Blocks(next((tag for tag in ("main", "article") if f"<{tag}" in low), None))
     p.feed(html or "")
     p.close()
     p.flush()
@@ -83,6 +100,50 @@ def heading_tree(blocks: DataFrame, key: str) -> DataFrame:
     return blocks.withColumn("heading", F.last(F.when(F.col("tag").rlike("^h[1-6]$"), F.col("text")), ignorenulls=True).over(w))
 
 
+def outline(blocks: list[tuple[str, str]], provision: re.Pattern | None = None) -> list[tuple]:
+    """``pos, parent, kind, ref, label, text`` of a page's nodes, in order.
+
+    Headings nest by their level and are groups of provisions, or sections
+    where nothing is numbered.  A block that ``provision`` (with a group
+    ``ref``) matches opens a provision; if its ref is taken it stays a
+    paragraph.  Other blocks belong to the open provision, else to the last
+    heading.  A page with neither is one section, at position -1.
+    """
+    numbered = [provision.match(text) if provision else None for _, text in blocks]
+    heads: list[tuple[int, int]] = []
+    taken, out, opened = set(), [], None
+    for pos, ((tag, text), match) in enumerate(zip(blocks, numbered, strict=True)):
+        level = int(tag[1]) if re.fullmatch("h[1-6]", tag) else 0
+        if level and not match:
+            heads = [h for h in heads if h[0] < level]
+            out.append((pos, heads[-1][1] if heads else None, "group" if any(numbered) else "section", f"html/{pos}", None, text))
+            heads.append((level, pos))
+            opened = None
+        elif match and (ref := " ".join(match["ref"].split())) not in taken:
+            taken.add(ref)
+            out.append((pos, heads[-1][1] if heads else None, "provision", ref, text[: match.end()].strip(), text[match.end():].strip()))
+            opened = pos
+        else:
+            above = opened if opened is not None else heads[-1][1] if heads else None
+            out.append((pos, above, "paragraph", None, None, text))
+    if out and not any(numbered) and not any(n[2] == "section" for n in out):
+        out = [(-1, None, "section", "document", None, ""), *((pos, -1, *rest) for pos, _, *rest in out)]
+    return out
+
+
+def html_tree(pages: DataFrame, key: str, html: str, provision: str | None = None) -> DataFrame:
+    """``key, pos, parent, kind, ref, label, text``: see :func:`outline`; a page without text has no node."""
+    kind, pattern = pages.schema[key].dataType.simpleString(), re.compile(provision) if provision else None
+    names = [key, "pos", "parent", "kind", "ref", "label", "text"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(k, *node) for k, h in zip(f[key], f[html], strict=True) for node in outline(blocks_of(h), pattern)]
+            yield pd.DataFrame(rows, columns=names).astype({"parent": "Int64"})
+
+    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, pos long, parent long, kind string, ref string, label string, text string")
+
+
 def kind_of(content: Column, name: Column) -> Column:
     """pdf by its magic, html by name or doctype, else text."""
     head = F.lower(F.substring(F.ltrim(content), 1, 200))
@@ -90,11 +151,12 @@ def kind_of(content: Column, name: Column) -> Column:
 
 
 def local_files(spark: SparkSession, path: str, root: str) -> DataFrame:
-    """Files below ``root`` only, each of at most 25 MB."""
+    """Files below ``root`` only; one of more than 25 MB fails the job that reads it."""
     real, base = os.path.realpath(path), os.path.realpath(root)
     if real != base and not real.startswith(base + os.sep):
         raise ValueError(f"{path} is outside {root}")
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(real).where(F.col("length") <= MAX_BYTES)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(real).where(
+        F.when(F.col("length") > MAX_BYTES, F.raise_error(F.concat(F.col("path"), F.lit(f" has more than {MAX_BYTES} bytes")))).otherwise(True))
 
 
 def store_artifacts(df: DataFrame, body: str, path: str) -> None:
@@ -115,9 +177,16 @@ def _a03(spark, sf_dir):
     return html_blocks(relation(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@S.checked("a04_html_heading_tree")
+@S.checked("a04_html_heading_tree", """
+    WITH a AS (SELECT *, 1 + coalesce(sum(CASE shape WHEN 0 THEN 4 WHEN 1 THEN 1 ELSE 3 END) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM {article}),
+    h AS (SELECT *, coalesce(max(CASE WHEN shape = 0 THEN base END) OVER w, 0) AS h2, coalesce(max(CASE WHEN shape <> 1 THEN base END) OVER w, 0) AS head FROM a WINDOW w AS (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT DISTINCT doc, 0::BIGINT AS pos, NULL::BIGINT AS parent, 'group' AS kind, 'html/0' AS ref, NULL AS label, concat('Orders of customer ', doc) AS text FROM a
+    UNION ALL SELECT doc, base, CASE shape WHEN 0 THEN 0 ELSE h2 END, 'group', concat('html/', base), NULL, concat('Order ', k) FROM h WHERE shape <> 1
+    UNION ALL SELECT doc, base + CASE shape WHEN 1 THEN 0 ELSE 1 END, head, 'provision', i::VARCHAR, concat('Article ', i, '.'), CASE shape WHEN 0 THEN concat('The depot shall keep & file order ', k, '.') WHEN 1 THEN concat('The carrier must not open order ', k, '.') ELSE 'Weigh it.' END FROM h
+    UNION ALL SELECT doc, base + 2, base + 1, 'paragraph', NULL, NULL, CASE shape WHEN 0 THEN 'name the carrier' ELSE concat('Article ', i, '. Cited again.') END FROM h WHERE shape <> 1
+    UNION ALL SELECT doc, base + 3, base + 1, 'paragraph', NULL, NULL, concat('state the priority ', priority) FROM h WHERE shape = 0""")
 def _a04(spark, sf_dir):
-    return heading_tree(html_blocks(relation(spark, sf_dir, "pages"), "page_id", "html"), "page_id")
+    return html_tree(relation(spark, sf_dir, "web_page"), "doc", "html", r"Article (?P<ref>[0-9]+)\.\s")
 
 
 @S.checked("a02_sniff_kind", "SELECT page_id, CASE WHEN lower(html) LIKE '<!doctype html%' OR lower(html) LIKE '<html%' THEN 'html' ELSE 'text' END AS kind FROM {pages}")
@@ -143,9 +212,7 @@ def _a13(spark, sf_dir):
 def _a15(spark, sf_dir):
     """Nodes of a JSON document by pointer; the document stays a VARIANT until it is asked."""
     v = relation(spark, sf_dir, "events").select("event_id", F.parse_json("props").alias("v"))
-    v.createOrReplaceTempView("lexloom_json")
-    flat = spark.sql("SELECT event_id, concat('/', key) AS pointer, cast(value AS STRING) AS value FROM lexloom_json, LATERAL variant_explode(v)")
-    return flat
+    return spark.sql("SELECT event_id, concat('/', key) AS pointer, cast(value AS STRING) AS value FROM {nodes}, LATERAL variant_explode(v)", nodes=v)
 
 
 @S.checked("a16_xml_nodes", "SELECT r_regionkey::BIGINT AS id, r_name AS name, '2' AS items FROM {region}")
