@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,16 +170,19 @@ GRID_C = [0.0, 0.5, 1.0, 1.5, 2.0]
 def calibrate(rows: DataFrame, held_out: str) -> DataFrame:
     """The grid point of least Brier score on all periods but one, and its score on that one.
 
-    The grid has 360 points, a fixed number, and is broadcast; each point's
-    score is one combined aggregate.
+    Rows that agree in everything that a score looks at are counted first, so
+    the grid of 360 points (a fixed number, broadcast) meets their kinds and
+    not the rows; each point's score is one combined aggregate.  No row gives
+    null scores.
     """
     spark = rows.sparkSession
     lists = [spark.createDataFrame([(x,) for x in g], f"{n} double") for n, g in (("a", GRID_A), ("b", GRID_B), ("c", GRID_C))]
     grid = lists[0].crossJoin(lists[1]).crossJoin(lists[2])
     p = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("history") + F.col("c") * F.col("attention"))))
-    scored = rows.crossJoin(F.broadcast(grid)).groupBy("a", "b", "c").agg(
-        F.round(F.avg(F.when(F.col("period") != held_out, F.pow(p - F.col("y"), 2))), 9).alias("train"), F.round(F.avg(F.when(F.col("period") == held_out, F.pow(p - F.col("y"), 2))), 9).alias("held_out"),
-    )
+    kinds = rows.groupBy("history", "attention", "y", (F.col("period") == held_out).alias("late")).agg(F.count("*").alias("n"))
+    lost = F.pow(p - F.col("y"), 2) * F.col("n")
+    mean = lambda late: F.round(F.sum(F.when(F.col("late") == late, lost)) / F.sum(F.when(F.col("late") == late, F.col("n"))), 9)
+    scored = kinds.crossJoin(F.broadcast(grid)).groupBy("a", "b", "c").agg(mean(False).alias("train"), mean(True).alias("held_out"))
     return scored.orderBy("train", "b", "c", "a").limit(1)
 
 
@@ -327,12 +332,24 @@ def _k04(spark, sf_dir):
     return latest_per_member(relation(spark, sf_dir, "input")).groupBy("cohort", b.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def noised(histogram: DataFrame, keys: list[str], secret: str, epsilon: float = 1.0) -> DataFrame:
+    """``noised``: counts ``n`` with Laplace noise of scale 1 / epsilon, not below zero.
+
+    The noise is a function of the secret and the keys: the same release is
+    published again as it was, whatever the partitions, and who lacks the
+    secret can't take the noise away.  Null keys are keys like others.
+    """
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys]
+    bits = F.conv(F.substring(F.sha2(F.concat_ws("\1", F.lit(secret), *parts), 256), 1, 13), 16, 10).cast("double")
+    u = (bits + 0.5) / 2**52 - 0.5
+    return histogram.withColumn("noised", F.greatest(F.lit(0.0), F.col("n") - F.signum(u) * F.log(1 - 2 * F.abs(u)) / epsilon))
+
+
 @S.checked("k03_laplace_noise")
 def _k03(spark, sf_dir):
-    """Histogram with Laplace noise of a fixed seed: scale 1 / epsilon, counts not below zero."""
-    u = F.rand(7) - 0.5
-    noise = -F.signum(u) * F.log(1 - 2 * F.abs(u))
-    return _k04(spark, sf_dir).withColumn("noised", F.greatest(F.lit(0.0), F.col("n") + noise))
+    """The histogram with noise keyed by the session's ``spark.lexloom.noise.secret``, or by a new secret."""
+    secret = spark.conf.get("spark.lexloom.noise.secret", None) or uuid.uuid4().hex
+    return noised(_k04(spark, sf_dir), ["cohort", "bucket"], secret)
 
 
 @S.checked("k05_publish_k_anonymous", f"WITH {_LATEST} SELECT cohort, count(DISTINCT member) AS members, round(avg(value), 4) AS mean FROM (SELECT concat(cohort, '/', cast(member % 300 AS VARCHAR)) AS cohort, member, value FROM latest) x GROUP BY cohort HAVING count(DISTINCT member) >= 5")

@@ -144,3 +144,15 @@ def test_rates_and_numbers(spark):
     edges = frame(spark, "obligation_id int, block_id int", (1, 1), (1, 2), (2, 2))
     assert one(evals.reuse(edges)) == {"reuse": 1.5, "explosion": False}
     assert one(evals.reuse(edges, most=0.5))["explosion"]
+
+
+def test_noise_is_keyed(spark):
+    from lexloom.operators.risk import noised
+
+    counts = frame(spark, "c string, b int, n long", *[(f"c{i % 7}", i, 100) for i in range(400)], (None, 1, 100))
+    first = {(r["c"], r["b"]): r["noised"] for r in rows(noised(counts, ["c", "b"], "s", 0.5))}
+    again = {(r["c"], r["b"]): r["noised"] for r in rows(noised(counts.repartition(5), ["c", "b"], "s", 0.5))}
+    other = {(r["c"], r["b"]): r["noised"] for r in rows(noised(counts, ["c", "b"], "t", 0.5))}
+    assert first == again and sum(first[k] == other[k] for k in first) == 0
+    apart = [abs(x - 100) for x in first.values()]
+    assert 1.6 < sum(apart) / len(apart) < 2.4  # the mean of |Laplace| is its scale
