@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.operators import applicability, compose, duties, gates, ledgers, retrieval, risk, similarity, versions
 from lexloom.plans import segment
-from lexloom.sources import readers
+from lexloom.sources import documents, readers
 from lexloom.streaming import flows
 
-MODULES = (readers, segment, versions, duties, similarity, applicability, compose, risk, retrieval, gates, ledgers, flows)
+MODULES = (readers, documents, segment, versions, duties, similarity, applicability, compose, risk, retrieval, gates, ledgers, flows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

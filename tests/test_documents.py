@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.plans import segment
-from lexloom.sources import readers
+from lexloom.sources import documents, readers
 
 ACT = """The following rules hold for depots.
 CHAPTER I
@@ -134,3 +134,29 @@ def test_large_files_fail(spark, tmp_path, monkeypatch):
         readers.local_files(spark, str(tmp_path), str(tmp_path)).collect()
     with pytest.raises(ValueError, match="outside"):
         readers.local_files(spark, str(tmp_path), str(tmp_path / "below"))
+
+
+@pytest.mark.parametrize(("content", "name", "want"), [
+    (b"plain", "", ("text", "plain", None)), (b"\xef\xbb\xbfmarked", "", ("text", "marked", None)), ("caf\xe9".encode("cp1252"), "", ("text", "café", None)),
+    (b" <!DOCTYPE html><p>x", "", ("html", " <!DOCTYPE html><p>x", None)), (b"<p>x", "A.HTML", ("html", "<p>x", None)), (b"%PDF-1.4", "x.txt", ("pdf", None, "no reader for PDF is installed")),
+    (b"a\x00b", "", ("text", None, "binary, not text")), (None, "", ("text", None, "no text")), (b" \n", "", ("text", None, "no text")),
+])
+def test_rendering(content, name, want):
+    assert documents.render(content, name) == want
+
+
+def test_import_and_import_again(spark):
+    files = lambda *rows: spark.createDataFrame(list(rows), "path string, content binary, name string")
+    first = documents.rendered(files(("a", ACT.encode(), "a"), ("b", PAGE.encode(), "b.html"), ("c", b"\x00", "c")), "path", "content", "name")
+    none = spark.createDataFrame([], "path string, text_hash string")
+    assert {r.path: r.state for r in documents.imported(first, none, "path").collect()} == {"a": "added", "b": "added", "c": "failed"}
+    stored = first.where("error is null").select("path", F.sha2("text", 256).alias("text_hash"))
+    again = documents.rendered(files(("a", ACT.encode(), "a"), ("b", PAGE.replace("loose", "other").encode(), "b.html")), "path", "content", "name")
+    assert {r.path: r.state for r in documents.imported(again, stored, "path").collect()} == {"a": "unchanged", "b": "amended"}
+    nodes: dict = {}
+    for r in documents.clauses(first, "path").orderBy("path", "seq").collect():
+        nodes.setdefault(r.path, []).append((r.kind, r.ref))
+    assert [ref for _, ref in nodes["a"]] == REFS and len(nodes["b"]) == 7 and set(nodes) == {"a", "b"}
+    assert documents.clauses(first.limit(0), "path").count() == 0
+    with pytest.raises(KeyError, match="no reader for 'pdf'"):
+        documents.reader("pdf")
