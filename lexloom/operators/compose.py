@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.operators import blueprint
 from lexloom.plans.portable import Suite, joined, relation
 
 S = Suite()
@@ -105,30 +106,120 @@ def _p12(spark, sf_dir):
     return candidates.select("profile_id").distinct().join(judged, "profile_id", "left").select("profile_id", F.coalesce("redundant", F.lit(0)).alias("redundant"))
 
 
-S.portable("p04_coverage", f"WITH {_CAND} SELECT d.profile_id, d.obligation_id, CASE WHEN count(c.block_id) > 0 THEN 'covered' ELSE 'gap' END AS state, count(DISTINCT c.block_id) AS candidates, count(DISTINCT h.block_id) AS required FROM duty d LEFT JOIN cand c ON c.profile_id = d.profile_id AND c.obligation_id = d.obligation_id LEFT JOIN hard h ON h.profile_id = d.profile_id AND h.obligation_id = d.obligation_id GROUP BY d.profile_id, d.obligation_id")
-S.portable("p05_load_bearing", f"WITH {_CAND} SELECT DISTINCT profile_id, block_id FROM (SELECT profile_id, block_id, count(*) OVER (PARTITION BY profile_id, obligation_id) AS n FROM cand) x WHERE n = 1 UNION SELECT profile_id, block_id FROM hard")
-S.portable("p06_minimality_proof", f"WITH {_CAND}, n AS (SELECT *, count(*) OVER (PARTITION BY profile_id, obligation_id) AS n FROM cand) SELECT profile_id, block_id, count(CASE WHEN n = 1 THEN 1 END) AS gaps_if_removed, count(CASE WHEN n > 1 THEN 1 END) AS still_covered FROM n GROUP BY profile_id, block_id")
+def _list(column: str):
+    return F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
+
+
+_AT = "array_to_string(list_sort(list(DISTINCT {0})), ',')"
+
+
+@S.checked("p04_coverage", f"""SELECT d.profile_id, d.obligation_id, CASE WHEN count(p.block_id) > 0 THEN 'covered' ELSE 'gap' END AS state, coalesce({_AT.format('p.block_id')}, '') AS satisfied_by, coalesce({_AT.format('h.l_suppkey')}, '') AS required_blocks
+    FROM {{duty}} d LEFT JOIN {{requires}} r ON r.obligation_id = d.obligation_id LEFT JOIN {{pick}} p ON p.profile_id = d.profile_id AND p.block_id = r.block_id LEFT JOIN (SELECT l_partkey, l_suppkey FROM {{lineitem}} WHERE l_quantity >= 50) h ON h.l_partkey = d.obligation_id GROUP BY d.profile_id, d.obligation_id""")
+def _p04(spark, sf_dir):
+    found = blueprint.coverage_rows(*(relation(spark, sf_dir, n) for n in ("duty", "candidate", "needed", "pick")))
+    return found.select("profile_id", "obligation_id", "state", _list("satisfied_by").alias("satisfied_by"), _list("required_blocks").alias("required_blocks"))
+
+
+_PROOF = """
+    m AS (SELECT c.profile_id, c.obligation_id, c.block_id, count(*) OVER (PARTITION BY c.profile_id, c.obligation_id) AS n FROM {candidate} c WHERE EXISTS (SELECT 1 FROM {pick} p WHERE p.profile_id = c.profile_id AND p.block_id = c.block_id)),
+    g AS (SELECT p.profile_id, p.block_id, p.basis, coalesce(sum((m.n = 1)::INTEGER), 0)::BIGINT AS gaps, coalesce(sum((m.n > 1)::INTEGER), 0)::BIGINT AS still FROM {pick} p LEFT JOIN m ON m.profile_id = p.profile_id AND m.block_id = p.block_id GROUP BY p.profile_id, p.block_id, p.basis)"""
+
+
+def _proofs(spark, sf_dir):
+    return blueprint.proofs(relation(spark, sf_dir, "pick"), relation(spark, sf_dir, "candidate"))
+
+
+@S.checked("p05_load_bearing", f"WITH {_PROOF} SELECT profile_id, block_id FROM g WHERE basis = 'required' OR gaps > 0")
+def _p05(spark, sf_dir):
+    return _proofs(spark, sf_dir).where("load_bearing").select("profile_id", "block_id")
+
+
+@S.checked("p06_minimality_proof", f"WITH {_PROOF} SELECT profile_id, block_id, gaps AS gaps_if_removed, still AS still_covered, basis = 'selected' AND gaps = 0 AS redundant FROM g")
+def _p06(spark, sf_dir):
+    return _proofs(spark, sf_dir).select("profile_id", "block_id", "gaps_if_removed", "still_covered", "redundant")
+
+
+@S.checked("p13_blueprint_check", """
+    SELECT profile_id, 'item without duty' AS problem, block_id AS ref FROM {other} p WHERE NOT EXISTS (SELECT 1 FROM {candidate} c WHERE c.profile_id = p.profile_id AND c.block_id = p.block_id)
+    UNION ALL SELECT profile_id, 'duty without item', obligation_id FROM {duty} d WHERE NOT EXISTS (SELECT 1 FROM {requires} r JOIN {other} p ON p.block_id = r.block_id WHERE r.obligation_id = d.obligation_id AND p.profile_id = d.profile_id)
+    UNION ALL SELECT DISTINCT n.profile_id, 'required not picked', n.block_id FROM {needed} n WHERE n.block_id % 10 = 3
+    UNION ALL SELECT profile_id, 'duty not live', obligation_id FROM {duty} WHERE obligation_id % 11 = 0""".replace("{other}", "(SELECT profile_id, block_id FROM {pick} WHERE block_id % 10 <> 3 UNION SELECT profile_id, -1 FROM {profile} WHERE profile_id % 40 = 0)"))
+def _p13(spark, sf_dir):
+    """A composition that has lost some items and has some that nobody asked for."""
+    extra = relation(spark, sf_dir, "profile").where("profile_id % 40 = 0").select("profile_id", F.lit(-1).cast("bigint").alias("block_id"))
+    picks = relation(spark, sf_dir, "pick").where("block_id % 10 <> 3").select("profile_id", "block_id").union(extra)
+    live = relation(spark, sf_dir, "obligation").where("status <> 'stale'")
+    return blueprint.problems(picks, relation(spark, sf_dir, "duty"), relation(spark, sf_dir, "candidate"), relation(spark, sf_dir, "needed"), live)
+
+
+@S.checked("p08_store_supersede", """
+    WITH k AS (SELECT o_custkey AS fingerprint, o_orderkey AS blueprint, o_orderpriority AS h, o_orderdate AS made, row_number() OVER w AS i FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+    n AS (SELECT a.* FROM k a LEFT JOIN k b ON b.fingerprint = a.fingerprint AND b.i = a.i - 1 WHERE b.h IS NULL OR b.h <> a.h),
+    r AS (SELECT *, (SELECT count(*) FROM n b WHERE b.fingerprint = n.fingerprint AND b.i <= n.i) AS version, (SELECT min(b.i) FROM n b WHERE b.fingerprint = n.fingerprint AND b.i > n.i) AS j FROM n)
+    SELECT r.fingerprint, r.version, r.blueprint, k.blueprint AS superseded_by FROM r LEFT JOIN k ON k.fingerprint = r.fingerprint AND k.i = r.j""")
+def _p08(spark, sf_dir):
+    made = relation(spark, sf_dir, "orders").select(F.col("o_custkey").alias("fingerprint"), F.col("o_orderkey").alias("blueprint"), F.col("o_orderpriority").alias("composition_hash"), F.col("o_orderdate").alias("made"))
+    return blueprint.stored(made).select("fingerprint", F.col("version").cast("bigint").alias("version"), "blueprint", "superseded_by")
+
+
+@S.checked("p18_explain_item", """
+    WITH d AS (SELECT l_suppkey AS block_id, l_partkey AS o, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {lineitem}) x),
+    t AS (SELECT block_id, max(n) AS n, string_agg(concat('OBL-', lpad(o::VARCHAR, 6, '0')), ', ' ORDER BY i) FILTER (WHERE i <= 3) AS names FROM d GROUP BY block_id)
+    SELECT s_suppkey AS block_id, coalesce(concat('Covers ', n, CASE WHEN n = 1 THEN ' duty: ' ELSE ' duties: ' END, names, CASE WHEN n > 3 THEN concat(' and ', n - 3, ' more') ELSE '' END, '.'), 'Covers no duty.') AS text FROM {supplier} LEFT JOIN t ON t.block_id = s_suppkey
+    """.replace("coalesce(concat(", "CASE WHEN n IS NULL THEN 'Covers no duty.' ELSE concat(").replace(", '.'), 'Covers no duty.') AS text", ", '.') END AS text"))
+def _p18(spark, sf_dir):
+    return blueprint.explained(relation(spark, sf_dir, "block"), _named_duties(spark, sf_dir))
+
+
+def _named_duties(spark, sf_dir):
+    return relation(spark, sf_dir, "requires").join(relation(spark, sf_dir, "obligation").select("obligation_id", "stable_id"), "obligation_id").select("block_id", "stable_id")
+
+
+@S.checked("p21_citations_ok", """
+    WITH d AS (SELECT l_suppkey AS block_id, l_partkey AS o, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS i FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {lineitem}) x), c AS (SELECT block_id, count(*) AS cited, count(*) FILTER (WHERE o % 40 = 0) AS foreign_ FROM d WHERE i <= 3 GROUP BY block_id)
+    SELECT s_suppkey AS block_id, coalesce(cited, 0) AS cited, coalesce(foreign_, 0) AS foreign_, coalesce(cited > 0 AND foreign_ = 0, false) AS ok FROM {supplier} LEFT JOIN c ON c.block_id = s_suppkey""")
+def _p21(spark, sf_dir):
+    """Explanations against blueprints that one duty in forty has left."""
+    known = _named_duties(spark, sf_dir).where("cast(substring(stable_id, 5, 9) as int) % 40 <> 0")
+    return blueprint.citations_ok(_p18(spark, sf_dir), "block_id", "text", known, "stable_id").withColumnRenamed("foreign", "foreign_")
+
+
+@S.checked("p23_performance_overlay", """
+    WITH r AS (SELECT o_custkey, o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM {orders}),
+    i AS (SELECT c_custkey AS profile_id, p.o_orderpriority AS item FROM {customer} CROSS JOIN (SELECT DISTINCT o_orderpriority FROM {orders}) p),
+    c AS (SELECT profile_id, count(*) FILTER (WHERE coalesce(o_orderstatus, '') <> 'P') AS required, count(o_orderstatus) AS observed, count(*) FILTER (WHERE o_orderstatus = 'F') AS passed FROM i LEFT JOIN r ON r.o_custkey = profile_id AND r.o_orderpriority = item AND r.n = 1 GROUP BY profile_id)
+    SELECT profile_id, required, observed, passed, CASE WHEN required > 0 THEN passed / required END AS score FROM c""")
+def _p23(spark, sf_dir):
+    """Priorities are a profile's items and its orders the observations of them."""
+    o = relation(spark, sf_dir, "orders")
+    outcome = F.when(F.col("o_orderstatus") == "F", "passed").when(F.col("o_orderstatus") == "P", "not_applicable").otherwise("failed")
+    seen = o.select(F.col("o_custkey").alias("profile_id"), F.col("o_orderpriority").alias("item"), outcome.alias("outcome"), F.col("o_orderdate").alias("observed_at"), F.col("o_orderkey").alias("id"))
+    items = relation(spark, sf_dir, "profile").select("profile_id").crossJoin(F.broadcast(o.select(F.col("o_orderpriority").alias("item")).distinct()))
+    return blueprint.performance(items, seen)
+
+
 S.portable("p07_open_questions", "SELECT a.profile_id, e.basis, e.key1 AS question, count(DISTINCT e.obligation_id) AS duties FROM (SELECT DISTINCT profile_id FROM {answer}) a CROSS JOIN {edge} e LEFT JOIN {answer} s ON s.profile_id = a.profile_id AND s.basis = e.basis AND s.akey = e.key1 WHERE e.basis = 'condition' AND s.akey IS NULL GROUP BY a.profile_id, e.basis, e.key1")
 S.portable("p03_store_composition", f"WITH {_CAND} SELECT profile_id, count(DISTINCT block_id) AS blocks, [[sha2(||sha256(]]{joined('cast(block_id AS VARCHAR(9))')}[[, 256)||)]] AS composition_hash FROM cand GROUP BY profile_id")
-S.portable("p08_store_supersede", "SELECT o_custkey AS fingerprint, o_orderkey AS blueprint, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS superseded_by FROM {orders}")
 S.portable("p09_fingerprint", f"SELECT profile_id, [[sha2(||sha256(]]{joined('concat(basis, akey)')}[[, 256)||)]] AS fingerprint FROM {{answer}} GROUP BY profile_id")
 S.portable("p10_composition_hash", f"SELECT l_orderkey AS blueprint, [[sha2(||sha256(]]{joined('cast(l_suppkey AS VARCHAR(9))')}[[, 256)||)]] AS composition_hash FROM {{lineitem}} GROUP BY l_orderkey")
 S.portable("p11_blueprint_history", "SELECT o_custkey, o_orderkey, cast(o_orderdate AS DATE) AS made FROM {orders} WHERE o_custkey IN (3, 5, 7) ORDER BY made, o_orderkey")
-S.portable("p13_blueprint_check", """
-    SELECT 'item without duty' AS problem, b.block_id AS ref FROM {block} b LEFT JOIN {requires} r ON r.block_id = b.block_id WHERE r.block_id IS NULL
-    UNION ALL SELECT 'duty without item', o.obligation_id FROM {obligation} o LEFT JOIN {requires} r ON r.obligation_id = o.obligation_id WHERE r.block_id IS NULL
-    UNION ALL SELECT 'required not picked', h.obligation_id FROM {hard_requires} h LEFT JOIN {requires} r ON r.obligation_id = h.obligation_id AND r.block_id = h.block_id WHERE r.block_id IS NULL
-    UNION ALL SELECT 'stale duty', obligation_id FROM {obligation} WHERE status = 'stale'""")
 _TWO = """
     before AS (SELECT l_suppkey AS block_id, count(DISTINCT l_partkey) AS duties, max(l_quantity) >= 50 AS hard FROM {lineitem} WHERE l_shipdate < TIMESTAMP '1997-01-01 00:00:00' AND l_suppkey % 4 <> 0 GROUP BY l_suppkey),
     after_ AS (SELECT l_suppkey AS block_id, count(DISTINCT l_partkey) AS duties, max(l_quantity) >= 50 AS hard FROM {lineitem} WHERE l_shipdate < TIMESTAMP '1999-01-01 00:00:00' AND l_suppkey % 5 <> 0 GROUP BY l_suppkey)"""
-S.portable("p14_diff_compositions", f"WITH {_TWO} SELECT coalesce(b.block_id, a.block_id) AS block_id, CASE WHEN b.block_id IS NULL THEN 'added' WHEN a.block_id IS NULL THEN 'removed' ELSE 'changed' END AS change, b.duties AS duties_before, a.duties AS duties_after FROM before b FULL OUTER JOIN after_ a ON a.block_id = b.block_id WHERE b.block_id IS NULL OR a.block_id IS NULL OR a.duties <> b.duties OR a.hard <> b.hard")
+@S.checked("p14_diff_compositions", f"""WITH {_TWO.replace('[[', '').replace(']]', '')}
+    SELECT coalesce(b.block_id, a.block_id) AS block_id, CASE WHEN b.block_id IS NULL THEN 'added' WHEN a.block_id IS NULL THEN 'removed' ELSE 'changed' END AS change,
+        CASE WHEN b.block_id IS NULL OR a.block_id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN a.duties <> b.duties THEN 'duties' END, CASE WHEN a.hard <> b.hard THEN 'hard' END) END AS fields
+    FROM before b FULL OUTER JOIN after_ a ON a.block_id = b.block_id WHERE a.block_id IS NULL OR b.block_id IS NULL OR a.duties <> b.duties OR a.hard <> b.hard""")
+def _p14(spark, sf_dir):
+    line = relation(spark, sf_dir, "lineitem")
+    made = lambda until, odd: line.where((F.col("l_shipdate") < F.lit(until).cast("timestamp")) & (F.col("l_suppkey") % odd != 0)).groupBy(F.col("l_suppkey").alias("block_id")).agg(F.countDistinct("l_partkey").alias("duties"), (F.max("l_quantity") >= 50).alias("hard"))
+    found = blueprint.differences(made("1997-01-01", 4), made("1999-01-01", 5), ["block_id"], ["duties", "hard"])
+    return found.withColumn("fields", F.array_join("fields", ","))
+
+
 S.portable("p15_diff_blueprints", f"WITH {_TWO} SELECT CASE WHEN b.block_id IS NULL THEN 'added' WHEN a.block_id IS NULL THEN 'removed' WHEN a.duties <> b.duties THEN 'changed' ELSE 'same' END AS change, count(*) AS n FROM before b FULL OUTER JOIN after_ a ON a.block_id = b.block_id GROUP BY 1")
 S.portable("p16_what_changed", "SELECT source_id, count(*) AS changed FROM {new_version} n WHERE NOT EXISTS (SELECT 1 FROM {old_version} o WHERE o.ref = n.ref AND o.body = n.body) GROUP BY source_id")
 S.portable("p17_recompose_queue", "SELECT DISTINCT o.o_custkey AS profile_id FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey JOIN {obligation} b ON b.obligation_id = l.l_partkey WHERE b.status = 'stale'")
-S.portable("p18_explain_item", f"""
-    SELECT block_id, concat('Covers ', cast(n AS VARCHAR(9)), ' duties: ', first_, CASE WHEN n > 3 THEN concat(' and ', cast(n - 3 AS VARCHAR(9)), ' more') ELSE '' END) AS text
-    FROM (SELECT block_id, max(n) AS n, {joined("CASE WHEN i <= 3 THEN concat('OBL-', lpad(cast(obligation_id AS VARCHAR(9)), 6, '0')) END", ', ')} AS first_ FROM (SELECT block_id, obligation_id, row_number() OVER (PARTITION BY block_id ORDER BY obligation_id) AS i, count(*) OVER (PARTITION BY block_id) AS n FROM {{requires}}) x GROUP BY block_id) y""")
 
 
 @S.checked("p19_cited_ids", "SELECT clause_id, array_to_string(list_sort(regexp_extract_all(text, '([0-9]{3,})', 1)), ',') AS cited FROM {clause}")
@@ -137,10 +228,6 @@ def _p19(spark, sf_dir):
 
 
 S.portable("p20_rubric", "SELECT clause_id, (CASE WHEN length(text) > 60 THEN 1 ELSE 0 END + CASE WHEN instr(text, 'must') + instr(text, 'shall') > 0 THEN 1 ELSE 0 END + CASE WHEN text LIKE '%.' THEN 1 ELSE 0 END + CASE WHEN instr(text, cast(clause_id AS VARCHAR(19))) > 0 THEN 1 ELSE 0 END + CASE WHEN instr(text, 'authority') = 0 THEN 1 ELSE 0 END) / cast(5 AS DOUBLE) AS score FROM {clause}")
-S.portable("p21_citations_ok", "SELECT c.clause_id, instr(c.text, cast(c.clause_id AS VARCHAR(19))) > 0 OR c.text = 'Reserved.' AS ok FROM {clause} c")
 S.portable("p22_evidence_gaps", "SELECT c.source_key, c.clause_id FROM {clause} c WHERE c.text = 'Reserved.' AND c.source_key IN (SELECT source_key FROM {clause} GROUP BY source_key HAVING count(*) > 100)")
-S.portable("p23_performance_overlay", """
-    SELECT o_custkey AS profile_id, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS passed, count(*) AS observed, cast(count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS DOUBLE) / nullif(count(CASE WHEN o_orderstatus <> 'P' THEN 1 END), 0) AS score
-    FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM {orders}) x WHERE n = 1 GROUP BY o_custkey""")
 S.portable("p24_accept_observation", "SELECT e.event_id, m.item, m.item IS NULL AS unmapped FROM {events} e LEFT JOIN (SELECT 'error' AS alias, 'fine' AS item UNION ALL SELECT 'click', 'prohibition' UNION ALL SELECT 'view', 'censure') m ON m.alias = e.event_type")
 S.portable("p25_conformance", "SELECT source_key, bool_and(length(text) > 0) AS level1, bool_and(length(text) > 0) AND count(DISTINCT version_year) > 3 AS level2, bool_and(length(text) > 0) AND count(DISTINCT version_year) > 3 AND count(*) > 500 AS level3 FROM {clause} GROUP BY source_key")

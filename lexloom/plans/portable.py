@@ -68,6 +68,14 @@ FIXTURES: dict[str, str] = {
         UNION ALL SELECT c_custkey, 'roles', CASE WHEN c_mktsegment = 'MACHINERY' THEN 'BUILDING' ELSE 'MACHINERY' END, false FROM {customer}
         UNION ALL SELECT c_custkey, 'condition', concat('fact-', cast(c_custkey % 4 AS VARCHAR(9))), c_custkey % 3 = 0 FROM {customer}
         UNION ALL SELECT c_custkey, 'jurisdiction', cast(c_nationkey AS VARCHAR(9)), true FROM {customer} WHERE c_custkey % 4 <> 0""",
+    # what applies to a profile: the duties of its ordered parts, what satisfies them, and a composition that leaves gaps
+    "duty": "SELECT DISTINCT o_custkey AS profile_id, l_partkey AS obligation_id FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey",
+    "candidate": "SELECT d.profile_id, d.obligation_id, r.block_id FROM {duty} d JOIN {requires} r ON r.obligation_id = d.obligation_id",
+    "needed": "SELECT d.profile_id, d.obligation_id, r.block_id FROM {duty} d JOIN {hard_requires} r ON r.obligation_id = d.obligation_id",
+    "pick": """
+        SELECT DISTINCT profile_id, block_id, 'required' AS basis FROM {needed}
+        UNION ALL SELECT DISTINCT s.profile_id, s.block_id, 'selected' FROM (SELECT profile_id, min(block_id) AS block_id FROM {candidate} WHERE obligation_id % 9 <> 0 GROUP BY profile_id, obligation_id) s
+        LEFT JOIN {needed} n ON n.profile_id = s.profile_id AND n.block_id = s.block_id WHERE n.block_id IS NULL""",
     # outcomes against duties: error events of a user
     "outcome": """
         SELECT event_id, user_id AS obligation_id, ts AS decided_at, cast(ts AS DATE) AS decided_on, value AS amount,
