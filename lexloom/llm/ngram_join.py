@@ -32,7 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import count
 
 import numpy as np
@@ -51,6 +51,8 @@ SALT = (U(0x2545F4914F6CDD1D), U(0xDA942042E4DD58B5), U(0x8CB92BA72F3D8DD7))
 BAND = Fraction(3, 2)
 #: Rows of ids, and of ids with bitmaps, that may be broadcast.
 SMALL, SMALL_BITS = 1_000_000, 100_000
+#: Pairs, with a bitmap each at most, that may be broadcast.
+FEW = 50_000
 #: Bytes of input for each part of the exchange.
 PART_BYTES = 4 << 20
 #: Members of a bucket in one slot, and partners of one text.
@@ -306,10 +308,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
+    few = fits(pairs, FEW)
+    few_of = F.broadcast if few else lambda x: x
     hot = pairs.groupBy("a").agg(F.count("*").alias("size")).where(F.col("size") > PARTNERS).select("a", F.ceil(F.col("size") / PARTNERS).alias("slots"))
     dealt = sized_join(pairs, hot, "a", "left", SMALL).select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("slots")), F.lit(0)).alias("slot"))
-    heads = dealt.select("a", "slot").distinct().join(texts.withColumnRenamed("member", "a"), "a").select("a", "slot", F.lit(None).cast("long").alias("b"), "text")
-    tails = dealt.join(texts.withColumnRenamed("member", "b"), "b").select("a", "slot", "b", "text")
+    heads = texts.withColumnRenamed("member", "a").join(few_of(dealt.select("a", "slot").distinct()), "a").select("a", "slot", F.lit(None).cast("long").alias("b"), "text")
+    tails = texts.withColumnRenamed("member", "b").join(few_of(dealt), "b").select("a", "slot", "b", "text")
     streamed = heads.union(tails).repartition("a", "slot").sortWithinPartitions("a", "slot", F.col("b").asc_nulls_first())
     return streamed.select("a", "b", "text").mapInArrow(run, "a long, b long")
 
@@ -373,7 +377,7 @@ def _near(pairs: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
     x, y = F.col("w_a"), F.col("w_b")
     x, y = F.when(F.size(x) > F.size(y), half(x)).otherwise(x), F.when(F.size(y) > F.size(x), half(y)).otherwise(y)
     apart = F.aggregate(F.zip_with(x, y, xor), F.lit(0), lambda n, z: n + F.bit_count(z))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = sized_join(side("b"), sized_join(side("a"), pairs, "a", "inner", FEW), "b", "inner", FEW)
     # sets more than twice as large as others are folded once only: such a pair is left to the verification
     folded = F.size("w_a") * 2 < F.size("w_b")
     folded = folded | (F.size("w_b") * 2 < F.size("w_a"))
@@ -410,14 +414,14 @@ def _linked(rows: DataFrame, doc: DataFrame, entries: DataFrame, folder: str, wo
         doc.where("n > 0").groupBy("member").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.min("n").alias("n"), F.first("bits", True).alias("bits"), F.first("wide", True).alias("wide"))
         .join(left.select("member").distinct(), "member", "left_semi"), f"{folder}/members",
     )
-    about, root = first.select("member", "n", "bits"), None
+    about, root, links = first.select("member", "n", "bits"), None, []
     hint = F.broadcast if fits(about, SMALL_BITS) else lambda x: x
     for turn in count():
         here = f"{folder}/round-{turn}"
-        active = left.withColumn("root", F.col("member")) if root is None else left.join(root, "member", "left").withColumn("root", F.coalesce("root", "member"))
+        active = left.withColumn("root", F.col("member")) if root is None else sized_join(left, root, "member", "left", SMALL).withColumn("root", F.coalesce("root", "member"))
         if turn:
             open_ = active.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("slots").alias("slots")).where("lo <> hi").select("bucket", "slots")
-            active = written(active.join(_slots(open_).drop("slots"), ["bucket", "slot"], "left_semi"), f"{here}/active")
+            active = written(sized_join(active, written(_slots(open_).drop("slots"), f"{here}/open"), ["bucket", "slot"], "left_semi", SMALL), f"{here}/active")
             if active.isEmpty():
                 break
         elif active.isEmpty():
@@ -432,31 +436,45 @@ def _linked(rows: DataFrame, doc: DataFrame, entries: DataFrame, folder: str, wo
         pairs = written(known.join(pivots, met).select(F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b")).distinct(), f"{here}/pairs")
         pairs = written(_near(pairs, first, threshold), f"{here}/near")
         if not pairs.isEmpty():
-            ends = written(first.join(pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct(), "member", "left_semi").select("member", "at"), f"{here}/ends")
+            ends = written(pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct(), f"{here}/members")
+            ends = written(sized_join(first.select("member", "at"), ends, "member", "left_semi", SMALL), f"{here}/ends")
             texts = written(_texts(rows, ends, words, salt), f"{here}/texts")
             if texts.count() > ends.count():  # repeated rows
                 texts = written(texts.dropDuplicates(["member"]), f"{here}/texts-once")
-            links = written(_verified(pairs, texts, threshold, words), f"{here}/links")
+            links.append(written(_verified(pairs, texts, threshold, words), f"{here}/links"))
             discard(spark, f"{here}/texts", f"{here}/texts-once", f"{here}/pairs")
-            root = _merged(links, root, here)
+            root = _lowered(links[-1], root, here)
         if turn:
             discard(spark, f"{folder}/round-{turn - 1}/active", f"{folder}/round-{turn - 1}/near")
         # pivots have been compared with all members of their buckets
-        left = active.select("bucket", "slot", "slots", "member").join(chosen, ["bucket", "member"], "left_anti")
-    return first.select("member", F.col("member").alias("root")).limit(0) if root is None else root
+        left = sized_join(active.select("bucket", "slot", "slots", "member"), chosen, ["bucket", "member"], "left_anti", SMALL)
+    if root is None:
+        return first.select("member", F.col("member").alias("root")).limit(0)
+    return written(components(reduce(DataFrame.union, links), f"{folder}/components").withColumnRenamed("u", "member"), f"{folder}/root")
+
 
+def _lowered(links: DataFrame, root: DataFrame | None, here: str) -> DataFrame | None:
+    """Roots after more links: each takes the least root that its links reach, and that one's.
 
-def _merged(links: DataFrame, root: DataFrame | None, here: str) -> DataFrame | None:
-    """Roots after more links: components of the components that they join."""
+    Members of one root are of one component, which is all that the rounds
+    need; the components themselves are found once, from all links.
+    """
     if links.isEmpty():
         return root
     if root is None:
-        return written(components(links, f"{here}/components").withColumnRenamed("u", "member"), f"{here}/root")
-    up = lambda end: root.select(F.col("member").alias(end), F.col("root").alias(f"root_{end}"))
-    joins = links.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    higher = components(joins, f"{here}/components").toDF("root", "top")
-    members = root.union(joins.select(F.explode(F.array("a", "b")).alias("member")).distinct().join(root, "member", "left_anti").select("member", F.col("member").alias("root")))
-    return written(members.join(higher, "root", "left").select("member", F.coalesce("top", "root").alias("root")).distinct(), f"{here}/root")
+        ends = links
+    else:
+        up = lambda end: root.select(F.col("member").alias(end), F.col("root").alias(f"root_{end}"))
+        both = sized_join(sized_join(links, up("a"), "a", "left", SMALL), up("b"), "b", "left", SMALL)
+        ends = both.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b")
+    near = ends.union(ends.select("b", "a")).groupBy("a").agg(F.min("b").alias("low"))
+    step = written(near.select("a", F.least("a", "low").alias("low")), f"{here}/step")
+    jump = sized_join(step, step.toDF("low", "lower"), "low", "left", SMALL).select(F.col("a").alias("old"), F.coalesce("lower", "low").alias("new"))
+    jump = written(jump, f"{here}/jump")
+    if root is None:
+        return written(jump.toDF("member", "root"), f"{here}/root")
+    known = root.union(sized_join(jump.select(F.col("old").alias("member"), F.col("old").alias("root")), root, "member", "left_anti", SMALL))
+    return written(sized_join(known, jump.withColumnRenamed("old", "root"), "root", "left", SMALL).select("member", F.coalesce("new", "root").alias("root")), f"{here}/root")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, *, words: int = 5, threshold: float = 0.8) -> DataFrame:
