@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import encoders, exchange
 from lexloom.llm import textkit as tk
-from lexloom.llm.store import open_file, parts_for, small_batches, work_dir, write_file, written
+from lexloom.llm.store import MOST_OPEN, open_file, parts_for, small_batches, work_dir, write_file, written
 
 U = np.uint64
 #: Bytes of input for each shard, and hashes that a task remembers to have sent (others are sent again).
@@ -124,7 +124,7 @@ class SharedTable:
         data, where = tk.column(unit)
         shard = (t["key"].to_numpy(), where, data, lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(), 0 if isinstance(f, pa.MemoryMappedFile) else t.nbytes)
         self.open[part] = shard
-        while len(self.open) > 1 and sum(s[-1] for s in self.open.values()) > self.limit:
+        while len(self.open) > 1 and (len(self.open) > MOST_OPEN or sum(s[-1] for s in self.open.values()) > self.limit):
             self.open.popitem(last=False)
         return shard
 

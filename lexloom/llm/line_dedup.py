@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import exchange
 from lexloom.llm import textkit as tk
-from lexloom.llm.store import bytes_of, open_file, small_batches, work_dir, write_file, written
+from lexloom.llm.store import MOST_OPEN, bytes_of, open_file, small_batches, work_dir, write_file, written
 
 #: Bytes of input for each shard.
 SHARD_BYTES = 128 << 20
@@ -147,7 +147,7 @@ class Shards:
             self.open.move_to_end(i)
         else:
             self.open[i] = Shard(self.uris[i])
-            while len(self.open) > 1 and sum(s.nbytes for s in self.open.values()) > self.limit:
+            while len(self.open) > 1 and (len(self.open) > MOST_OPEN or sum(s.nbytes for s in self.open.values()) > self.limit):
                 self.open.popitem(last=False)
         return self.open[i]
 

@@ -89,6 +89,10 @@ def write_file(uri: str, write) -> None:
     system.move(attempt, path)
 
 
+#: Files that a worker keeps open or mapped at a time.
+MOST_OPEN = 4096
+
+
 def open_file(uri: str):
     """A random-access file; memory-mapped where the folder is a local mount."""
     system, path = _resolve(uri)
