@@ -12,6 +12,7 @@ is bounded by the chunk (or by the longest run without white space).
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from lexloom.llm import textkit as tk
 from lexloom.llm.store import small_batches
 
 #: Characters of a chunk and of the first overlap; bytes of texts that are handed to the library at once.
-CHUNK, OVERLAP, AT_ONCE = 8_192, 512, 1 << 18
+CHUNK, OVERLAP, AT_ONCE = 8_192, 384, 1 << 18
 WHITE = " \t\n\v\f\r"
 
 
@@ -43,14 +44,27 @@ def crosses_words(path: str) -> bool:
     return any("\u2581" in model.id_to_piece(i).lstrip("\u2581") for i in range(model.get_piece_size()))
 
 
-def starts(path: str, text: str) -> np.ndarray:
-    """Where each token starts in the text."""
-    if path.endswith(".model"):
-        at = np.array([x.begin for x in _pieces(path).encode(text, return_type="proto").pieces], np.int64)
-        # the library counts bytes, and a character may be several pieces
-        inner = (np.frombuffer(text.encode() + b" ", np.uint8) & 0xC0) == 0x80
-        return at - np.cumsum(inner)[at]
-    return np.array([a for a, _ in encoders.tokenizer(path).encode(text, add_special_tokens=False).offsets], np.int64)
+class Tokens:
+    """Where the tokens of a chunk start, in the whole text's offsets; only those that are asked for are fetched."""
+
+    def __init__(self, path: str, text: str, base: int):
+        if path.endswith(".model"):
+            at = np.array([x.begin for x in _pieces(path).encode(text, return_type="proto").pieces], np.int64)
+            # the library counts bytes, and a character may be several pieces
+            inner = (np.frombuffer(text.encode() + b" ", np.uint8) & 0xC0) == 0x80
+            at = (at - np.cumsum(inner)[at] + base).tolist()
+            self.n, self.start = len(at), at.__getitem__
+        else:
+            found = encoders.tokenizer(path).encode(text, add_special_tokens=False)
+            self.n, self.start = len(found), lambda i: found.token_to_chars(i)[0] + base
+
+    def before(self, place: int) -> int:
+        """How many tokens start before a place."""
+        return bisect_left(range(self.n), place, key=self.start)
+
+    def inside(self, lo: int, hi: int) -> list[int]:
+        """Starts in ``(lo, hi)``."""
+        return [self.start(i) for i in range(self.before(lo + 1), self.before(hi))]
 
 
 def counts_of(path: str, texts: list[str]) -> list[int]:
@@ -59,24 +73,21 @@ def counts_of(path: str, texts: list[str]) -> list[int]:
     return [len(x) for x in encoders.plain(path, texts)]
 
 
-def stable_boundary(text: str, left: np.ndarray, right: np.ndarray, lo: int, hi: int, white: str = WHITE) -> int | None:
-    """Least place in ``(lo, hi)`` where both encodings have a token boundary
-    before white space and after a word, and agree from there on.
+def stable_boundary(text: str, left: Tokens, right: Tokens, lo: int, hi: int, white: str = WHITE) -> int | None:
+    """Least place in ``(lo, hi)`` where a word ends before white space and
+    from which both encodings start the same tokens up to the last such place.
 
-    ``left`` and ``right`` are the starts of tokens in the text's own offsets.
-    The last agreeing stretch must reach the last start that both know before
-    ``hi``; the final token of the left chunk may be cut, so it is not used.
+    What comes after the last one may be the half of a word in the left
+    encoding, and is not looked at; one token at least must agree.
     """
-    a, b = left[(left > lo) & (left < hi)], right[(right > lo) & (right < hi)]
-    n = min(len(a), len(b))
-    same = 0
+    ends = [i for i in range(lo + 1, hi) if text[i] in white and text[i - 1] not in WHITE and not encoders.OTHER_SPACE.match(text[i - 1])]
+    if not ends:
+        return None
+    a, b = left.inside(lo, ends[-1]), right.inside(lo, ends[-1])
+    n, same = min(len(a), len(b)), 0
     while same < n and a[len(a) - 1 - same] == b[len(b) - 1 - same]:
         same += 1
-    first = a[len(a) - same] if same else hi
-    for i in range(max(lo + 1, int(first)), hi):
-        if text[i] in white and text[i - 1] not in WHITE and not encoders.OTHER_SPACE.match(text[i - 1]):
-            return i
-    return None
+    return next((i for i in ends if i >= a[len(a) - same]), None) if same else None
 
 
 def count_long(path: str, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
@@ -87,28 +98,28 @@ def count_long(path: str, text: str, chunk: int = CHUNK, overlap: int = OVERLAP)
     """
     white = " " if path.endswith(".model") else WHITE  # pieces may have other white space inside
     total, start, end = 0, 0, min(len(text), chunk)
-    own = starts(path, text[start:end])
+    own, skipped = Tokens(path, text[start:end], start), 0
     while end < len(text):
         width = overlap
         while True:
             begin = max(start, end - width)
             stop = min(len(text), begin + max(chunk, 2 * width))
-            after = starts(path, text[begin:stop]) + begin
+            after = Tokens(path, text[begin:stop], begin)
             cut = stable_boundary(text, own, after, begin, end, white)
             if cut is not None:
                 break
             if begin == start:  # nothing in this chunk is stable: lengthen it
                 end = min(len(text), end + max(chunk, end - start))
                 skip = int(white == " " and start > 0)  # such a model adds a space of its own at the start
-                own = starts(path, text[start + skip : end]) + start + skip
+                own, skipped = Tokens(path, text[start + skip : end], start + skip), 0
                 if end == len(text):
-                    return total + len(own)
+                    return total + own.n
                 width = overlap
                 continue
             width *= 2
-        total += int((own < cut).sum())
-        start, end, own = cut, stop, after[after >= cut]
-    return total + len(own)
+        total += own.before(cut) - skipped
+        start, end, own, skipped = cut, stop, after, after.before(cut)
+    return total + own.n - skipped
 
 
 def token_counts(docs: DataFrame, path: str, *, limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

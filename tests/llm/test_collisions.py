@@ -111,3 +111,19 @@ def test_rows_without_an_id_keep_none(spark):
     docs = spark.createDataFrame([(None, passage), (3, passage), (4, "few words")], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in substring_dedup.without_repeats(spark, docs).collect()} == {None: 0, 3: 55, 4: 0}
     assert docs.where(F.col("doc_id").isNull()).count() == 1
+
+
+@pytest.mark.parametrize("path", [WORD_JSON, BYTE_JSON, queries.tokenizer_path("piece_bpe_32k.model")])
+def test_overlaps_align_at_once_on_plain_text(monkeypatch, path):
+    """Chunks end inside words; nothing is encoded twice but the overlaps."""
+    seen = []
+
+    class Counted(token_counts.Tokens):
+        def __init__(self, path, text, base):
+            seen.append(len(text))
+            super().__init__(path, text, base)
+
+    monkeypatch.setattr(token_counts, "Tokens", Counted)
+    text = " ".join(f"word{i * 7919 % 1000} it's 12.{i % 90}" for i in range(4000))
+    assert token_counts.count_long(path, text, 2000, 100) == token_counts.counts_of(path, [text])[0]
+    assert sum(seen) < 1.1 * len(text) and len(seen) > 20
