@@ -131,13 +131,42 @@ def test_grades_are_ordered_and_held_out_error_is_small(spark):
     assert docs.columns == SCHEMA.names
 
 
-def test_toxicity_on_the_labelled_table(spark):
+@pytest.mark.parametrize(("name", "operator", "decided", "recall", "precision", "other"), [("toxic", toxicity.toxicity, "rejected", 0.88, 0.92, 0.98), ("quality", quality.quality, "selected", 0.95, 0.97, 0.9)])
+def test_decisions_on_held_out_labels(spark, name, operator, decided, recall, precision, other):
+    """Two thirds of the labels fit the model; of the last third, what it finds, how much of that is right, and what it leaves alone."""
     d = "/root/testdata/sf0.1"
     docs, labels = queries.table(spark, d, "documents"), queries.table(spark, d, "labels")
-    fitted = labels.where("doc_id % 3 <> 0")
-    truth = {r.doc_id: r.toxic for r in labels.where("doc_id % 3 = 0").collect()}
-    got = {r.doc_id: r.rejected for r in toxicity.toxicity(spark, docs, fitted).collect()}
-    assert np.mean([got[i] == bool(t) for i, t in truth.items()]) > 0.95
+    truth = {r.doc_id: bool(r[name]) for r in labels.where("doc_id % 3 = 0").collect()}
+    got = {r.doc_id: r[decided] for r in operator(spark, docs, labels.where("doc_id % 3 <> 0")).collect()}
+    hits = sum(got[i] and t for i, t in truth.items())
+    assert hits >= recall * sum(truth.values()) and hits >= precision * sum(got[i] for i in truth)
+    assert sum(not got[i] and not t for i, t in truth.items()) >= other * sum(not t for t in truth.values())
+
+
+def test_the_model_is_the_one_of_a_plain_refit(spark):
+    """Features counted and screened by definition, in plain Python, give the same model."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = queries.table(spark, d, "documents"), queries.table(spark, d, "labels")
+    model = ordinal.fit(spark, docs, labels, "quality", min_df=4, screen=3.0)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rated = [(r.doc_id, r.quality) for r in labels.collect() if r.doc_id in texts]
+    sets = {}
+    for i, _ in rated:
+        import pyarrow as pa
+
+        sets[i] = set(ordinal.described(*tk.column(pa.array([texts[i]])))[1].tolist())
+    y = np.array([g for _, g in rated], float)
+    df: dict = {}
+    total: dict = {}
+    for i, g in rated:
+        for k in sets[i]:
+            df[k], total[k] = df.get(k, 0) + 1, total.get(k, 0) + g
+    keys = sorted(k for k, n in df.items() if n >= 4 and abs(total[k] - n * y.mean()) >= 3 * np.sqrt(n * y.var()))
+    assert model.keys.tolist() == keys and len(keys) > 20
+    place = {k: j for j, k in enumerate(keys)}
+    rows = sorted((i, g, np.array(sorted(place[k] for k in sets[i] if k in place), np.uint32)) for i, g in rated)
+    again = ordinal.fit_arrays(np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows]), np.concatenate([r[2] for r in rows]), np.array([r[1] for r in rows]), np.array([0, 1]), l2=1e-4, steps=200)
+    assert np.allclose(again.weights, model.weights, atol=1e-6) and np.allclose(again.cuts, model.cuts, atol=1e-6)
 
 
 def test_without_ratings_nothing_is_decided(spark):
