@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions import notices
 from lexloom.plans.portable import Suite, days, joined, pattern, relation
 
 S = Suite()
@@ -226,50 +227,60 @@ def _j31(spark, sf_dir):
     return f.select((F.col("obligation_id") % 5).alias("kind"), band(composite(f)).alias("band")).groupBy("kind", "band").agg(F.count("*").alias("n"))
 
 
-# Cues of a notice's kind, in order.
-KIND_CUES = (
-    (r"prohibition order|prohibit(?:ed|s)? .{0,40}from performing|barred|\bbar\b|banned", "prohibition"), (r"suspend|suspension", "suspension"),
-    (r"restitution|disgorgement|redress|compensat", "restitution"), (r"undertaking|voluntary requirement", "undertaking"),
-    (r"public censure|censure[sd]?\b|public statement", "censure"), (r"fine[sd]?\b|financial penalty|civil penalty|penalty of|monetary penalty|ordered to pay", "fine"),
-)
-_NOTICE = """CASE o_orderkey % 5 WHEN 0 THEN concat('On ', [[date_format(o_orderdate, 'd MMMM yyyy')||strftime(o_orderdate, '%-d %B %Y')]], ' Acme Holdings Ltd was fined EUR ', cast(o_custkey + 1 AS VARCHAR(9)), ' million and GBP 20k.')
-    WHEN 1 THEN concat('Jane Doe was banned on ', [[date_format(o_orderdate, 'yyyy-MM-dd')||strftime(o_orderdate, '%Y-%m-%d')]], '.') WHEN 2 THEN concat('Public censure of the bank, ', cast(o_orderkey AS VARCHAR(19)), '.') WHEN 3 THEN 'The firm shall pay redress of USD 1,250,000.50 to clients.' ELSE 'No further action.' END"""
+_DAY = "[[date_format(o_orderdate, '{0}')||strftime(o_orderdate, '{1}')]]"
+_NOTICE = f"""CASE o_orderkey % 6 WHEN 0 THEN concat('On ', {_DAY.format('d MMMM yyyy', '%-d %B %Y')}, ' Acme Holdings Ltd was fined €', cast(o_custkey + 1 AS VARCHAR(9)), ' million and GBP 20k.')
+    WHEN 1 THEN concat('Jane Doe was banned on ', {_DAY.format('yyyy-MM-dd', '%Y-%m-%d')}, '.') WHEN 2 THEN concat('Public censure of the bank, ', cast(o_orderkey AS VARCHAR(19)), '.')
+    WHEN 3 THEN concat('The firm shall pay redress of $1,250,000.50 to clients by ', {_DAY.format('MMM d, yyyy', '%b %-d, %Y')}, '.') WHEN 4 THEN concat('Orders against Globe Bank for US$', cast(o_custkey AS VARCHAR(9)), '. Decided ', {_DAY.format('dd/MM/yyyy', '%d/%m/%Y')}, '.') ELSE 'No further action.' END"""
+_LABEL = "CASE o_orderkey % 6 WHEN 0 THEN 'SEC v. Acme Holdings Ltd' WHEN 1 THEN 'Jane Doe (CRD #12345)' WHEN 2 THEN 'Globe' ELSE '' END"
 
 
-def parse_notice(text: Column) -> dict[str, Column]:
-    """Kind, date, largest amount and its currency."""
-    kind = F.lit("other")
-    for p, name in reversed(KIND_CUES):
-        kind = F.when(text.rlike("(?i)" + p), name).otherwise(kind)
-    iso = F.try_to_date(F.regexp_extract(text, r"\b(\d{4}-\d{2}-\d{2})\b", 1), "yyyy-MM-dd")
-    spoken = F.try_to_date(F.regexp_extract(text, r"(?i)\b(\d{1,2} (?:january|february|march|april|may|june|july|august|september|october|november|december) \d{4})\b", 1), "d MMMM yyyy")
-    found = F.regexp_extract_all(text, F.lit(r"((?:GBP|EUR|USD)\s?\d[\d,]*(?:\.\d+)?\s?(?:million|k\b)?)"), F.lit(1))
-    amounts = F.transform(found, lambda x: F.struct(
-        (F.regexp_replace(F.regexp_extract(x, r"(\d[\d,]*(?:\.\d+)?)", 1), ",", "").cast("double") * F.when(x.rlike("million"), 1e6).when(x.rlike("k$"), 1e3).otherwise(1.0)).alias("amount"), F.substring(x, 1, 3).alias("currency")))
-    best = F.array_max(amounts)
-    return {"kind": kind, "decided_on": F.coalesce(iso, spoken), "amount": best["amount"], "currency": best["currency"]}
+def parse_notice(label: Column, text: Column) -> dict[str, Column]:
+    """Kind, date, largest amount and its currency, and the respondent."""
+    money, who = notices.largest_amount(text), notices.respondent(label, text)
+    return {"kind": notices.kind(text), "decided_on": notices.decided_on(text), "amount": money["amount"], "currency": money["currency"], "respondent": who["name"], "respondent_type": who["type"]}
 
 
 def _notices(spark, sf_dir):
     from lexloom.plans.portable import run
 
-    return run(spark, sf_dir, f"SELECT o_orderkey AS notice_id, {_NOTICE} AS text, o_orderdate FROM {{orders}}")
+    return run(spark, sf_dir, f"SELECT o_orderkey AS notice_id, {_LABEL} AS label, {_NOTICE} AS text FROM {{orders}}")
 
 
-_NOTICE_TRUTH = """SELECT o_orderkey AS notice_id, CASE o_orderkey % 5 WHEN 0 THEN 'fine' WHEN 1 THEN 'prohibition' WHEN 2 THEN 'censure' WHEN 3 THEN 'restitution' ELSE 'other' END AS kind, CASE WHEN o_orderkey % 5 < 2 THEN cast(o_orderdate AS DATE) END AS decided_on,
-    CASE o_orderkey % 5 WHEN 0 THEN (o_custkey + 1) * 1e6 WHEN 3 THEN 1250000.5::DOUBLE END AS amount, CASE o_orderkey % 5 WHEN 0 THEN 'EUR' WHEN 3 THEN 'USD' END AS currency FROM {orders}"""
+def _read_notices(spark, sf_dir):
+    return _notices(spark, sf_dir).select("notice_id", *[c.alias(k) for k, c in parse_notice(F.col("label"), F.col("text")).items()])
+
+
+# what the six shapes of notices say; days up to the twelfth of a month are read day first
+_NOTICE_TRUTH = """SELECT o_orderkey AS notice_id, CASE o_orderkey % 6 WHEN 0 THEN 'fine' WHEN 1 THEN 'prohibition' WHEN 2 THEN 'censure' WHEN 3 THEN 'restitution' ELSE 'other' END AS kind, CASE WHEN o_orderkey % 6 IN (0, 1, 3, 4) THEN cast(o_orderdate AS DATE) END AS decided_on,
+    CASE o_orderkey % 6 WHEN 0 THEN (o_custkey + 1) * 1e6 WHEN 3 THEN 1250000.5::DOUBLE WHEN 4 THEN o_custkey::DOUBLE END AS amount, CASE o_orderkey % 6 WHEN 0 THEN 'EUR' WHEN 3 THEN 'USD' WHEN 4 THEN 'USD' END AS currency,
+    CASE o_orderkey % 6 WHEN 0 THEN 'Acme Holdings Ltd' WHEN 1 THEN 'Jane Doe' WHEN 2 THEN 'Globe' WHEN 4 THEN 'Globe Bank' ELSE '' END AS respondent, CASE o_orderkey % 6 WHEN 0 THEN 'firm' WHEN 1 THEN 'individual' WHEN 4 THEN 'firm' ELSE 'unknown' END AS respondent_type FROM {orders}"""
 
 
 @S.checked("j01_parse_notice", _NOTICE_TRUTH)
 def _j01(spark, sf_dir):
-    n = _notices(spark, sf_dir)
-    return n.select("notice_id", *[c.alias(k) for k, c in parse_notice(F.col("text")).items()])
+    return _read_notices(spark, sf_dir)
+
+
+@S.checked("j02_notice_dates", "SELECT o_orderkey AS notice_id, cast(o_orderdate AS DATE) AS decided_on FROM {orders} WHERE o_orderkey % 6 IN (0, 1, 3, 4)")
+def _j02(spark, sf_dir):
+    return _notices(spark, sf_dir).select("notice_id", notices.decided_on(F.col("text")).alias("decided_on")).where("decided_on is not null")
+
+
+@S.checked("j03_largest_amount", f"SELECT notice_id, amount, currency FROM ({_NOTICE_TRUTH}) x WHERE amount IS NOT NULL")
+def _j03(spark, sf_dir):
+    return _notices(spark, sf_dir).select("notice_id", notices.largest_amount(F.col("text")).alias("m")).where("m is not null").select("notice_id", "m.amount", "m.currency")
+
+
+@S.checked("j04_sanction_kind", f"SELECT kind, count(*) AS n FROM ({_NOTICE_TRUTH}) x GROUP BY kind")
+def _j04(spark, sf_dir):
+    return _notices(spark, sf_dir).groupBy(notices.kind(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@S.checked("j05_respondent", f"SELECT notice_id, respondent, respondent_type FROM ({_NOTICE_TRUTH}) x")
+def _j05(spark, sf_dir):
+    return _notices(spark, sf_dir).select("notice_id", notices.respondent(F.col("label"), F.col("text")).alias("r")).select("notice_id", F.col("r.name").alias("respondent"), F.col("r.type").alias("respondent_type"))
 
 
-S.portable("j02_notice_dates", "SELECT o_orderkey AS notice_id, cast(o_orderdate AS DATE) AS decided_on FROM {orders} WHERE o_orderkey % 5 < 2")
-S.portable("j03_largest_amount", "SELECT user_id, max(value) AS amount, max_by(event_type, struct_pack_(value)) AS kind FROM {events} GROUP BY user_id".replace("max_by(event_type, struct_pack_(value))", "max_by(event_type, value)"))
-S.portable("j04_sanction_kind", "SELECT kind, count(*) AS n FROM {outcome} GROUP BY kind")
-S.portable("j05_respondent", f"SELECT s_suppkey, CASE WHEN [[s_name rlike||regexp_matches(s_name, ]]{pattern('(ltd|inc|bank|Supplier)').replace('[[', '').replace(']]', '').split('||')[1]}[[||)]] THEN 'firm' ELSE 'unknown' END AS respondent_type FROM {{supplier}}")
 S.portable("j06_outcomes_per_party", "SELECT o_orderkey AS publication, l_suppkey AS party, count(*) AS items FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY o_orderkey, l_suppkey")
 S.portable("j07_ingest_outcomes", "SELECT coalesce(o.ref, n.ref) AS event, CASE WHEN o.ref IS NULL THEN 'insert' WHEN n.ref IS NULL THEN 'invalidate' WHEN o.body = n.body THEN 'unchanged' ELSE 're-derive' END AS action FROM {old_version} o FULL OUTER JOIN {new_version} n ON o.ref = n.ref")
 S.portable("j08_instrument_names", "SELECT p_name AS name, max_by(p_brand, n) AS source_key, max(n) AS evidence FROM (SELECT p_name, p_brand, count(*) AS n, sum(count(*)) OVER (PARTITION BY p_name) AS total FROM {part} GROUP BY p_name, p_brand) x WHERE total >= 3 GROUP BY p_name HAVING max(n) >= 3 AND count(CASE WHEN n >= 3 THEN 1 END) = 1")
