@@ -121,8 +121,10 @@ class SharedTable:
         f = open_file(self.uris[part])
         t = pa.ipc.open_file(f).read_all().combine_chunks()
         unit, lists = t["unit"].chunk(0), t["ids"].chunk(0)
-        data, where = tk.column(unit)
-        shard = (t["key"].to_numpy(), where, data, lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(), 0 if isinstance(f, pa.MemoryMappedFile) else t.nbytes)
+        # views of the file: the offsets of these types have 64 bits
+        _, where, data = unit.buffers()
+        where, data = np.frombuffer(where, np.int64, len(unit) + 1), np.frombuffer(data, np.uint8)
+        shard = (t["key"].chunk(0).to_numpy(), where, data, lists.offsets.to_numpy(), lists.values.to_numpy(), 0 if isinstance(f, pa.MemoryMappedFile) else t.nbytes)
         self.open[part] = shard
         while len(self.open) > 1 and (len(self.open) > MOST_OPEN or sum(s[-1] for s in self.open.values()) > self.limit):
             self.open.popitem(last=False)
@@ -213,7 +215,7 @@ def round_trip(spark: SparkSession, docs: DataFrame, path: str, *, shard_bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = SharedTable(uris, parts)
-        for batch, buf, off in tk.pieces(batches):
+        for batch, buf, off in tk.pieces(batches, size=tk.BLOCK // 2):
             ids, bounds = joined_ids(table, path, buf, off)
             flat = ids.astype("<u4")
             yield pa.RecordBatch.from_arrays(
