@@ -20,6 +20,9 @@ reduced to one.  Within a bucket not all pairs are formed: members are compared
 with a pivot; those of one component need no comparison; each round has four
 times as many pivots, until every bucket lies in one component or every member
 has been a pivot.  Large buckets are dealt in slots, each with all pivots.
+Texts that are alike but not linked share many buckets, none of which closes:
+after the first round such buckets are united where that makes no more pairs,
+or compared only from the members that a larger bucket lacks (``_united``).
 Pairs that sizes or bitmaps rule out go: bit i of a set's bitmap is the parity
 of its shingles that hash to i, so the bits in which two bitmaps differ are no
 more than the shingles in which the sets do.  Pairs that are left meet wider
@@ -406,6 +409,42 @@ def _distinct_buckets(entries: DataFrame, folder: str) -> DataFrame:
     return written(dealt.join(_slots(kept), ["bucket", "slot"]).select("bucket", "slot", "slots", "member"), f"{folder}/buckets")
 
 
+def _united(active: DataFrame, folder: str) -> DataFrame:
+    """``bucket, slot, slots, member, root, outside`` of buckets that overlap less; every pair that met before still meets.
+
+    A member's home is its largest bucket, and a bucket's host the home that
+    most of its members have, if it is its own host and they are half of the
+    bucket at least.  A host takes in all its buckets if that makes no more
+    pairs than it and they have.  Else they stay: their members of that home
+    meet one another in the host, so only the others, ``outside``, need to be
+    pivots, and as all of them are at once, the bucket is then done with.
+    ``outside`` is null in buckets without a host.
+    """
+    sizes = written(active.groupBy("bucket").agg(F.count("*").alias("size")), f"{folder}/sizes")
+    sized = sized_join(active.select("bucket", "member"), sizes, "bucket", "inner", SMALL)
+    homes = written(sized.groupBy("member").agg(F.max(F.struct("size", "bucket")).alias("most")).select("member", F.col("most.bucket").alias("home")), f"{folder}/homes")
+    votes = sized_join(sized, homes, "member", "inner", SMALL).groupBy("bucket", "size", "home").agg(F.count("*").alias("votes"))
+    hosts = votes.groupBy("bucket", "size").agg(F.max(F.struct("votes", "home")).alias("most"))
+    hosts = written(hosts.select("bucket", "size", F.col("most.home").alias("host"), F.col("most.votes").alias("votes")), f"{folder}/hosts")
+    own = hosts.where("host = bucket").select("host", F.col("size").alias("own"))
+    hosted = written(sized_join(hosts.where("host <> bucket and votes * 2 >= size"), own, "host", "inner", SMALL).select("bucket", "host", "size", "own"), f"{folder}/hosted")
+    members = active.select("bucket", "member", "root")
+    # what a host would have, against what it and its buckets have
+    taken = sized_join(members.drop("root"), hosted.select("bucket", "host").union(hosted.select("host", "host").distinct()), "bucket", "inner", SMALL)
+    whole = taken.select("host", "member").distinct().groupBy("host").agg(F.count("*").cast("double").alias("whole"))
+    apart = hosted.groupBy("host").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("apart"), F.max(F.col("own").cast("double")).alias("own"))
+    good = written(whole.join(apart, "host").where("whole * whole <= apart + own * own").select("host"), f"{folder}/good")
+    into = written(sized_join(hosted.select("bucket", "host"), good, "host", "left_semi", SMALL), f"{folder}/into")
+    left = written(sized_join(hosted.select("bucket", "host"), good, "host", "left_anti", SMALL), f"{folder}/left")
+    united = written(sized_join(members, into, "bucket", "left", SMALL).select(F.coalesce("host", "bucket").alias("bucket"), "member", "root").distinct(), f"{folder}/united")
+    homes = sized_join(homes, into.select(F.col("bucket").alias("home"), "host"), "home", "left", SMALL).select("member", F.coalesce("host", "home").alias("home"))
+    homes = written(homes, f"{folder}/homes-united")
+    hot = written(united.groupBy("bucket").agg(F.ceil(F.count("*") / SLOT).alias("slots")).where("slots > 1"), f"{folder}/hot")
+    out = sized_join(sized_join(sized_join(united, left, "bucket", "left", SMALL), homes, "member", "left", SMALL), hot, "bucket", "left", SMALL)
+    slots = F.coalesce("slots", F.lit(1).cast("long"))
+    return out.select("bucket", F.pmod(F.xxhash64("member"), slots).alias("slot"), slots.alias("slots"), "member", "root", (F.col("home") != F.col("host")).alias("outside"))
+
+
 def _linked(rows: DataFrame, doc: DataFrame, entries: DataFrame, folder: str, words: int, threshold: float, salt: int) -> DataFrame:
     """``member, root`` of every member with a link to another."""
     spark, left = rows.sparkSession, _distinct_buckets(entries, folder)
@@ -426,11 +465,16 @@ def _linked(rows: DataFrame, doc: DataFrame, entries: DataFrame, folder: str, wo
                 break
         elif active.isEmpty():
             break
+        active = written(_united(active, f"{here}/unite"), f"{here}/united") if turn == 1 else active.withColumn("outside", F.lit(None).cast("boolean"))
         choice = F.pmod(F.xxhash64("member", F.lit(turn)), F.lit(4**turn))
-        chosen = active.groupBy("bucket", choice.alias("_")).agg(F.min(F.struct("member", "root")).alias("pivot"), F.max("slots").alias("slots"))
-        chosen = written(chosen.select("bucket", "slots", F.col("pivot.member").alias("member"), F.col("pivot.root").alias("pivot_root")), f"{here}/chosen")
+        chosen = active.where("outside is null").groupBy("bucket", choice.alias("_")).agg(F.min(F.struct("member", "root")).alias("pivot"), F.max("slots").alias("slots"))
+        chosen = chosen.select("bucket", "slots", F.col("pivot.member").alias("member"), F.col("pivot.root").alias("pivot_root"))
+        if turn == 1:
+            discard(spark, f"{here}/unite", f"{here}/active")
+            chosen = chosen.union(active.where("outside").select("bucket", "slots", "member", F.col("root").alias("pivot_root")))
+        chosen = written(chosen, f"{here}/chosen")
         pivots = _slots(chosen.join(hint(about), "member")).select("bucket", "slot", F.col("member").alias("pivot"), "pivot_root", F.col("n").alias("pivot_n"), F.col("bits").alias("pivot_bits"))
-        known = active.drop("slots").join(hint(about), "member")
+        known = active.drop("slots", "outside").join(hint(about), "member")
         # what the join itself rules out is never a row
         met = (known["bucket"] == pivots["bucket"]) & (known["slot"] == pivots["slot"]) & (F.col("root") != F.col("pivot_root")) & _possible(threshold)
         pairs = written(known.join(pivots, met).select(F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b")).distinct(), f"{here}/pairs")
@@ -445,9 +489,9 @@ def _linked(rows: DataFrame, doc: DataFrame, entries: DataFrame, folder: str, wo
             discard(spark, f"{here}/texts", f"{here}/texts-once", f"{here}/pairs")
             root = _lowered(links[-1], root, here)
         if turn:
-            discard(spark, f"{folder}/round-{turn - 1}/active", f"{folder}/round-{turn - 1}/near")
+            discard(spark, *(f"{folder}/round-{turn - 1}/{x}" for x in ("active", "united", "near")))
         # pivots have been compared with all members of their buckets
-        left = sized_join(active.select("bucket", "slot", "slots", "member"), chosen, ["bucket", "member"], "left_anti", SMALL)
+        left = sized_join(active.where("outside is null").select("bucket", "slot", "slots", "member"), chosen, ["bucket", "member"], "left_anti", SMALL)
     if root is None:
         return first.select("member", F.col("member").alias("root")).limit(0)
     return written(components(reduce(DataFrame.union, links), f"{folder}/components").withColumnRenamed("u", "member"), f"{folder}/root")

@@ -127,3 +127,54 @@ def test_overlaps_align_at_once_on_plain_text(monkeypatch, path):
     text = " ".join(f"word{i * 7919 % 1000} it's 12.{i % 90}" for i in range(4000))
     assert token_counts.count_long(path, text, 2000, 100) == token_counts.counts_of(path, [text])[0]
     assert sum(seen) < 1.1 * len(text) and len(seen) > 20
+
+
+def test_overlapping_buckets_are_met_once(spark, monkeypatch):
+    """Texts that are alike but seldom linked share many buckets that stay open: these are united, and every link is found."""
+    rng = np.random.default_rng(5)
+    base = [f"word{i}" for i in range(150)]
+    texts = []
+    for i in range(80):
+        w = list(base)
+        for at in rng.choice(150, 1 if i % 20 == 0 else 5, replace=False):
+            w[at] = f"other{i}x{at}"
+        texts.append(w)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    least = list(range(len(sets)))
+    for _ in sets:  # the least document that links reach
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if 100 * len(x & y) >= 80 * len(x | y):
+                    least[i] = min(least[i], least[j])
+    rows, plain = {}, ngram_join.written
+
+    def counted(df, path):
+        out = plain(df, path)
+        if path.endswith("/active"):
+            rows[int(path.split("/round-")[1].split("/")[0])] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in ngram_join.classes(spark, docs, words=5, threshold=0.8).collect()}
+    assert got == dict(enumerate(least)) and 1 < len(set(least)) < len(least)
+    assert rows[1] > 1000 and sum(n for turn, n in rows.items() if turn > 1) < rows[1] / 2
+
+
+def test_united_buckets_keep_every_pair(spark, tmp_path, monkeypatch):
+    """Each pair of a bucket is in a bucket still, and one of it is a pivot where a larger bucket has taken the others."""
+    monkeypatch.setattr(ngram_join, "SLOT", 8)
+    rng = np.random.default_rng(6)
+    buckets = [set(rng.choice(30, k).tolist()) for k in (20, 18, 12, 9, 9, 7, 5)] + [set(range(40 + 10 * i, 45 + 10 * i)) for i in range(3)] + [{0, 1, 40}, {41, 42, 99}]
+    buckets += [set(range(200, 220))] + [set(range(200 + i, 214 + i)) | {220} for i in range(4)]
+    active = spark.createDataFrame([(b, 0, 1, m, m) for b, x in enumerate(buckets) for m in x], "bucket long, slot long, slots long, member long, root long")
+    out = ngram_join._united(active, f"file://{tmp_path}").collect()
+    after = {}
+    for r in out:
+        after.setdefault(r.bucket, {})[r.member] = r.outside
+        assert r.slots == -(-sum(x.bucket == r.bucket for x in out) // 8) and 0 <= r.slot < r.slots
+    assert len(after) < len(buckets) and any(v for x in after.values() for v in x.values())
+    for x in buckets:
+        for a in x:
+            for b in x:
+                assert any(a in y and b in y and (y[a] is None or y[a] or y[b]) for y in after.values())
