@@ -138,3 +138,14 @@ def test_citations_meet_lists_of_duties(spark, tmp_path):
         con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
     want = con.execute(registry.oracle_sql()["j11_resolve_citation"]).fetchall()
     assert sorted(map(tuple, df.select("cite_id", "obligation_id", "confidence").collect())) == sorted(want) and want
+
+
+def test_spreading_is_dealt_by_the_rows_of_the_result(spark, tmp_path, monkeypatch):
+    """Profiles alone are few bytes, which adaptive execution would leave to one task."""
+    from lexloom.operators import applicability
+
+    monkeypatch.setattr(applicability, "SPREAD", 100, raising=False)
+    sf = tables(tmp_path, part=parts(120), customer=customers([(k, k % 3) for k in range(60)]))
+    df = QUERIES["g12_applicability"](spark, sf)
+    sizes = [n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert sum(sizes) == 60 * 96 and len(sizes) > 20 and max(sizes) <= 6 * 96
