@@ -14,7 +14,7 @@ SLOTS, NONE = 1 << 17, -(1 << 63)
 #: Counters, and words that are met, at a time.
 CELLS, MEETINGS = 1 << 20, 1 << 21
 #: Pairs of sets that a task meets at least, unless there are fewer.
-TASK = 20_000_000
+TASK = 1_000_000_000
 #: Pairs of a batch.
 ROWS = 50_000
 #: Share of a set by which its prefix is longer than one common word asks for.
@@ -84,7 +84,9 @@ class Tile:
             word, row = self.words(np.arange(len(self.n)), self.second)
             place = (word & (PLACES - 1)).astype(np.int32)
             order = np.argsort(place, kind="stable")
-            self.index = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=PLACES))]), row[order].astype(np.int32)
+            begin = np.zeros(PLACES + 1, np.int32)
+            np.cumsum(np.bincount(place, minlength=PLACES), out=begin[1:])
+            self.index = begin, row[order].astype(np.int32)
         return self.index
 
 
@@ -166,8 +168,11 @@ def meeting(tasks: list[list[tuple[int, int]]], files: dict[int, list[str]], rar
         for batch in batches:
             for task in batch.column(0).to_pylist():
                 tiles: dict[int, Tile] = {}
-                for left, right in tasks[task]:
-                    tiles = {t: tiles[t] if t in tiles else Tile(files[t], t, table, threshold) for t in (left, right)}
+                last = {t: at for at, pair in enumerate(tasks[task]) for t in pair}
+                for at, (left, right) in enumerate(tasks[task]):
+                    tiles = {t: x for t, x in tiles.items() if last[t] >= at}
+                    for t in (left, right):
+                        tiles[t] = tiles[t] if t in tiles else Tile(files[t], t, table, threshold)
                     x, y = tiles[left], tiles[right]
                     for p, q, ties in ((x, y, True),) if x is y else ((x, y, True), (y, x, False)):
                         for i, j, score in similar(p, q, threshold, ties):

@@ -45,3 +45,14 @@ def test_large_sets_that_are_not_alike_are_not_written_as_pairs(spark, monkeypat
     want = [(a, b) for a in range(60) for b in range(a + 1, 60) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5]
     assert sorted((r.a, r.b) for r in found.collect()) == want and len(want) > 5
     assert max(df.count() for df in written) <= 60
+
+
+def test_a_task_loads_each_tile_once(tmp_path, monkeypatch):
+    words = [[11, 12, 13], [11, 12, 14], [11, 13, 14], [12, 13, 14], [21, 22], [21, 22, 23]]
+    pq.write_table(pa.table({"k": list(range(6)), "h": pa.array(words, pa.list_(pa.int64())), "tile": [0, 1, 2, 0, 1, 2]}), tmp_path / "t.parquet")
+    loaded = []
+    monkeypatch.setattr(overlap, "Tile", lambda files, t, *more, load=overlap.Tile: loaded.append(t) or load(files, t, *more))
+    run = overlap.meeting([[(0, 0), (0, 1), (1, 1), (0, 2), (1, 2), (2, 2)]], dict.fromkeys(range(3), [f"file://{tmp_path}/t.parquet"]), bytes([1]) * overlap.PLACES, 0.5)
+    got = [tuple(sorted(p)) for r in run([pa.RecordBatch.from_pydict({"id": [0]})]) for p in zip(*r.select(["a", "b"]).to_pydict().values(), strict=True)]
+    assert sorted(got) == [(a, b) for a in range(4) for b in range(a + 1, 4)] + [(4, 5)]
+    assert sorted(loaded) == [0, 1, 2]
