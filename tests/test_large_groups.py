@@ -149,3 +149,16 @@ def test_spreading_is_dealt_by_the_rows_of_the_result(spark, tmp_path, monkeypat
     df = QUERIES["g12_applicability"](spark, sf)
     sizes = [n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
     assert sum(sizes) == 60 * 96 and len(sizes) > 20 and max(sizes) <= 6 * 96
+
+
+def test_duties_of_a_profile_are_spread_last(spark, tmp_path):
+    """What the result has of a duty lies in the list of its class: no row of the result is joined, and stale duties and repeated ones are as in SQL."""
+    sf = tables(tmp_path, part=pd.concat([parts(120), parts(24, p_brand="Brand#2")]), customer=customers([(k, k % 3) for k in range(12)]))
+    df = QUERIES["g13_obligations_for_profile"](spark, sf)
+    plan = [x.strip(" +-:") for x in joins(df).splitlines()]
+    assert next(x for x in plan if not x.startswith("Project")).startswith("Generate explode(duties")
+    con = duckdb.connect()
+    for name in ("part", "customer"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    want = con.execute(registry.oracle_sql()["g13_obligations_for_profile"]).fetchall()
+    assert sorted(map(tuple, df.select("profile_id", "stable_id", "source_key").collect())) == sorted(want) and want
